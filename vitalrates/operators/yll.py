@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalrates.functions.nulls import if_else, join_ns, strict_sum
+from vitalrates.functions.nulls import if_else, join_ns, safe_div, strict_sum
 
 
 def years_lost(df: DataFrame, deaths: str, airp: DataFrame, le: DataFrame, le_keys: Sequence[str],
@@ -32,4 +32,4 @@ def yll_rate(counts: DataFrame, deaths: str, by: Sequence[str], airp: DataFrame,
     y = years_lost(counts, deaths, airp, le, ["year"])
     g = y.groupBy("year", *by).agg(strict_sum(F.col("yearsll")).alias("YLL"))
     j = join_ns(g, pop_totals, list(pop_keys or ["year", *by]), how)
-    return j.withColumn("yll_std", F.col("YLL") * F.lit(scale) / F.col("n"))
+    return j.withColumn("yll_std", safe_div(F.col("YLL") * F.lit(scale), F.col("n")))

@@ -170,12 +170,17 @@ class Study:
     def _causes_seen(self, col="cause") -> DataFrame:
         return self.cube_cause.select(col).distinct()
 
+    @cached_property
+    def ij_interp(self) -> DataFrame:
+        """Counts by year × sex × cause_ext × age with the masked cells
+        interpolated (before suppression)."""
+        d = C.count_strata(self.cube_cause, ["year", "sex", "cause_ext", "age_group"], out="dij")
+        return self._repair(d, "dij", ["sex", "cause_ext", "age_group"])
+
     @cached_property
     def d_ij(self) -> DataFrame:
         c = self.cfg
-        d = C.count_strata(self.cube_cause, ["year", "sex", "cause_ext", "age_group"], out="dij")
-        d = self._repair(d, "dij", ["sex", "cause_ext", "age_group"])
-        d = C.suppress_small(d, "dij", c.min_count)
+        d = C.suppress_small(self.ij_interp, "dij", c.min_count)
         return C.complete(d, self._grid(c.years, cause_ext=self._causes_seen("cause_ext")), "dij", 0.0)
 
     @cached_property
@@ -264,12 +269,17 @@ class Study:
     def _not_male_maternal(df: DataFrame) -> DataFrame:
         return df.where(~((F.col("sex") == "Male") & (F.col("cause") == "Maternal diseases")))
 
+    @cached_property
+    def i2j_interp(self) -> DataFrame:
+        """Counts by year × sex × cause × age, masked cells interpolated after
+        the zero anchor (before suppression)."""
+        d = C.count_strata(self.cube_cause, ["year", "sex", "cause", "age_group"], out="dij")
+        return self._repair(d, "dij", ["sex", "cause", "age_group"], ("cause", self._causes_seen("cause")))
+
     @cached_property
     def d_i2j(self) -> DataFrame:
         c = self.cfg
-        d = C.count_strata(self.cube_cause, ["year", "sex", "cause", "age_group"], out="dij")
-        d = self._repair(d, "dij", ["sex", "cause", "age_group"], ("cause", self._causes_seen("cause")))
-        d = C.suppress_small(d, "dij", c.min_count)
+        d = C.suppress_small(self.i2j_interp, "dij", c.min_count)
         d = C.complete(d, self._grid(c.years, cause=self._causes_seen("cause")), "dij", 0.0)
         return self._not_male_maternal(d)
 
