@@ -22,10 +22,13 @@ def to_number(col: Column, dtype: str = "int") -> Column:
 
 
 def zero_pad(col: Column, width: int) -> Column:
-    """Blank/missing → NULL, else the number left-padded with zeros to
-    ``width``; longer values are kept whole (P9: never ``lpad``, which cuts)."""
-    n = to_number(blank_to_null(col), "bigint")
-    return F.when(n.isNotNull(), F.format_string(f"%0{width}d", n))
+    """Blank/missing → NULL, else the non-negative integer code left-padded
+    with zeros to ``width``; longer values are kept whole (P9: a plain
+    ``lpad`` would cut them). One integer parse, then string functions: no
+    regex and no formatter per row."""
+    n = F.trim(col).try_cast("bigint")
+    txt = n.cast("string")
+    return F.when(n >= 0, F.when(F.length(txt) >= width, txt).otherwise(F.lpad(txt, width, "0")))
 
 
 def number_from_header(col: Column) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalrates.functions.frames import literal_frame
 from vitalrates.functions.nulls import if_else, is_in
 from vitalrates.functions.text import blank_to_null, to_number, zero_pad
 
@@ -176,50 +177,64 @@ def icd_version(year: Column, last_icd9_year: int = ICD9_LAST_YEAR) -> Column:
     return F.when(year <= last_icd9_year, F.lit("9")).otherwise(F.lit("10"))
 
 
-def _icd_parts(df: DataFrame, code_col: str, year_col: str, last_icd9_year: int) -> DataFrame:
-    """Stage the pieces every range test reads (revision, numeric part,
-    letter) as columns, so each is computed once per row."""
-    cod3 = F.substring(F.col(code_col), 1, 3)
-    return (df.withColumn("__ver", icd_version(F.col(year_col), last_icd9_year))
-              .withColumn("__num9", F.when(cod3.rlike(r"^[0-9]{3}$"), cod3.cast("int")))
-              .withColumn("__let", F.when(cod3.rlike(r"^[A-Z][0-9]{2}$"), F.substring(cod3, 1, 1)))
-              .withColumn("__num10", F.when(cod3.rlike(r"^[A-Z][0-9]{2}$"), F.substring(cod3, 2, 2).cast("int"))))
-
-
-def _icd_range_expr(icd9=ICD9_RANGES, icd10=ICD10_RANGES) -> Column:
-    ver, num9, let_, num10 = (F.col(c) for c in ("__ver", "__num9", "__let", "__num10"))
+def _range_case(num: Column, ranges, letter: Column | None = None) -> Column:
     expr = None
-    for lo, hi, label in icd9:
-        cond = (ver == "9") & num9.between(lo, hi)
-        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    for let, lo, hi, label in icd10:
-        cond = (ver == "10") & (let_ == let) & num10.between(lo, hi)
-        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    return expr
-
-
-_ICD_TMP = ("__ver", "__num9", "__let", "__num10")
+    for r in ranges:
+        if letter is None:
+            lo, hi, label = r
+            cond = num.between(lo, hi)
+        else:
+            let, lo, hi, label = r
+            cond = (letter == let) & num.between(lo, hi)
+        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
+    return expr if expr is not None else F.lit(None).cast("string")
+
+
+def icd_dimension(spark, icd9=ICD9_RANGES, icd10=ICD10_RANGES, ext=EXT_CAUSE_RANGES) -> DataFrame:
+    """Code dimension ``(ver, cod3, cause, ext_cause)`` expanded from the range
+    rules inside the JVM: every three-digit ICD-9 code and every
+    letter+two-digit ICD-10 code, 1 000 + 2 600 rows whatever the data size,
+    so it is always broadcast. First matching rule wins, as in a
+    ``case_when``."""
+    n9 = F.col("id").cast("int")
+    d9 = spark.range(0, 1000).select(
+        F.lit("9").alias("ver"), F.lpad(n9.cast("string"), 3, "0").alias("cod3"),
+        _range_case(n9, icd9).alias("cause"), F.lit(None).cast("string").alias("ext_cause"))
+    let = F.expr("chr(cast(65 + floor(id / 100) as int))")
+    n10 = (F.col("id") % 100).cast("int")
+    d10 = spark.range(0, 2600).select(
+        F.lit("10").alias("ver"), F.concat(let, F.lpad(n10.cast("string"), 2, "0")).alias("cod3"),
+        _range_case(n10, icd10, let).alias("cause"), _range_case(n10, ext, let).alias("ext_cause"))
+    return d9.unionByName(d10)
+
+
+def _map_icd(df: DataFrame, code_col: str, year_col: str, pick: str, out: str, dim: DataFrame | None,
+             last_icd9_year: int) -> DataFrame:
+    dim = dim if dim is not None else icd_dimension(df.sparkSession)
+    d = F.broadcast(dim.select(F.col("ver").alias("__dver"), F.col("cod3").alias("__dcod"),
+                               F.col(pick).alias("__dval")))
+    staged = (df.withColumn("__ver", icd_version(F.col(year_col), last_icd9_year))
+                .withColumn("__cod3", F.substring(F.col(code_col), 1, 3)))
+    j = staged.join(d, (F.col("__ver") == F.col("__dver")) & (F.col("__cod3") == F.col("__dcod")), "left")
+    return j.withColumn(out, F.col("__dval")).drop("__ver", "__cod3", "__dver", "__dcod", "__dval")
 
 
 def map_cause(df: DataFrame, code_col: str = "C_BAS1", year_col: str = "year",
-              out: str = "cause", icd9=ICD9_RANGES, icd10=ICD10_RANGES,
+              out: str = "cause", dim: DataFrame | None = None,
               last_icd9_year: int = ICD9_LAST_YEAR) -> DataFrame:
-    """Three-character ICD code → chapter (H2). The ICD revision is chosen by
-    year, so a code can never match both lists (SURVEY Q11); codes in a gap or
-    a NULL/blank code give NULL."""
-    staged = _icd_parts(df, code_col, year_col, last_icd9_year)
-    return staged.withColumn(out, _icd_range_expr(icd9, icd10)).drop(*_ICD_TMP)
+    """Three-character ICD code → chapter (H2) by a broadcast equi-join on
+    (revision, code) with :func:`icd_dimension`. The revision is chosen by
+    year, so a code never matches both lists and rows never multiply
+    (SURVEY Q11); codes in a gap or a NULL/blank code give NULL."""
+    return _map_icd(df, code_col, year_col, "cause", out, dim, last_icd9_year)
 
 
 def map_ext_cause(df: DataFrame, code_col: str = "C_BAS1", year_col: str = "year",
-                  out: str = "ext_cause", ranges=EXT_CAUSE_RANGES,
+                  out: str = "ext_cause", dim: DataFrame | None = None,
                   last_icd9_year: int = ICD9_LAST_YEAR) -> DataFrame:
     """External-cause group of an ICD-10 code (the analysis input ``ext_cause``,
     SURVEY Q9); NULL for ICD-9 years and for codes outside the ranges."""
-    if not ranges:
-        return df.withColumn(out, F.lit(None).cast("string"))
-    staged = _icd_parts(df, code_col, year_col, last_icd9_year)
-    return staged.withColumn(out, _icd_range_expr((), ranges)).drop(*_ICD_TMP)
+    return _map_icd(df, code_col, year_col, "ext_cause", out, dim, last_icd9_year)
 
 
 def age_code_table(eras=AGE_CODE_ERAS, labels5=AGE_GROUPS5) -> dict:
@@ -232,30 +247,32 @@ def age_code_table(eras=AGE_CODE_ERAS, labels5=AGE_GROUPS5) -> dict:
     return out
 
 
+def age_code_dimension(spark, eras=AGE_CODE_ERAS, labels5=AGE_GROUPS5) -> DataFrame:
+    """``(era, code, age_group, age_group5)`` for every listed code: at most a
+    few hundred rows whatever the data size, so it is always broadcast."""
+    rows = [(e, c, w, a) for (e, c), (w, a) in sorted(age_code_table(eras, labels5).items())]
+    return literal_frame(spark, rows, ["__era", "__code", "age_group", "age_group5"],
+                         ["int", "int", "string", "string"])
+
+
 def map_age_codes(df: DataFrame, code_col: str = "GRU_ED1", year_col: str = "year",
                   eras=AGE_CODE_ERAS, labels5=AGE_GROUPS5) -> DataFrame:
     """Era-specific age code → wide group ``age_group`` and abridged group
-    ``age_group5`` (H1). The era is picked by year like the reference's
-    if / else-if chain: every year outside the earlier eras (missing too)
-    uses the last one. Unknown or unlisted codes give NULL.
-
-    The rule table becomes one literal map keyed by ``era * 1000 + code``,
-    so the lookup is a single expression even after a filter on the result
-    is pushed below it."""
+    ``age_group5`` (H1), by a broadcast equi-join on (era, code). The era is
+    picked by year like the reference's if / else-if chain: every year
+    outside the earlier eras (missing too) uses the last one. Unknown or
+    unlisted codes give NULL."""
     era = None
     for i, (y0, y1, _) in enumerate(eras[:-1]):
         cond = F.col(year_col).between(y0, y1)
         era = F.when(cond, F.lit(i)) if era is None else era.when(cond, F.lit(i))
     era = F.lit(len(eras) - 1) if era is None else era.otherwise(F.lit(len(eras) - 1))
-    table = age_code_table(eras, labels5)
-    lookup = F.create_map(*[x for (e, c), (w, a) in sorted(table.items())
-                            for x in (F.lit(e * 1000 + c), F.struct(F.lit(w).alias("w"), F.lit(a).alias("a")))])
-    code = to_number(F.col(code_col).cast("string"), "int")
-    hit = lookup[era * F.lit(1000) + code]
-    return (df.withColumn("__hit", hit)
-              .withColumn("age_group", F.col("__hit.w"))
-              .withColumn("age_group5", F.col("__hit.a"))
-              .drop("__hit"))
+    dim = F.broadcast(age_code_dimension(df.sparkSession, eras, labels5)
+                      .withColumnsRenamed({"__era": "__dera", "__code": "__dcode"}))
+    staged = (df.withColumn("__era", era)
+                .withColumn("__code", to_number(F.col(code_col).cast("string"), "int")))
+    j = staged.join(dim, (F.col("__era") == F.col("__dera")) & (F.col("__code") == F.col("__dcode")), "left")
+    return j.drop("__era", "__code", "__dera", "__dcode")
 
 
 def map_codes(df: DataFrame, sex_col: str = "SEXO", regime_col: str | None = "SEG_SOCIAL") -> DataFrame:
@@ -374,8 +391,7 @@ def classify_region(rurality: DataFrame, extra=EXTRA_MUNICIPALITY) -> DataFrame:
         F.when(is_in(F.col("Categoria_"), RURAL_CATEGORIES), F.lit("Rural"))
          .otherwise(F.lit("Urban")).alias("region"),
     )
-    spark = rurality.sparkSession
-    add = spark.createDataFrame([extra], "cod_mpio string, dpto string, mpio string, region string")
+    add = literal_frame(rurality.sparkSession, [extra], ["cod_mpio", "dpto", "mpio", "region"])
     return dim.unionByName(add)
 
 

@@ -14,7 +14,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalrates.functions.bins import cut, decade, label_ordinal
+from vitalrates.functions.bins import decade
+from vitalrates.functions.frames import literal_frame
 from vitalrates.functions.nulls import if_else, join_ns, strict_sum
 from vitalrates.functions.text import est_ci_text
 from vitalrates.operators import counts as C
@@ -56,23 +57,35 @@ class Study:
         cfg = cfg or TPCH
         silver = H.clean_deaths(tpch.raw_deaths(spark, sf_dir))
         deaths = H.map_ext_cause(H.analysis_deaths(silver, cfg.sexes), "C_BAS1", "year")
-        items = tpch.population_items(spark, sf_dir)
         regions = H.classify_region(tpch.rurality_source(spark, sf_dir))
-        return cls(deaths, tpch.popnac_long(items), tpch.popmpio_long(items),
-                   tpch.popbdua_raw(items, cfg.insured_years[0]), regions, cfg)
+        pop_cube = tpch.population_cube(tpch.population_items(spark, sf_dir))
+        st = cls(deaths, tpch.popnac_long(pop_cube), tpch.popmpio_long(pop_cube),
+                 tpch.popbdua_raw(pop_cube, cfg.insured_years[0]), regions, cfg)
+        st._pop_cube = pop_cube
+        return st
+
+    _pop_cube: DataFrame | None = None
 
     def materialize(self) -> "Study":
-        """Write the base cube and the population strata under
-        ``spark.checkpoint.dir`` and read them back. This is the only pass over
-        row-level data; every derived table then plans over small stored
-        strata and restarts from storage, not from the raw scan, if executors
-        are lost."""
+        """Store the row-level results once under ``spark.checkpoint.dir``:
+        the harmonised deaths (partitioned by year), the population cube,
+        then the death cube and population strata derived from the stored
+        copies. Row-level data is read once; every derived table plans over
+        small stored strata and restarts from storage, not from the raw
+        scan, if executors are lost."""
+        from vitalrates.plans import tpch
         from vitalrates.sources.sinks import materialize
-        for name in ("cube", "popnac", "popmpio", "popbdua", "regions"):
+        self.deaths_tot = materialize(self.deaths_tot, "deaths_tot", partition_by=["year"])
+        self.regions = materialize(self.regions, "regions")
+        if self._pop_cube is not None:
+            pc = materialize(self._pop_cube, "population_cube")
+            self._popnac_long = tpch.popnac_long(pc)
+            self._popmpio_long = tpch.popmpio_long(pc)
+            self._popbdua_raw = tpch.popbdua_raw(pc, self.cfg.insured_years[0])
+        for name in ("cube_cause", "popref", "pop_region", "cube", "popnac", "popmpio", "popbdua"):
+            self.__dict__.pop(name, None)
+        for name in ("cube", "popnac", "popmpio", "popbdua"):
             self.__dict__[name] = materialize(getattr(self, name), name)
-        self.__dict__.pop("cube_cause", None)
-        self.__dict__.pop("popref", None)
-        self.__dict__.pop("pop_region", None)
         return self
 
     # ------------------------------------------------------------ base cube
@@ -109,13 +122,13 @@ class Study:
 
     @cached_property
     def airp(self) -> DataFrame:
-        return self.spark.createDataFrame(self.cfg.wide.midpoints(), "age_group string, AIRP double")
+        return literal_frame(self.spark, self.cfg.wide.midpoints(), ["age_group", "AIRP"], ["string", "double"])
 
     @cached_property
     def age_starts(self) -> DataFrame:
         b = self.cfg.abridged
-        return self.spark.createDataFrame([(lab, int(lo)) for lab, lo in zip(b.labels, b.lower)],
-                                          "age_group5 string, age_li int")
+        return literal_frame(self.spark, [(lab, int(lo)) for lab, lo in zip(b.labels, b.lower)],
+                             ["age_group5", "age_li"], ["string", "int"])
 
     def _nat(self, keys) -> DataFrame:
         return self.popnac.groupBy(*keys).agg(strict_sum("pop").alias("nj"))

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalrates.sources.readers import read_spread
+
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,9 +33,9 @@ def _items(spark: SparkSession, sf_dir: str, extra: tuple = ()) -> DataFrame:
     """lineitem ⋈ orders ⋈ customer. Both joins are plain equi-joins: Spark
     broadcasts a side only when its measured size is under the broadcast
     threshold (AQE re-plans at run time) and sort-merges otherwise."""
-    l = _t(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_linestatus", "l_shipdate")
+    l = read_spread(spark, f"{sf_dir}/lineitem.parquet",
+                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                     "l_linestatus", "l_shipdate"])
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return (l.join(o, l.l_orderkey == o.o_orderkey)
@@ -95,21 +97,28 @@ def population_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def popmpio_long(items: DataFrame) -> DataFrame:
+def population_cube(items: DataFrame) -> DataFrame:
+    """The one aggregate over row-level exposure: municipality × year × sex ×
+    single age × insurance fields. The national, municipal and insured
+    populations are all re-sums of it (one pass over the join)."""
+    return items.groupBy("COD_MPIO", "ANO", "SEXO", "EDAD", "regime", "sex").agg(F.sum("N").alias("N"))
+
+
+def popmpio_long(cube: DataFrame) -> DataFrame:
     """Municipal population in long form ``COD_MPIO, ANO, SEXO, EDAD, N``."""
-    return items.groupBy("COD_MPIO", "ANO", "SEXO", "EDAD").agg(F.sum("N").alias("N"))
+    return cube.groupBy("COD_MPIO", "ANO", "SEXO", "EDAD").agg(F.sum("N").alias("N"))
 
 
-def popnac_long(items: DataFrame) -> DataFrame:
+def popnac_long(cube: DataFrame) -> DataFrame:
     """National population ``ANO, SEXO, EDAD, N``."""
-    return items.groupBy("ANO", "SEXO", "EDAD").agg(F.sum("N").alias("N"))
+    return cube.groupBy("ANO", "SEXO", "EDAD").agg(F.sum("N").alias("N"))
 
 
-def popbdua_raw(items: DataFrame, first_year: int = 1997) -> DataFrame:
+def popbdua_raw(cube: DataFrame, first_year: int = 1997) -> DataFrame:
     """Insured population ``year (text), regime, sex, age, afil``."""
-    return (items.where(F.col("ANO") >= first_year)
-                 .groupBy(F.col("ANO").cast("string").alias("year"), "regime", "sex", F.col("EDAD").alias("age"))
-                 .agg(F.sum("N").alias("afil")))
+    return (cube.where(F.col("ANO") >= first_year)
+                .groupBy(F.col("ANO").cast("string").alias("year"), "regime", "sex", F.col("EDAD").alias("age"))
+                .agg(F.sum("N").alias("afil")))
 
 
 def population_wide(items: DataFrame) -> DataFrame:
