@@ -177,17 +177,18 @@ def icd_version(year: Column, last_icd9_year: int = ICD9_LAST_YEAR) -> Column:
     return F.when(year <= last_icd9_year, F.lit("9")).otherwise(F.lit("10"))
 
 
-def _range_case(num: Column, ranges, letter: Column | None = None) -> Column:
-    expr = None
+def _range_case_sql(num: str, ranges, letter: str | None = None) -> str:
+    """CASE text for range rules over an integer column (first match wins)."""
+    parts = []
     for r in ranges:
         if letter is None:
             lo, hi, label = r
-            cond = num.between(lo, hi)
+            cond = f"{num} BETWEEN {lo} AND {hi}"
         else:
             let, lo, hi, label = r
-            cond = (letter == let) & num.between(lo, hi)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr if expr is not None else F.lit(None).cast("string")
+            cond = f"{letter} = '{let}' AND {num} BETWEEN {lo} AND {hi}"
+        parts.append(f"WHEN {cond} THEN '{label}'")
+    return "CAST(NULL AS STRING)" if not parts else "CASE " + " ".join(parts) + " END"
 
 
 def icd_dimension(spark, icd9=ICD9_RANGES, icd10=ICD10_RANGES, ext=EXT_CAUSE_RANGES) -> DataFrame:
@@ -196,15 +197,14 @@ def icd_dimension(spark, icd9=ICD9_RANGES, icd10=ICD10_RANGES, ext=EXT_CAUSE_RAN
     letter+two-digit ICD-10 code, 1 000 + 2 600 rows whatever the data size,
     so it is always broadcast. First matching rule wins, as in a
     ``case_when``."""
-    n9 = F.col("id").cast("int")
-    d9 = spark.range(0, 1000).select(
-        F.lit("9").alias("ver"), F.lpad(n9.cast("string"), 3, "0").alias("cod3"),
-        _range_case(n9, icd9).alias("cause"), F.lit(None).cast("string").alias("ext_cause"))
-    let = F.expr("chr(cast(65 + floor(id / 100) as int))")
-    n10 = (F.col("id") % 100).cast("int")
-    d10 = spark.range(0, 2600).select(
-        F.lit("10").alias("ver"), F.concat(let, F.lpad(n10.cast("string"), 2, "0")).alias("cod3"),
-        _range_case(n10, icd10, let).alias("cause"), _range_case(n10, ext, let).alias("ext_cause"))
+    d9 = spark.range(0, 1000).selectExpr(
+        "'9' AS ver", "lpad(CAST(id AS STRING), 3, '0') AS cod3",
+        f"{_range_case_sql('CAST(id AS INT)', icd9)} AS cause", "CAST(NULL AS STRING) AS ext_cause")
+    d10 = (spark.range(0, 2600)
+           .selectExpr("chr(CAST(65 + floor(id / 100) AS INT)) AS let", "CAST(id % 100 AS INT) AS num")
+           .selectExpr("'10' AS ver", "concat(let, lpad(CAST(num AS STRING), 2, '0')) AS cod3",
+                       f"{_range_case_sql('num', icd10, 'let')} AS cause",
+                       f"{_range_case_sql('num', ext, 'let')} AS ext_cause"))
     return d9.unionByName(d10)
 
 
@@ -213,8 +213,8 @@ def _map_icd(df: DataFrame, code_col: str, year_col: str, pick: str, out: str, d
     dim = dim if dim is not None else icd_dimension(df.sparkSession)
     d = F.broadcast(dim.select(F.col("ver").alias("__dver"), F.col("cod3").alias("__dcod"),
                                F.col(pick).alias("__dval")))
-    staged = (df.withColumn("__ver", icd_version(F.col(year_col), last_icd9_year))
-                .withColumn("__cod3", F.substring(F.col(code_col), 1, 3)))
+    staged = df.withColumns({"__ver": icd_version(F.col(year_col), last_icd9_year),
+                             "__cod3": F.substring(F.col(code_col), 1, 3)})
     j = staged.join(d, (F.col("__ver") == F.col("__dver")) & (F.col("__cod3") == F.col("__dcod")), "left")
     return j.withColumn(out, F.col("__dval")).drop("__ver", "__cod3", "__dver", "__dcod", "__dval")
 
@@ -269,8 +269,7 @@ def map_age_codes(df: DataFrame, code_col: str = "GRU_ED1", year_col: str = "yea
     era = F.lit(len(eras) - 1) if era is None else era.otherwise(F.lit(len(eras) - 1))
     dim = F.broadcast(age_code_dimension(df.sparkSession, eras, labels5)
                       .withColumnsRenamed({"__era": "__dera", "__code": "__dcode"}))
-    staged = (df.withColumn("__era", era)
-                .withColumn("__code", to_number(F.col(code_col).cast("string"), "int")))
+    staged = df.withColumns({"__era": era, "__code": to_number(F.col(code_col).cast("string"), "int")})
     j = staged.join(dim, (F.col("__era") == F.col("__dera")) & (F.col("__code") == F.col("__dcode")), "left")
     return j.drop("__era", "__code", "__dera", "__dcode")
 
@@ -278,27 +277,25 @@ def map_age_codes(df: DataFrame, code_col: str = "GRU_ED1", year_col: str = "yea
 def map_codes(df: DataFrame, sex_col: str = "SEXO", regime_col: str | None = "SEG_SOCIAL") -> DataFrame:
     """Sex 1/2/3 → Male/Female/Indeterminate, regime 1/2 → contr/subs (H3).
     A missing regime column gives a NULL regime (S4)."""
-    out = df.withColumn("sex", _decode(F.col(sex_col), SEX_CODES))
-    if regime_col and regime_col in df.columns:
-        out = out.withColumn("regime", _decode(F.col(regime_col), REGIME_CODES))
-    else:
-        out = out.withColumn("regime", F.lit(None).cast("string"))
-    return out
+    regime = (_decode(F.col(regime_col), REGIME_CODES) if regime_col and regime_col in df.columns
+              else F.lit(None).cast("string"))
+    return df.withColumns({"sex": _decode(F.col(sex_col), SEX_CODES), "regime": regime})
 
 
 def build_geo(df: DataFrame) -> DataFrame:
     """Padded department and municipality codes; municipality ``999`` is
     unknown (H4)."""
-    out = (df
-           .withColumn("cod_dpto", zero_pad(F.col("COD_DPTO"), 2))
-           .withColumn("cod_dptore", zero_pad(F.col("CODPTORE"), 2))
-           .withColumn("cod_mpio1", zero_pad(F.col("COD_MUNIC"), 3))
-           .withColumn("cod_mpiore1", zero_pad(F.col("CODMUNRE"), 3)))
+    out = df.withColumns({
+        "cod_dpto": zero_pad(F.col("COD_DPTO"), 2),
+        "cod_dptore": zero_pad(F.col("CODPTORE"), 2),
+        "cod_mpio1": zero_pad(F.col("COD_MUNIC"), 3),
+        "cod_mpiore1": zero_pad(F.col("CODMUNRE"), 3)})
+
     def mpio(d, m):
         ok = F.col(d).isNotNull() & F.col(m).isNotNull() & (F.col(m) != "999")
         return F.when(ok, F.concat(F.col(d), F.col(m)))
-    return (out.withColumn("cod_mpio", mpio("cod_dpto", "cod_mpio1"))
-               .withColumn("cod_mpiore", mpio("cod_dptore", "cod_mpiore1")))
+    return out.withColumns({"cod_mpio": mpio("cod_dpto", "cod_mpio1"),
+                            "cod_mpiore": mpio("cod_dptore", "cod_mpiore1")})
 
 
 def clean_deaths(raw: DataFrame, eras=AGE_CODE_ERAS) -> DataFrame:
@@ -307,9 +304,8 @@ def clean_deaths(raw: DataFrame, eras=AGE_CODE_ERAS) -> DataFrame:
     cols = ["COD_DPTO", "COD_MUNIC", "CODPTORE", "CODMUNRE", "ANO", "MES",
             "SEXO", "SEG_SOCIAL", "GRU_ED1", "C_BAS1"]
     present = [c for c in cols if c in raw.columns]
-    y = (raw.select(*present)
-            .withColumn("month", to_number(F.col("MES"), "int"))
-            .withColumn("year", to_number(F.col("ANO"), "int")))
+    y = raw.select(*present, to_number(F.col("MES"), "int").alias("month"),
+                   to_number(F.col("ANO"), "int").alias("year"))
     y = map_codes(y, "SEXO", "SEG_SOCIAL" if "SEG_SOCIAL" in present else None)
     y = map_age_codes(y, "GRU_ED1", "year", eras)
     y = build_geo(y)
@@ -345,9 +341,9 @@ def recode_geo(df: DataFrame, recodes=MUNICIPALITY_RECODES,
     """Ordered geography recodes (H6). A pre-split department-83 death moves to
     department 18; a missing municipality stays missing (SURVEY Q4)."""
     old83 = (F.col("year") <= dept83_last_year) & (F.col("cod_dptof") == "83")
-    out = (df.withColumn("cod_mpiof", F.when(old83, F.concat(F.lit("18"), F.substring("cod_mpiof", 3, 4)))
-                                        .otherwise(F.col("cod_mpiof")))
-             .withColumn("cod_dptof", F.when(old83, F.lit("18")).otherwise(F.col("cod_dptof"))))
+    out = df.withColumns({
+        "cod_mpiof": F.when(old83, F.concat(F.lit("18"), F.substring("cod_mpiof", 3, 4))).otherwise(F.col("cod_mpiof")),
+        "cod_dptof": F.when(old83, F.lit("18")).otherwise(F.col("cod_dptof"))})
     mapping = compose_recodes(recodes)
     if not mapping:
         return out

@@ -63,6 +63,11 @@ def standardise_by_period(rates: DataFrame, by: Sequence[str], d: str, n: str,
                       .withColumn(names["d_std"], F.col(names["r"]) * F.col("pop_ref"))
                       .withColumn(names["smr"], F.col(names["r"]) * F.col("prop_ref") * F.lit(scale)))
     per_age = _limits(per_age, names["smr"], names["d_std"])
+    return standardise_by_period_total(per_age, by, names)
+
+
+def standardise_by_period_total(per_age: DataFrame, by: Sequence[str], names: dict) -> tuple[DataFrame, DataFrame]:
+    """Total over age groups of a per-age decade table (second half of R6)."""
     total = (per_age.groupBy("decade", *by)
                     .agg(strict_sum(F.col(names["smr"])).alias(names["smr_tot"]),
                          strict_sum(F.col(names["d_std"])).alias(names["d_std_tot"])))

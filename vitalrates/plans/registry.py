@@ -80,8 +80,9 @@ def _st(attr):
 
 
 def _silver(spark, d):
-    from vitalrates.plans import tpch
-    return H.map_ext_cause(H.clean_deaths(tpch.raw_deaths(spark, d)))
+    """Harmonised record table of the study (stored once, partitioned by
+    year) with the external-cause group."""
+    return H.map_ext_cause(study(spark, d).silver)
 
 
 # -- harmonisation (row level, from the raw tables)

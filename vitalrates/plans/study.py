@@ -27,6 +27,24 @@ from vitalrates.operators.lifetable import life_table_e0, life_table_strata
 from vitalrates.operators.yll import years_lost, yll_rate
 from vitalrates.plans.config import StudyConfig
 
+def stage(fn):
+    """A derived table computed once per study. In a materialised study it is
+    written under ``spark.checkpoint.dir`` on first use, so every later table
+    plans over small stored strata instead of re-planning the chain."""
+    name = fn.__name__
+
+    def get(self):
+        if name not in self.__dict__:
+            df = fn(self)
+            if self._stored:
+                from vitalrates.sources.sinks import materialize
+                df = materialize(df, name)
+            self.__dict__[name] = df
+        return self.__dict__[name]
+    get.__doc__ = fn.__doc__
+    return property(get)
+
+
 CUBE_DIMS = ("year", "sex", "age_group", "age_group5", "cause", "cause_ext", "ext_cause",
              "region", "cod_dptof", "regime")
 REGIME_LABELS = (("All people", "All people"), ("contr", "Contributory"), ("subs", "Subsidised"))
@@ -48,6 +66,7 @@ class Study:
         self._popmpio_long = popmpio_long
         self._popbdua_raw = popbdua_raw
         self.regions = regions
+        self._stored = False
 
     # ------------------------------------------------------------ factories
     @classmethod
@@ -56,15 +75,22 @@ class Study:
         from vitalrates.plans.config import TPCH
         cfg = cfg or TPCH
         silver = H.clean_deaths(tpch.raw_deaths(spark, sf_dir))
-        deaths = H.map_ext_cause(H.analysis_deaths(silver, cfg.sexes), "C_BAS1", "year")
+        deaths = cls.deaths_from_silver(silver, cfg)
         regions = H.classify_region(tpch.rurality_source(spark, sf_dir))
         pop_cube = tpch.population_cube(tpch.population_items(spark, sf_dir))
         st = cls(deaths, tpch.popnac_long(pop_cube), tpch.popmpio_long(pop_cube),
                  tpch.popbdua_raw(pop_cube, cfg.insured_years[0]), regions, cfg)
         st._pop_cube = pop_cube
+        st.silver = silver
         return st
 
     _pop_cube: DataFrame | None = None
+    silver: DataFrame | None = None
+
+    @staticmethod
+    def deaths_from_silver(silver: DataFrame, cfg: StudyConfig) -> DataFrame:
+        """Silver death records → analysis level with the external-cause group."""
+        return H.map_ext_cause(H.analysis_deaths(silver, cfg.sexes), "C_BAS1", "year")
 
     def materialize(self) -> "Study":
         """Store the row-level results once under ``spark.checkpoint.dir``:
@@ -75,7 +101,13 @@ class Study:
         scan, if executors are lost."""
         from vitalrates.plans import tpch
         from vitalrates.sources.sinks import materialize
-        self.deaths_tot = materialize(self.deaths_tot, "deaths_tot", partition_by=["year"])
+        if self.silver is not None:
+            # the harmonised record table (the reference's persisted deaths
+            # file); analysis-level records are a cheap projection of it
+            self.silver = materialize(self.silver, "deaths_silver", partition_by=["year"])
+            self.deaths_tot = self.deaths_from_silver(self.silver, self.cfg)
+        else:
+            self.deaths_tot = materialize(self.deaths_tot, "deaths_tot", partition_by=["year"])
         self.regions = materialize(self.regions, "regions")
         if self._pop_cube is not None:
             pc = materialize(self._pop_cube, "population_cube")
@@ -86,6 +118,7 @@ class Study:
             self.__dict__.pop(name, None)
         for name in ("cube", "popnac", "popmpio", "popbdua"):
             self.__dict__[name] = materialize(getattr(self, name), name)
+        self._stored = True
         return self
 
     # ------------------------------------------------------------ base cube
@@ -116,7 +149,7 @@ class Study:
     def popbdua(self) -> DataFrame:
         return P.insured_population(self._popbdua_raw, (None, self.cfg.insured_years[1]), self.cfg.wide)
 
-    @cached_property
+    @stage
     def popref(self) -> DataFrame:
         return P.standard_population(self.popnac, self.cfg.std_year)
 
@@ -143,15 +176,15 @@ class Study:
         strata = life_table_strata(pop, cube, by, self.age_starts)
         return life_table_e0(strata, by)
 
-    @cached_property
+    @stage
     def lifeexp_sex(self) -> DataFrame:
         return self._life(["year", "sex"], self.popnac, self.cube)
 
-    @cached_property
+    @stage
     def lifeexp(self) -> DataFrame:
         return self._life(["year"], self.popnac, self.cube)
 
-    @cached_property
+    @stage
     def lifeexp_decade(self) -> DataFrame:
         w = self.cfg.decade_width
         pop = (self.popnac.groupBy("year", "age_group5").agg(strict_sum("pop").alias("pop"))
@@ -183,35 +216,35 @@ class Study:
     def _causes_seen(self, col="cause") -> DataFrame:
         return self.cube_cause.select(col).distinct()
 
-    @cached_property
+    @stage
     def ij_interp(self) -> DataFrame:
         """Counts by year × sex × cause_ext × age with the masked cells
         interpolated (before suppression)."""
         d = C.count_strata(self.cube_cause, ["year", "sex", "cause_ext", "age_group"], out="dij")
         return self._repair(d, "dij", ["sex", "cause_ext", "age_group"])
 
-    @cached_property
+    @stage
     def d_ij(self) -> DataFrame:
         c = self.cfg
         d = C.suppress_small(self.ij_interp, "dij", c.min_count)
         return C.complete(d, self._grid(c.years, cause_ext=self._causes_seen("cause_ext")), "dij", 0.0)
 
-    @cached_property
+    @stage
     def r_ij(self) -> DataFrame:
         return S.stratum_rates(self._nat(["year", "sex", "age_group"]), self.d_ij, self.popref,
                                ["year", "sex", "age_group"], "dij", "nj", "rij", "rij_std")
 
-    @cached_property
+    @stage
     def d_j(self) -> DataFrame:
         d = C.resum(self.d_ij, ["year", "sex", "age_group"], "dij", "dj")
         return C.suppress_small(d, "dj", self.cfg.min_count)
 
-    @cached_property
+    @stage
     def r_j(self) -> DataFrame:
         return S.stratum_rates(self._nat(["year", "sex", "age_group"]), self.d_j, self.popref,
                                ["year", "sex", "age_group"], "dj", "nj", "rj", "rj_std")
 
-    @cached_property
+    @stage
     def d_regionj(self) -> DataFrame:
         c = self.cfg
         d = C.count_strata(self.cube_cause, ["year", "sex", "region", "age_group"], out="durj",
@@ -220,14 +253,14 @@ class Study:
         d = C.suppress_small(d, "durj", c.min_count)
         return C.complete(d, self._grid(c.years, region=list(c.regions)), "durj", 0.0)
 
-    @cached_property
+    @stage
     def r_regionj(self) -> DataFrame:
         keys = ["year", "sex", "region", "age_group"]
         pop = self.pop_region.groupBy(*keys).agg(strict_sum("pop").alias("nurj"))
         d = self.d_regionj.where(F.col("year") >= self.cfg.mpio_years[0])
         return S.stratum_rates(pop, d, self.popref, keys, "durj", "nurj", "rurj", "rurj_std")
 
-    @cached_property
+    @stage
     def d_dptoj(self) -> DataFrame:
         d = C.count_strata(self.cube_cause.withColumnRenamed("cod_dptof", "cod_dpto"),
                            ["year", "sex", "cod_dpto", "age_group"], out="ddptoj",
@@ -235,7 +268,7 @@ class Study:
         d = self._repair(d, "ddptoj", ["sex", "cod_dpto", "age_group"])
         return C.suppress_small(d, "ddptoj", self.cfg.min_count)
 
-    @cached_property
+    @stage
     def r_dptoj(self) -> DataFrame:
         keys = ["year", "sex", "cod_dpto", "age_group"]
         pop = (self.popmpio.withColumn("cod_dpto", F.substring("cod_mpio", 1, 2))
@@ -246,7 +279,7 @@ class Study:
     def _regime_counts(self, keys, out) -> DataFrame:
         return C.count_strata(self.cube_cause, keys, out=out, where=F.col("regime").isNotNull())
 
-    @cached_property
+    @stage
     def d_regimeij(self) -> DataFrame:
         c = self.cfg
         d = self._regime_counts(["year", "sex", "regime", "cause_ext", "age_group"], "dregij")
@@ -257,21 +290,21 @@ class Study:
     def _pop_regime(self, keys) -> DataFrame:
         return self.popbdua.groupBy(*keys).agg(strict_sum("afil").alias("nregj"))
 
-    @cached_property
+    @stage
     def r_regimeij(self) -> DataFrame:
         keys = ["year", "sex", "age_group", "regime"]
         d = self.d_regimeij.where(F.col("year") >= self.cfg.insured_years[0])
         return S.stratum_rates(self._pop_regime(keys), d, self.popref, keys, "dregij", "nregj",
                                "rregij", "rregij_std")
 
-    @cached_property
+    @stage
     def d_regimej(self) -> DataFrame:
         c = self.cfg
         d = self._regime_counts(["year", "sex", "regime", "age_group"], "dregj")
         d = C.suppress_small(d, "dregj", c.min_count)
         return C.complete(d, self._grid(c.regime_years, regime=list(c.regimes)), "dregj", 0)
 
-    @cached_property
+    @stage
     def r_regimej(self) -> DataFrame:
         keys = ["year", "sex", "regime", "age_group"]
         d = self.d_regimej.where(F.col("year") >= self.cfg.insured_years[0])
@@ -282,26 +315,26 @@ class Study:
     def _not_male_maternal(df: DataFrame) -> DataFrame:
         return df.where(~((F.col("sex") == "Male") & (F.col("cause") == "Maternal diseases")))
 
-    @cached_property
+    @stage
     def i2j_interp(self) -> DataFrame:
         """Counts by year × sex × cause × age, masked cells interpolated after
         the zero anchor (before suppression)."""
         d = C.count_strata(self.cube_cause, ["year", "sex", "cause", "age_group"], out="dij")
         return self._repair(d, "dij", ["sex", "cause", "age_group"], ("cause", self._causes_seen("cause")))
 
-    @cached_property
+    @stage
     def d_i2j(self) -> DataFrame:
         c = self.cfg
         d = C.suppress_small(self.i2j_interp, "dij", c.min_count)
         d = C.complete(d, self._grid(c.years, cause=self._causes_seen("cause")), "dij", 0.0)
         return self._not_male_maternal(d)
 
-    @cached_property
+    @stage
     def r_i2j(self) -> DataFrame:
         return S.stratum_rates(self._nat(["year", "sex", "age_group"]), self.d_i2j, self.popref,
                                ["year", "sex", "age_group"], "dij", "nj", "rij", "rij_std")
 
-    @cached_property
+    @stage
     def d_i3j(self) -> DataFrame:
         c = self.cfg
         keys = ["year", "sex", "ext_cause", "age_group"]
@@ -313,12 +346,12 @@ class Study:
         d = C.suppress_small(d, "dij", c.min_count)
         return C.complete(d, self._grid(c.years, ext_cause=list(c.ext_causes)), "dij", 0.0)
 
-    @cached_property
+    @stage
     def r_i3j(self) -> DataFrame:
         return S.stratum_rates(self._nat(["year", "sex", "age_group"]), self.d_i3j, self.popref,
                                ["year", "sex", "age_group"], "dij", "nj", "rij", "rij_std")
 
-    @cached_property
+    @stage
     def d_regimei2j(self) -> DataFrame:
         c = self.cfg
         d = self._regime_counts(["year", "sex", "regime", "cause", "age_group"], "dregij")
@@ -326,7 +359,7 @@ class Study:
         g = self._grid(c.regime_years, regime=list(c.regimes), cause=self._causes_seen("cause"))
         return self._not_male_maternal(C.complete(d, g, "dregij", 0))
 
-    @cached_property
+    @stage
     def r_regimei2j(self) -> DataFrame:
         keys = ["year", "sex", "age_group", "regime"]
         d = self.d_regimei2j.where(F.col("year") >= self.cfg.insured_years[0])
@@ -334,21 +367,21 @@ class Study:
                                "rregij", "rregij_std")
 
     # ------------------------------------------------------------ yearly standardised rates
-    @cached_property
+    @stage
     def mrnac_sex(self) -> DataFrame:
         return S.standardise(self.r_j, ["year", "sex"], "rj", "rj_std", "d_std", "r_std", self.cfg.scale)
 
-    @cached_property
+    @stage
     def mrnac_sex_ext(self) -> DataFrame:
         return S.standardise(self.r_ij, ["year", "sex", "cause_ext"], "rij", "rij_std", "di_std", "ri_std",
                              self.cfg.scale)
 
-    @cached_property
+    @stage
     def mrur_sex(self) -> DataFrame:
         return S.standardise(self.r_regionj, ["year", "sex", "region"], "rurj", "rurj_std", "dur_std",
                              "rur_std", self.cfg.scale)
 
-    @cached_property
+    @stage
     def mrregime_sex(self) -> DataFrame:
         return S.standardise(self.r_regimej, ["year", "sex", "regime"], "rregj", "rregj_std", "dreg_std",
                              "rreg_std", self.cfg.scale)
@@ -391,7 +424,13 @@ class Study:
 
     # ------------------------------------------------------------ decades
     def _period(self, rates, by, d, n, names):
-        return S.standardise_by_period(rates, by, d, n, names, self.cfg.scale, self.cfg.decade_width)
+        per_age, total = S.standardise_by_period(rates, by, d, n, names, self.cfg.scale, self.cfg.decade_width)
+        if self._stored:
+            from vitalrates.sources.sinks import materialize
+            per_age = materialize(per_age, names["smr"])
+            # the total is re-derived from the stored per-age table
+            _, total = S.standardise_by_period_total(per_age, by, names)
+        return per_age, total
 
     @cached_property
     def _smr_ij_i(self):
@@ -428,7 +467,7 @@ class Study:
     smr_regime = property(lambda self: self._smr_regimej_tot[1])
 
     # ------------------------------------------------------------ decade YLL
-    @cached_property
+    @stage
     def ylldec_agesex(self) -> DataFrame:
         return years_lost(self.smr_j, "dj", self.airp, self.lifeexp_decade, ["decade"], self.cfg.yll_scale)
 
@@ -437,7 +476,7 @@ class Study:
         return (self.ylldec_agesex.groupBy("decade", "sex")
                     .agg(strict_sum("yearsll").alias("YLL"), strict_sum("SMRj").alias("SMR")))
 
-    @cached_property
+    @stage
     def ylldec_agesex_ext(self) -> DataFrame:
         return years_lost(self.smr_ij, "dij", self.airp, self.lifeexp_decade, ["decade"], self.cfg.yll_scale)
 
@@ -465,7 +504,7 @@ class Study:
         return contrast_diff(df, ids, value, out, keep_levels=True)
 
     # ------------------------------------------------------------ department
-    @cached_property
+    @stage
     def smr_dpto(self) -> DataFrame:
         c = self.cfg
         dom = self.cube_cause.select(F.col("cod_dptof").alias("cod_dpto")).distinct()

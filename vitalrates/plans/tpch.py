@@ -124,17 +124,18 @@ def popbdua_raw(cube: DataFrame, first_year: int = 1997) -> DataFrame:
 def population_wide(items: DataFrame) -> DataFrame:
     """Municipal projection sheet in its published wide layout: ids, ``AREA``
     and one column per sex × single age (``Hombres_<age>``,
-    ``Mujeres_<age>``) plus total columns. Ages come from the data domain
-    (0..98 step 2); the pivot values are fixed so no extra job runs."""
-    ages = list(range(0, 99, 2))
-    aggs = []
-    for sex, label in (("Male", "Hombres"), ("Female", "Mujeres")):
-        for a in ages:
-            aggs.append(F.sum(F.when((F.col("SEXO") == sex) & (F.col("EDAD") == a), F.col("N"))
-                              .otherwise(F.lit(0))).alias(f"{label}_{a}"))
-        aggs.append(F.sum(F.when(F.col("SEXO") == sex, F.col("N")).otherwise(F.lit(0))).alias(f"Total {label}"))
-    return (items.groupBy("COD_MPIO", "ANO").agg(*aggs)
-                 .withColumn("AREA", F.lit("Total")))
+    ``Mujeres_<age>``) plus a total column per sex. Built with ``pivot`` over
+    a fixed header list (ages 0..98 step 2 of the data domain): one
+    aggregation by (municipality, year, header), then the pivot; absent
+    cells are 0 as in a published sheet."""
+    label = F.when(F.col("SEXO") == "Male", F.lit("Hombres")).otherwise(F.lit("Mujeres"))
+    long = items.groupBy("COD_MPIO", "ANO", "SEXO", "EDAD").agg(F.sum("N").alias("N"))
+    cells = long.select("COD_MPIO", "ANO", F.concat(label, F.lit("_"), F.col("EDAD").cast("string")).alias("hdr"), "N")
+    totals = long.select("COD_MPIO", "ANO", F.concat(F.lit("Total "), label).alias("hdr"), "N")
+    headers = [f"{lab}_{a}" for lab in ("Hombres", "Mujeres") for a in range(0, 99, 2)]
+    headers += ["Total Hombres", "Total Mujeres"]
+    wide = cells.unionByName(totals).groupBy("COD_MPIO", "ANO").pivot("hdr", headers).agg(F.sum("N"))
+    return wide.fillna(0, subset=headers).withColumn("AREA", F.lit("Total"))
 
 
 def rurality_source(spark: SparkSession, sf_dir: str) -> DataFrame:
