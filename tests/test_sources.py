@@ -5,7 +5,7 @@ import os
 import tempfile
 
 from vitalrates.operators.population import population_long, population_strata, standard_population
-from vitalrates.sources.readers import read_deaths, read_rurality
+from vitalrates.sources.readers import read_deaths, read_population_sheet, read_rurality
 
 
 def test_read_deaths_conforms_yearly_files(spark):
@@ -48,3 +48,25 @@ def test_read_rurality_semicolon(spark):
         f.write("Municipaly;Municipali;Departam_1;Categoria_\n5001;Medellín;Antioquia;Ciudades y aglomeraciones\n")
     r = read_rurality(spark, p).collect()[0]
     assert r.Municipaly == 5001 and r.Categoria_ == "Ciudades y aglomeraciones"
+
+
+def test_population_sheet_reader_renames_and_filters(spark):
+    d = tempfile.mkdtemp(prefix="vr-sheet-")
+    p = os.path.join(d, "sheet.csv")
+    with open(p, "w") as f:
+        f.write("a,b,c,d,e,f,Hombres_85 y más,Mujeres_0\n05,Antioquia,Medellín,05001,2000,Total,3,4\n,,,,,,,\n")
+    df = read_population_sheet(spark, p, rename={0: "COD_DPTO", 1: "DPTO", 2: "MPIO", 3: "COD_MPIO", 4: "ANO",
+                                                 5: "AREA"}, required=["COD_MPIO", "ANO"])
+    assert df.columns[:6] == ["COD_DPTO", "DPTO", "MPIO", "COD_MPIO", "ANO", "AREA"]
+    assert "Hombres_85" in df.columns and df.count() == 1
+
+
+def test_report_sink_in_order(spark):
+    from vitalrates.plans.registry import study
+    st = study(spark, "/root/testdata/sf0.001")
+    root = tempfile.mkdtemp(prefix="vr-report-")
+    st.write_report(root)
+    assert sorted(os.listdir(root)) == ["report", "tab1", "tab2", "tabs2"]
+    regimes = [r.regime for r in st.ordered("tab1").collect()]
+    order = {"All people": 0, "Contributory": 1, "Subsidised": 2, None: 3}
+    assert regimes == sorted(regimes, key=lambda x: order[x])

@@ -407,3 +407,19 @@ def unmatched_report(deaths: DataFrame, regions: DataFrame, min_n: int = 10) ->
              .agg(F.count(F.lit(1)).alias("n"),
                   F.array_join(F.sort_array(F.collect_set(F.col("year").cast("string"))), ",").alias("years"))
              .where(F.col("n") >= min_n))
+
+
+def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """First row of each group under an explicit order (W3, ``slice(1)``):
+    one window partition per group, so a large group is one sort, never a
+    collect."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+
+
+def department_labels(regions: DataFrame) -> DataFrame:
+    """One label row per department: the department name on its first
+    municipality row (the map-label table, without geometry)."""
+    d = regions.select(F.substring("cod_mpio", 1, 2).alias("cod_dpto"), "cod_mpio", "dpto")
+    return first_per_group(d, ["cod_dpto"], ["cod_mpio"]).drop("cod_mpio")

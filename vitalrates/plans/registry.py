@@ -303,6 +303,17 @@ _reg("figure_s4", lambda s, d: study(s, d).figure("s4"),
      f"AS regime2 FROM (SELECT year, sex, regime, cause, {O._ss('rregij_std')} * 100000.0 AS SMRregi "
      "FROM r_regimei2j GROUP BY ALL)",
      "year:i sex:s regime:s cause:s SMRregi:d regime2:s")
+_reg("department_labels", lambda s, d: H.department_labels(study(s, d).regions),
+     "SELECT cod_dpto, dpto FROM (SELECT substr(cod_mpio, 1, 2) AS cod_dpto, dpto, row_number() OVER "
+     "(PARTITION BY substr(cod_mpio, 1, 2) ORDER BY cod_mpio) AS rn FROM regions) WHERE rn = 1",
+     "cod_dpto:s dpto:s")
+_reg("figure_s9_map", lambda s, d: study(s, d).figure("s9_map"),
+     "SELECT l.cod_dpto, l.dpto, f.decade, f.smr_excess FROM (SELECT cod_dpto, dpto FROM (SELECT substr(cod_mpio, 1, 2) "
+     "AS cod_dpto, dpto, row_number() OVER (PARTITION BY substr(cod_mpio, 1, 2) ORDER BY cod_mpio) AS rn "
+     "FROM regions) WHERE rn = 1) l LEFT JOIN (SELECT decade, cod_dpto, coalesce(Male, 0.0) - coalesce(Female, 0.0) "
+     "AS smr_excess FROM (" + O._diff("smr_dpto", ["decade", "cod_dpto"], "SMR", "x") + ")) f "
+     "ON l.cod_dpto IS NOT DISTINCT FROM f.cod_dpto",
+     "cod_dpto:s dpto:s decade:i smr_excess:d")
 _reg("figure_s9", lambda s, d: study(s, d).figure("s9"),
      "SELECT decade, cod_dpto, coalesce(Male, 0.0) - coalesce(Female, 0.0) AS smr_excess FROM ("
      + O._diff("smr_dpto", ["decade", "cod_dpto"], "SMR", "x") + ")",

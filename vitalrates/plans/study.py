@@ -562,6 +562,13 @@ class Study:
         w = w.fillna(0.0, subset=["Male", "Female"]).withColumn("smr_excess", F.col("Male") - F.col("Female"))
         return w.drop("Male", "Female")
 
+    def _fig_s9_map(self):
+        """Map attribute rows × decade contrasts: a declared many-to-many
+        left join (J8) of the department label table with the figure S9
+        data; departments without rates keep NULL decade and value."""
+        labels = H.department_labels(self.regions)
+        return join_ns(labels, self._fig_s9(), ["cod_dpto"], "left")
+
     # ------------------------------------------------------------ result tables
     def _relabel_regime(self, df):
         m = F.create_map(*[x for a, b in REGIME_LABELS for x in (F.lit(a), F.lit(b))])
@@ -650,5 +657,22 @@ class Study:
                 .withColumn("smr_ext", est_ci_text(F.col("smr_ext"), F.col("LCI_ext"), F.col("UCI_ext"))))
         return out.drop("LCI", "UCI", "LCI_next", "UCI_next", "LCI_ext", "UCI_ext")
 
+    def ordered(self, table: str) -> DataFrame:
+        """A result table in report order (T6): regime / age group by their
+        level order, then decade."""
+        from vitalrates.functions.bins import label_ordinal
+        t = getattr(self, table) if table != "report" else self.report("tab1")
+        if "regime" in t.columns:
+            levels = [b for _, b in REGIME_LABELS]
+            return t.orderBy(label_ordinal(F.col("regime"), levels).asc_nulls_last(), "decade")
+        levels = ["All ages", *self.cfg.wide.labels]
+        return t.orderBy(label_ordinal(F.col("age_group"), levels).asc_nulls_last(), "decade")
+
+    def write_report(self, root: str, fmt: str = "parquet") -> None:
+        """Result sink (S11): Tables 1, 2, S2 and the formatted Table 1, one
+        dataset each under ``root``, rows in report order."""
+        from vitalrates.sources.sinks import write_results
+        write_results({name: self.ordered(name) for name in ("tab1", "tab2", "tabs2", "report")}, root, fmt)
+
     def unmatched(self, min_n: int = 10) -> DataFrame:
         return H.unmatched_report(self.deaths_tot.where(F.col("cause").isNotNull()), self.regions, min_n)
