@@ -118,7 +118,9 @@ _reg("unmatched_codes", lambda s, d: study(s, d).unmatched(10),
 
 def _population_long(spark, d):
     from vitalrates.plans import tpch
-    wide = tpch.population_wide(tpch.population_items(spark, d))
+    st = study(spark, d)
+    cube = st._pop_cube if st._pop_cube is not None else tpch.population_cube(tpch.population_items(spark, d))
+    wide = tpch.population_wide(cube)
     long = P.population_long(wide, ["COD_MPIO", "ANO"])
     return long.groupBy("ANO", "SEXO", "EDAD").agg(F.sum("N").alias("N"))
 

@@ -74,16 +74,20 @@ class Study:
         from vitalrates.plans import tpch
         from vitalrates.plans.config import TPCH
         cfg = cfg or TPCH
-        silver = H.clean_deaths(tpch.raw_deaths(spark, sf_dir))
+        items = tpch.line_items(spark, sf_dir)
+        silver = H.clean_deaths(tpch.raw_deaths(spark, sf_dir, items))
         deaths = cls.deaths_from_silver(silver, cfg)
         regions = H.classify_region(tpch.rurality_source(spark, sf_dir))
-        pop_cube = tpch.population_cube(tpch.population_items(spark, sf_dir))
+        pop_cube = tpch.population_cube(tpch.population_items(spark, sf_dir, items))
         st = cls(deaths, tpch.popnac_long(pop_cube), tpch.popmpio_long(pop_cube),
                  tpch.popbdua_raw(pop_cube, cfg.insured_years[0]), regions, cfg)
         st._pop_cube = pop_cube
         st.silver = silver
+        st._shared = items
         return st
 
+    _shared: DataFrame | None = None
+
     _pop_cube: DataFrame | None = None
     silver: DataFrame | None = None
 
@@ -101,19 +105,26 @@ class Study:
         scan, if executors are lost."""
         from vitalrates.plans import tpch
         from vitalrates.sources.sinks import materialize
+        from pyspark import StorageLevel
+        if self._shared is not None:
+            # deaths and population both read this fact join: compute it once
+            self._shared.persist(StorageLevel.MEMORY_AND_DISK)
         if self.silver is not None:
             # the harmonised record table (the reference's persisted deaths
-            # file); analysis-level records are a cheap projection of it
-            self.silver = materialize(self.silver, "deaths_silver", partition_by=["year"])
+            # file); analysis-level records are a cheap projection of it.
+            # Written unpartitioned: one file per task, not per task × year.
+            self.silver = materialize(self.silver, "deaths_silver")
             self.deaths_tot = self.deaths_from_silver(self.silver, self.cfg)
         else:
             self.deaths_tot = materialize(self.deaths_tot, "deaths_tot", partition_by=["year"])
         self.regions = materialize(self.regions, "regions")
         if self._pop_cube is not None:
-            pc = materialize(self._pop_cube, "population_cube")
+            pc = self._pop_cube = materialize(self._pop_cube, "population_cube")
             self._popnac_long = tpch.popnac_long(pc)
             self._popmpio_long = tpch.popmpio_long(pc)
             self._popbdua_raw = tpch.popbdua_raw(pc, self.cfg.insured_years[0])
+        if self._shared is not None:
+            self._shared.unpersist()
         for name in ("cube_cause", "popref", "pop_region", "cube", "popnac", "popmpio", "popbdua"):
             self.__dict__.pop(name, None)
         for name in ("cube", "popnac", "popmpio", "popbdua"):

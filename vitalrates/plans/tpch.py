@@ -29,27 +29,31 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _items(spark: SparkSession, sf_dir: str, extra: tuple = ()) -> DataFrame:
-    """lineitem ⋈ orders ⋈ customer. Both joins are plain equi-joins: Spark
-    broadcasts a side only when its measured size is under the broadcast
-    threshold (AQE re-plans at run time) and sort-merges otherwise."""
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem ⋈ orders ⋈ customer with every column the deaths and the
+    population need: the one fact join both derive from. Both joins are
+    plain equi-joins: Spark broadcasts a side only when its measured size is
+    under the broadcast threshold (AQE re-plans at run time) and
+    sort-merges otherwise, with skewed keys split by AQE."""
     l = read_spread(spark, f"{sf_dir}/lineitem.parquet",
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                      "l_linestatus", "l_shipdate"])
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return (l.join(o, l.l_orderkey == o.o_orderkey)
-             .join(c, F.col("o_custkey") == c.c_custkey))
+             .join(c, F.col("o_custkey") == c.c_custkey)
+             .drop("l_orderkey", "o_orderkey", "o_custkey"))
 
 
 def _s(x: Column) -> Column:
     return x.cast("string")
 
 
-def raw_deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_deaths(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     """All-text death records in the yearly-file layout."""
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    j = _items(spark, sf_dir).join(s, F.col("l_suppkey") == s.s_suppkey)
+    items = items if items is not None else line_items(spark, sf_dir)
+    j = items.join(s, F.col("l_suppkey") == s.s_suppkey)
     year = F.year("l_shipdate")
     qty = F.floor("l_quantity").cast("int")
     seg = F.col("c_mktsegment")
@@ -78,11 +82,12 @@ def raw_deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def population_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def population_items(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     """Row-level exposure: one row per line item with municipality, year,
     sex, single age, insurance fields and its exposure N = part size."""
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
-    j = _items(spark, sf_dir).join(p, F.col("l_partkey") == p.p_partkey)
+    items = items if items is not None else line_items(spark, sf_dir)
+    j = items.join(p, F.col("l_partkey") == p.p_partkey)
     seg = F.col("c_mktsegment")
     return j.select(
         F.format_string("%02d%03d", F.col("c_nationkey"), F.col("c_custkey") % 1000).alias("COD_MPIO"),
