@@ -116,3 +116,15 @@ def test_contrasts(spark):
     assert (r.smr_ratio, r.LCI, r.UCI) == (3.0, 2.0, 4.0)  # LCI = UCI_M/UCI_F, UCI = LCI_M/LCI_F
     lg = contrast_ratio(df, ["k"], method="log").collect()[0]
     assert lg.LCI < lg.smr_ratio < lg.UCI
+
+
+def test_assembly_equals_full_outer_join_chain(spark):
+    from vitalrates.functions import join_ns
+    from vitalrates.plans.study import Study
+    a = spark.createDataFrame([("x", 1, 1.0), (None, 1, 2.0), ("y", 2, None)], "k string, d int, a double")
+    b = spark.createDataFrame([("x", 1, 10.0), (None, 1, 20.0), ("z", 3, 30.0)], "k string, d int, b double")
+    c = spark.createDataFrame([(None, 1, 5.0), ("w", 4, 6.0)], "k string, d int, c double")
+    chain = join_ns(join_ns(a, b, ["k", "d"], "full"), c, ["k", "d"], "full")
+    got = Study._assemble(["k", "d"], a, b, c)
+    norm = lambda df: sorted(map(tuple, df.select("k", "d", "a", "b", "c").collect()), key=str)
+    assert norm(got) == norm(chain)

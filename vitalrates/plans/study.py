@@ -596,10 +596,18 @@ class Study:
 
     @staticmethod
     def _assemble(keys, first, *parts):
-        out = first
-        for p in parts:
-            out = join_ns(out, p, keys, "full")
-        return out
+        """Wide report from narrow parts on the report key (J6). Every part
+        holds at most one row per key, so the reference's chain of full outer
+        joins equals one union of the parts followed by one grouping on the
+        key (NULL keys group together, as the null-safe joins match them):
+        a single shuffle instead of two per join."""
+        frames = [first, *parts]
+        cols = [c for f in frames for c in f.columns if c not in keys]
+        u = None
+        for f in frames:
+            sel = f.select(*keys, *[F.col(c) if c in f.columns else F.lit(None).alias(c) for c in cols])
+            u = sel if u is None else u.unionByName(sel)
+        return u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
 
     @staticmethod
     def _pick(df, col, value, rename):
