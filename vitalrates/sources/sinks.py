@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_ROOT: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared storage for intermediate tables: the cluster's
-    ``spark.checkpoint.dir``. A default is set only where none is configured
-    (local tests)."""
+    ``spark.checkpoint.dir``. Only where none is configured (local tests) a
+    local folder is used, one per application."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOT:
         import tempfile
-        root = tempfile.mkdtemp(prefix="vitalrates-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+        _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="vitalrates-ckpt-")
+    return _LOCAL_ROOT[app]
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
