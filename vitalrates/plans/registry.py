@@ -305,6 +305,13 @@ _reg("figure_s4", lambda s, d: study(s, d).figure("s4"),
      f"AS regime2 FROM (SELECT year, sex, regime, cause, {O._ss('rregij_std')} * 100000.0 AS SMRregi "
      "FROM r_regimei2j GROUP BY ALL)",
      "year:i sex:s regime:s cause:s SMRregi:d regime2:s")
+_reg("figure_s5_s8", lambda s, d: study(s, d).figure("s5_s8"),
+     "SELECT * FROM (SELECT *, CASE WHEN sex = 'Male' AND regime = 'subs' THEN 'S5' WHEN sex = 'Male' AND "
+     "regime = 'contr' THEN 'S6' WHEN sex = 'Female' AND regime = 'subs' THEN 'S7' WHEN sex = 'Female' AND "
+     "regime = 'contr' THEN 'S8' END AS panel, dregij / NULLIF(CASE WHEN count(*) OVER w = count(dregij) OVER w "
+     "THEN sum(dregij) OVER w END, 0) AS prop FROM r_regimei2j "
+     "WINDOW w AS (PARTITION BY year, cause, regime, sex)) WHERE panel IS NOT NULL",
+     "panel:s year:i sex:s age_group:s regime:s cause:s dregij:l prop:d")
 _reg("department_labels", lambda s, d: H.department_labels(study(s, d).regions),
      "SELECT cod_dpto, dpto FROM (SELECT substr(cod_mpio, 1, 2) AS cod_dpto, dpto, row_number() OVER "
      "(PARTITION BY substr(cod_mpio, 1, 2) ORDER BY cod_mpio) AS rn FROM regions) WHERE rn = 1",

@@ -568,6 +568,17 @@ class Study:
     def _fig_props(self):
         return S.age_distribution(self.r_regimei2j, ["year", "cause", "regime", "sex"], "dregij")
 
+    def _fig_s5_s8(self):
+        """The four panels of the age-share figures (male/female × subsidised
+        /contributory), one dataset with a panel label."""
+        props = self._fig_props()
+        panels = [("S5", "Male", "subs"), ("S6", "Male", "contr"), ("S7", "Female", "subs"), ("S8", "Female", "contr")]
+        label = None
+        for name, sex, reg in panels:
+            cond = (F.col("sex") == sex) & (F.col("regime") == reg)
+            label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
+        return props.withColumn("panel", label).where(F.col("panel").isNotNull())
+
     def _fig_s9(self):
         w = contrast_diff(self.smr_dpto, ["decade", "cod_dpto"], "SMR", "smr_excess", keep_levels=True)
         w = w.fillna(0.0, subset=["Male", "Female"]).withColumn("smr_excess", F.col("Male") - F.col("Female"))
