@@ -96,16 +96,41 @@ class Study:
         """Silver death records → analysis level with the external-cause group."""
         return H.map_ext_cause(H.analysis_deaths(silver, cfg.sexes), "C_BAS1", "year")
 
-    def materialize(self) -> "Study":
-        """Store the row-level results once under ``spark.checkpoint.dir``:
-        the harmonised deaths (partitioned by year), the population cube,
-        then the death cube and population strata derived from the stored
-        copies. Row-level data is read once; every derived table plans over
-        small stored strata and restarts from storage, not from the raw
-        scan, if executors are lost."""
+    BASE_TABLES = ("deaths_silver", "regions", "population_cube", "cube", "popnac", "popmpio", "popbdua")
+
+    @classmethod
+    def restore(cls, spark: SparkSession, root: str, cfg: StudyConfig) -> "Study":
+        """A materialised study from the base tables stored under ``root`` by
+        ``materialize(root=...)`` (same inputs, same library code)."""
         from vitalrates.plans import tpch
-        from vitalrates.sources.sinks import materialize
+        st = cls.__new__(cls)
+        st.spark, st.cfg, st._stored, st._shared = spark, cfg, True, None
+        read = lambda n: spark.read.parquet(f"{root}/{n}")
+        st.silver = read("deaths_silver")
+        st.deaths_tot = cls.deaths_from_silver(st.silver, cfg)
+        st.regions = read("regions")
+        pc = st._pop_cube = read("population_cube")
+        st._popnac_long, st._popmpio_long = tpch.popnac_long(pc), tpch.popmpio_long(pc)
+        st._popbdua_raw = tpch.popbdua_raw(pc, cfg.insured_years[0])
+        for n in ("cube", "popnac", "popmpio", "popbdua"):
+            st.__dict__[n] = read(n)
+        return st
+
+    def materialize(self, root: str | None = None) -> "Study":
+        """Store the row-level results once under ``spark.checkpoint.dir``:
+        the harmonised deaths, the population cube, then the death cube and
+        population strata derived from the stored copies. Row-level data is
+        read once; every derived table plans over small stored strata and
+        restarts from storage, not from the raw scan, if executors are lost.
+        ``root`` gives the tables fixed locations (for :meth:`restore`);
+        otherwise each gets a fresh directory."""
         from pyspark import StorageLevel
+
+        from vitalrates.plans import tpch
+        from vitalrates.sources.sinks import materialize as _mat
+
+        def materialize(df, name, partition_by=None):
+            return _mat(df, name, partition_by, path=f"{root}/{name}" if root else None)
         if self._shared is not None:
             # deaths and population both read this fact join: compute it once
             self._shared.persist(StorageLevel.MEMORY_AND_DISK)

@@ -25,13 +25,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None,
+                path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint root and read it back:
     later stages restart from storage, not from the raw scan, if an executor
     is lost. ``partition_by`` lays the files out by those columns so later
     filters on them prune whole directories."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
+    path = path or os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
