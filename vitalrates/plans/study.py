@@ -252,7 +252,7 @@ class Study:
     def _causes_seen(self, col="cause") -> DataFrame:
         return self.cube_cause.select(col).distinct()
 
-    @stage
+    @cached_property
     def ij_interp(self) -> DataFrame:
         """Counts by year × sex × cause_ext × age with the masked cells
         interpolated (before suppression)."""
@@ -351,7 +351,7 @@ class Study:
     def _not_male_maternal(df: DataFrame) -> DataFrame:
         return df.where(~((F.col("sex") == "Male") & (F.col("cause") == "Maternal diseases")))
 
-    @stage
+    @cached_property
     def i2j_interp(self) -> DataFrame:
         """Counts by year × sex × cause × age, masked cells interpolated after
         the zero anchor (before suppression)."""
@@ -403,21 +403,21 @@ class Study:
                                "rregij", "rregij_std")
 
     # ------------------------------------------------------------ yearly standardised rates
-    @stage
+    @cached_property
     def mrnac_sex(self) -> DataFrame:
         return S.standardise(self.r_j, ["year", "sex"], "rj", "rj_std", "d_std", "r_std", self.cfg.scale)
 
-    @stage
+    @cached_property
     def mrnac_sex_ext(self) -> DataFrame:
         return S.standardise(self.r_ij, ["year", "sex", "cause_ext"], "rij", "rij_std", "di_std", "ri_std",
                              self.cfg.scale)
 
-    @stage
+    @cached_property
     def mrur_sex(self) -> DataFrame:
         return S.standardise(self.r_regionj, ["year", "sex", "region"], "rurj", "rurj_std", "dur_std",
                              "rur_std", self.cfg.scale)
 
-    @stage
+    @cached_property
     def mrregime_sex(self) -> DataFrame:
         return S.standardise(self.r_regimej, ["year", "sex", "regime"], "rregj", "rregj_std", "dreg_std",
                              "rreg_std", self.cfg.scale)
