@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vitalrates.functions.frames import literal_frame
 from vitalrates.functions.nulls import if_else, is_in
-from vitalrates.functions.text import blank_to_null, to_number, zero_pad
+from vitalrates.functions.text import to_number, zero_pad
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference analysis (kept together, in the
