@@ -90,7 +90,8 @@ def population_items(spark: SparkSession, sf_dir: str, items: DataFrame | None =
     j = items.join(p, F.col("l_partkey") == p.p_partkey)
     seg = F.col("c_mktsegment")
     return j.select(
-        F.format_string("%02d%03d", F.col("c_nationkey"), F.col("c_custkey") % 1000).alias("COD_MPIO"),
+        F.concat(F.lpad(_s(F.col("c_nationkey")), 2, "0"),
+                 F.lpad(_s(F.col("c_custkey") % 1000), 3, "0")).alias("COD_MPIO"),
         F.year("l_shipdate").alias("ANO"),
         F.when(F.col("l_linestatus") == "O", F.lit("Male")).otherwise(F.lit("Female")).alias("SEXO"),
         ((F.floor("l_quantity").cast("int") - 1) * 2).alias("EDAD"),
