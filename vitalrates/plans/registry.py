@@ -68,14 +68,18 @@ def study(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Study:
     st = None
     if root:
         try:
-            spark.read.parquet(f"{root}/_complete").count()
-            st = Study.restore(spark, root, TPCH)
-        except Exception:  # not stored yet (or incomplete): compute it
+            run = spark.read.parquet(f"{root}/_complete").first()["run"]
+            st = Study.restore(spark, f"{root}/{run}", TPCH)
+        except Exception:  # not stored yet (or being replaced): compute it
             st = None
     if st is None:
-        st = Study.from_tpch(spark, sf_dir, TPCH).materialize(root)
+        import uuid
+        run = uuid.uuid4().hex
+        st = Study.from_tpch(spark, sf_dir, TPCH).materialize(f"{root}/{run}" if root else None)
         if root:
-            spark.range(1).write.mode("overwrite").parquet(f"{root}/_complete")
+            # each writer fills its own run directory; the marker naming a
+            # complete run is written last, so readers never see partial runs
+            spark.range(1).select(F.lit(run).alias("run")).write.mode("overwrite").parquet(f"{root}/_complete")
     _STUDIES[key] = st
     return st
 
