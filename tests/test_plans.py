@@ -30,3 +30,15 @@ def test_registered_queries_have_no_python_or_cartesian(spark):
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython",
                     "BatchEvalPython"):
             assert bad not in p, (name, bad)
+
+
+def test_cube_over_stored_deaths_has_one_exchange(spark):
+    from vitalrates.operators import harmonise as H
+    from vitalrates.operators.counts import base_cube
+    from vitalrates.plans import registry
+    from vitalrates.plans.study import CUBE_DIMS
+    st = registry.study(spark, SF)
+    p = _plan(base_cube(H.attach_region(st.deaths_tot, st.regions), CUBE_DIMS))
+    assert p.count("Exchange hashpartitioning") == 1
+    assert p.count("BroadcastHashJoin") == 2   # external-cause code table, rurality
+    assert "SortMergeJoin" not in p
