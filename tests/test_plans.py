@@ -24,8 +24,7 @@ def test_cube_plan(spark):
 
 def test_registered_queries_have_no_python_or_cartesian(spark):
     qs = E.queries()
-    for name in ["table_rate_contrasts_regime", "std_rate_department", "life_expectancy_decade", "figure_s9",
-                 "yll_rate_region", "age_distribution"]:
+    for name in sorted(qs):
         p = _plan(qs[name](spark, SF))
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython",
                     "BatchEvalPython"):
