@@ -43,3 +43,21 @@ def test_stream_cube_matches_batch(spark):
     assert sorted(map(tuple, got.select(*key).collect()), key=str) == \
         sorted(map(tuple, batch.select(*key).collect()), key=str)
     assert got.agg(F.sum("n")).collect()[0][0] == 4   # the unknown-age death is excluded
+
+
+def test_stream_resumes_from_checkpoint_with_new_file(spark):
+    root = tempfile.mkdtemp(prefix="vr-stream2-")
+    src = os.path.join(root, "in")
+    os.makedirs(src)
+    _write(os.path.join(src, "y2010.csv"), [("08", "001", "08", "001", "2010", "3", "1", "2", "20", "I219")])
+    rur = spark.createDataFrame([(8001, "b", "B", None)],
+                                "Municipaly int, Municipali string, Departam_1 string, Categoria_ string")
+    regions = H.classify_region(rur)
+    sink, ckpt = os.path.join(root, "cube"), os.path.join(root, "ckpt")
+    stream_base_cube(spark, src, regions, sink, ckpt).awaitTermination(120)
+    assert spark.read.parquet(sink).agg(F.sum("n")).collect()[0][0] == 1
+    _write(os.path.join(src, "y2011.csv"), [("08", "001", "08", "001", "2011", "3", "2", "1", "20", "I219"),
+                                            ("08", "001", "08", "001", "2010", "5", "1", "2", "20", "I219")])
+    stream_base_cube(spark, src, regions, sink, ckpt).awaitTermination(120)   # restart: only the new file is read
+    got = {(r.year, r.sex): r.n for r in spark.read.parquet(sink).collect()}
+    assert got == {(2010, "Male"): 2, (2011, "Female"): 1}
