@@ -13,11 +13,15 @@ _LOCAL_ROOT: dict[str, str] = {}
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared storage for intermediate tables: the cluster's
-    ``spark.checkpoint.dir``. Only where none is configured (local tests) a
-    local folder is used, one per application."""
+    ``spark.checkpoint.dir``. Where none is configured, a session whose driver
+    and executors are one process gets a folder of its own; any other session
+    must name one, as executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOT:
         import tempfile
