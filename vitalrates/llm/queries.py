@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalrates.llm import packing, quality, tokenfile, trie_bpe
+from vitalrates.llm import langid, packing, quality, secret_scan, simhash, substring, tokenfile, trie_bpe
 from vitalrates.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -15,6 +15,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,14 +35,22 @@ def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.bpe_roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_id": op2_language_id,
+    "op4_simhash_groups": op4_simhash_groups,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe_trie": op7_bpe_trie,
+    "op8_secret_scan": op8_secret_scan,
     "op10_token_planes": op10_token_planes,
 }
 ORACLE_SQL: dict[str, str] = {}
