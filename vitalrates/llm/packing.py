@@ -94,11 +94,12 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = 24, n
 def plan(histogram: dict[int, int], capacity: int, shares: tuple[float, ...] = (1.0, 0.9, 0.6, 0.3),
          **lp) -> list[tuple[Pattern, int]]:
     """Integer configurations and how often each is used; together they hold
-    exactly the lengths of the histogram. The program is solved once and
+    exactly the lengths of the histogram. Lengths below a 64th of the capacity
+    stay out of the program and fill gaps by best fit. It is solved once and
     rounded at several shares of its solution; the fewest sequences win."""
     left = dict(histogram)
     whole = [(((capacity, 1),), left.pop(capacity))] if left.get(capacity) else []
-    x = configurations(left, capacity, **lp)
+    x = configurations({s: n for s, n in left.items() if s >= capacity / 64}, capacity, **lp)
     tries = [rounded(x, left, capacity, s, s == shares[0]) for s in (shares if x else shares[:1])]
     return whole + min(tries, key=lambda u: sum(m for _, m in u))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalrates.llm import langid, packing, quality, secret_scan, simhash, substring, tokenfile, trie_bpe
+from vitalrates.llm import langid, neighbours, packing, quality, secret_scan, simhash, substring, tokenfile, trie_bpe, warc
 from vitalrates.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_roundtrip(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -46,11 +54,13 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
+    "op3_warc_salvage": op3_warc_salvage,
     "op4_simhash_groups": op4_simhash_groups,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_secret_scan": op8_secret_scan,
+    "op9_prefix_forest": op9_prefix_forest,
     "op10_token_planes": op10_token_planes,
 }
 ORACLE_SQL: dict[str, str] = {}

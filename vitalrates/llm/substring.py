@@ -39,7 +39,7 @@ from vitalrates.llm.common import ROW, fields, slices, stored, whole_row
 from vitalrates.llm.words import words
 
 #: rounds; those that also name runs; longest symbol in words
-ROUNDS, RUN_ROUNDS, LONGEST = 9, (0, 4), 40
+ROUNDS, RUN_ROUNDS, LONGEST = 8, (0,), 40
 _M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 LAST = (1 << 63) - 1

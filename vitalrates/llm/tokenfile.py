@@ -204,7 +204,7 @@ def read_tokens(manifest: DataFrame, folder: str, digest: bool = False) -> DataF
     kind = T.LongType() if digest else T.BinaryType()
     schema = T.StructType([*fields("doc_id long, start long, n_tokens long").fields,
                            T.StructField("ids_crc32" if digest else "ids", kind)])
-    files = files.repartition(F.col("file"))
+    files = files.repartition(max(1, manifest.count()), "file")     # a stated number is not merged into fewer tasks
 
     def run(batches):
         system, root = _filesystem(folder)
