@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,10 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -62,5 +67,6 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_prefix_forest": op9_prefix_forest,
     "op10_token_planes": op10_token_planes,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {}
