@@ -118,13 +118,25 @@ def test_contrasts(spark):
     assert lg.LCI < lg.smr_ratio < lg.UCI
 
 
-def test_assembly_equals_full_outer_join_chain(spark):
+def test_report_table_equals_full_outer_join_chain(spark):
+    """The one grouping of a report table equals the chain of full outer joins
+    of its separately widened parts, missing keys and levels included."""
     from vitalrates.functions import join_ns
+    from vitalrates.operators import harmonise as H
     from vitalrates.plans.study import Study
-    a = spark.createDataFrame([("x", 1, 1.0), (None, 1, 2.0), ("y", 2, None)], "k string, d int, a double")
-    b = spark.createDataFrame([("x", 1, 10.0), (None, 1, 20.0), ("z", 3, 30.0)], "k string, d int, b double")
-    c = spark.createDataFrame([(None, 1, 5.0), ("w", 4, 6.0)], "k string, d int, c double")
-    chain = join_ns(join_ns(a, b, ["k", "d"], "full"), c, ["k", "d"], "full")
-    got = Study._assemble(["k", "d"], a, b, c)
-    norm = lambda df: sorted(map(tuple, df.select("k", "d", "a", "b", "c").collect()), key=str)
+    schema = "regime string, decade int, cause_ext string, sex string, est double, lo double, hi double"
+    rows = [("x", 1, c, s, v, v - 0.5, v + 1.0) for c, s, v in (("All", "Male", 3.0), ("All", "Female", 2.0),
+            (H.EXTERNAL, "Male", 1.0), (H.NON_EXTERNAL, "Male", 4.0), (H.NON_EXTERNAL, "Female", 5.0))]
+    rows += [(None, 1, "All", "Male", 7.0, 6.0, 8.0), (None, 1, "All", "Female", 0.0, 0.0, 0.0),
+             ("z", 2, H.EXTERNAL, "Female", 1.0, 0.5, 2.0)]
+    df = spark.createDataFrame(rows, schema)
+    keys, chain = ["regime", "decade"], None
+    for suffix, cause in Study.REPORT_CAUSES:
+        part = df.where(F.col("cause_ext") == cause)
+        ratio = f"smr_ratio{suffix}" if not suffix else f"smr{suffix}"
+        for x in (contrast_diff(part, keys, "est", f"dsmr{suffix}"),
+                  contrast_ratio(part, keys, "est", "lo", "hi", ratio, f"LCI{suffix}", f"UCI{suffix}")):
+            chain = x if chain is None else join_ns(chain, x, keys, "full")
+    got = Study._contrasts([df], keys)
+    norm = lambda d: sorted(map(tuple, d.select(*got.columns).collect()), key=str)
     assert norm(got) == norm(chain)

@@ -13,8 +13,11 @@ def _plan(df):
 
 
 def test_cube_plan(spark):
+    from vitalrates.operators import harmonise as H
+    from vitalrates.operators.counts import base_cube
+    from vitalrates.plans.study import CUBE_DIMS
     st = Study.from_tpch(spark, SF)
-    p = _plan(st.cube)
+    p = _plan(base_cube(H.attach_region(st.deaths_tot, st._regions), CUBE_DIMS))   # from the tables, nothing cached
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "PythonUDF" not in p and "ArrowEvalPython" not in p and "BatchEvalPython" not in p
     assert p.count("BroadcastHashJoin") >= 3   # code tables and the rurality dimension
@@ -22,22 +25,30 @@ def test_cube_plan(spark):
     assert len(hashed) <= 2   # the cube aggregate (+ the bounded rurality distinct)
 
 
-def test_registered_queries_have_no_python_or_cartesian(spark):
-    qs = E.queries()
-    for name in sorted(qs):
-        p = _plan(qs[name](spark, SF))
+def test_registered_queries_are_lazy_and_start_at_the_tables(spark):
+    """No query runs a job while it is built (but for the headers of the
+    population sheet), and every analysed plan reaches the given files."""
+    from vitalrates.plans.registry import REGISTRY
+    qs, tracker = E.queries(), spark.sparkContext.statusTracker()
+    for name in sorted(REGISTRY):
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        df = qs[name](spark, SF)
+        if name != "population_long":
+            jobs = tracker.getJobIdsForGroup(f"build-{name}")
+            assert len(jobs) <= 11 and (not jobs or name == sorted(REGISTRY)[0]), (name, len(jobs))   # the schemas of 11 scans
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        scans = [x.relation().location().rootPaths().mkString(",") for x in map(leaves.apply, range(leaves.size()))
+                 if x.getClass().getSimpleName() == "LogicalRelation"]
+        assert scans and all(f.startswith(f"file:{SF}/") for f in scans), (name, set(scans))
+        p = _plan(df)
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython",
                     "BatchEvalPython"):
             assert bad not in p, (name, bad)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_cube_over_stored_deaths_has_one_exchange(spark):
-    from vitalrates.operators import harmonise as H
-    from vitalrates.operators.counts import base_cube
-    from vitalrates.plans import registry
-    from vitalrates.plans.study import CUBE_DIMS
-    st = registry.study(spark, SF)
-    p = _plan(base_cube(H.attach_region(st.deaths_tot, st.regions), CUBE_DIMS))
-    assert p.count("Exchange hashpartitioning") == 1
-    assert p.count("BroadcastHashJoin") == 2   # external-cause code table, rurality
-    assert "SortMergeJoin" not in p
+def test_report_tables_use_one_grouping(spark):
+    """Table 1 unions its sources and groups them once, without a join."""
+    st = Study.from_tpch(spark, SF)
+    own = st.tab1._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation")[0]
+    assert "Join" not in own and own.count("Aggregate") >= 1

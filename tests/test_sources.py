@@ -66,20 +66,16 @@ def test_report_sink_in_order(spark):
     st = study(spark, "/root/testdata/sf0.001")
     root = tempfile.mkdtemp(prefix="vr-report-")
     st.write_report(root)
-    assert sorted(os.listdir(root)) == ["report", "tab1", "tab2", "tabs2"]
+    assert sorted(os.listdir(root)) == ["report", "report_age", "tab1", "tab2", "tabs2"]
     regimes = [r.regime for r in st.ordered("tab1").collect()]
     order = {"All people": 0, "Contributory": 1, "Subsidised": 2, None: 3}
     assert regimes == sorted(regimes, key=lambda x: order[x])
 
 
-def test_read_spread_only_repartitions_under_split_inputs(spark):
-    from vitalrates.sources.readers import read_spread
-    d = tempfile.mkdtemp(prefix="vr-spread-")
-    one, many = os.path.join(d, "one"), os.path.join(d, "many")
-    spark.range(1000).coalesce(1).write.parquet(one)
-    slots = spark.sparkContext.defaultParallelism
-    spark.range(1000).repartition(slots * 2).write.parquet(many)
-    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in plan(read_spread(spark, one))
-    assert "RoundRobinPartitioning" not in plan(read_spread(spark, many))
-    assert read_spread(spark, one).count() == 1000 and read_spread(spark, many).count() == 1000
+def test_population_cells_are_read_as_numbers(spark):
+    cols = ["COD_MPIO", "ANO", "AREA", "Hombres_0", "Mujeres_1"]
+    wide = spark.createDataFrame([("05001", "2000", "Total", "10.0", "x")], cols)
+    long = population_long(wide, ["COD_MPIO", "ANO"])
+    assert sorted((r.SEXO, r.EDAD, r.N) for r in long.collect()) == [("Female", 1, None), ("Male", 0, 10)]
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan.lower() and "Exchange" not in plan

@@ -24,18 +24,23 @@ def to_number(col: Column, dtype: str = "int") -> Column:
 def zero_pad(col: Column, width: int) -> Column:
     """Blank/missing → NULL, else the non-negative integer code left-padded
     with zeros to ``width``; longer values are kept whole (P9: a plain
-    ``lpad`` would cut them). One integer parse, then string functions: no
-    regex and no formatter per row."""
-    n = F.trim(col).try_cast("bigint")
+    ``lpad`` would cut them). Codes go through a number, so an export's
+    ``5.0`` is ``05``. No regex and no formatter per row."""
+    n = to_number(col, "bigint")
     txt = n.cast("string")
     return F.when(n >= 0, F.when(F.length(txt) >= width, txt).otherwise(F.lpad(txt, width, "0")))
 
 
-def number_from_header(col: Column) -> Column:
-    """Single age from a header such as ``Hombres_85 y más``: lower-case,
-    drop every letter (Unicode-aware) and ``_``, trim, read as a number (P12)."""
-    stripped = F.regexp_replace(F.lower(col), r"[\p{L}_]", "")
-    return to_number(stripped, "int")
+def number_from_header(header: str) -> int | None:
+    """Single age from a header such as ``Hombres_85 y más``: letters and
+    ``_`` dropped, the rest read as a number (P12). Headers are a table's
+    metadata, so this runs once per column, never per row."""
+    rest = "".join(c for c in header if not (c.isalpha() or c == "_")).strip()
+    try:
+        age = float(rest)
+    except ValueError:
+        return None
+    return int(age) if age.is_integer() else None
 
 
 def fixed2(col: Column) -> Column:

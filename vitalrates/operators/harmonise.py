@@ -208,15 +208,17 @@ def icd_dimension(spark, icd9=ICD9_RANGES, icd10=ICD10_RANGES, ext=EXT_CAUSE_RAN
     return d9.unionByName(d10)
 
 
-def _map_icd(df: DataFrame, code_col: str, year_col: str, pick: str, out: str, dim: DataFrame | None,
+def _map_icd(df: DataFrame, code_col: str, year_col: str, picks: dict[str, str], dim: DataFrame | None,
              last_icd9_year: int) -> DataFrame:
+    """``picks``: output name → column of the code dimension, all by one join."""
     dim = dim if dim is not None else icd_dimension(df.sparkSession)
     d = F.broadcast(dim.select(F.col("ver").alias("__dver"), F.col("cod3").alias("__dcod"),
-                               F.col(pick).alias("__dval")))
+                               *[F.col(c).alias(f"__d_{out}") for out, c in picks.items()]))
     staged = df.withColumns({"__ver": icd_version(F.col(year_col), last_icd9_year),
                              "__cod3": F.substring(F.col(code_col), 1, 3)})
     j = staged.join(d, (F.col("__ver") == F.col("__dver")) & (F.col("__cod3") == F.col("__dcod")), "left")
-    return j.withColumn(out, F.col("__dval")).drop("__ver", "__cod3", "__dver", "__dcod", "__dval")
+    return (j.withColumns({out: F.col(f"__d_{out}") for out in picks})
+             .drop("__ver", "__cod3", "__dver", "__dcod", *[f"__d_{out}" for out in picks]))
 
 
 def map_cause(df: DataFrame, code_col: str = "C_BAS1", year_col: str = "year",
@@ -226,7 +228,7 @@ def map_cause(df: DataFrame, code_col: str = "C_BAS1", year_col: str = "year",
     (revision, code) with :func:`icd_dimension`. The revision is chosen by
     year, so a code never matches both lists and rows never multiply
     (SURVEY Q11); codes in a gap or a NULL/blank code give NULL."""
-    return _map_icd(df, code_col, year_col, "cause", out, dim, last_icd9_year)
+    return _map_icd(df, code_col, year_col, {out: "cause"}, dim, last_icd9_year)
 
 
 def map_ext_cause(df: DataFrame, code_col: str = "C_BAS1", year_col: str = "year",
@@ -234,7 +236,13 @@ def map_ext_cause(df: DataFrame, code_col: str = "C_BAS1", year_col: str = "year
                   last_icd9_year: int = ICD9_LAST_YEAR) -> DataFrame:
     """External-cause group of an ICD-10 code (the analysis input ``ext_cause``,
     SURVEY Q9); NULL for ICD-9 years and for codes outside the ranges."""
-    return _map_icd(df, code_col, year_col, "ext_cause", out, dim, last_icd9_year)
+    return _map_icd(df, code_col, year_col, {out: "ext_cause"}, dim, last_icd9_year)
+
+
+def map_causes(df: DataFrame, code_col: str = "C_BAS1", year_col: str = "year", dim: DataFrame | None = None,
+               last_icd9_year: int = ICD9_LAST_YEAR) -> DataFrame:
+    """Chapter ``cause`` and external-cause group ``ext_cause`` by one join."""
+    return _map_icd(df, code_col, year_col, {"cause": "cause", "ext_cause": "ext_cause"}, dim, last_icd9_year)
 
 
 def age_code_table(eras=AGE_CODE_ERAS, labels5=AGE_GROUPS5) -> dict:
@@ -309,10 +317,10 @@ def clean_deaths(raw: DataFrame, eras=AGE_CODE_ERAS) -> DataFrame:
     y = map_codes(y, "SEXO", "SEG_SOCIAL" if "SEG_SOCIAL" in present else None)
     y = map_age_codes(y, "GRU_ED1", "year", eras)
     y = build_geo(y)
-    y = map_cause(y, "C_BAS1", "year")
+    y = map_causes(y, "C_BAS1", "year")
     return y.select("year", "month", "sex", "regime", "age_group", "age_group5",
                     "cod_dpto", "cod_dptore", "cod_mpio1", "cod_mpiore1",
-                    "cod_mpio", "cod_mpiore", "C_BAS1", "cause")
+                    "cod_mpio", "cod_mpiore", "C_BAS1", "cause", "ext_cause")
 
 
 def classify_external(df: DataFrame, cause_col: str = "cause", out: str = "cause_ext") -> DataFrame:

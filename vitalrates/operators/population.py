@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vitalrates.functions.bins import Bins, cut
 from vitalrates.functions.nulls import strict_sum
-from vitalrates.functions.text import number_from_header
+from vitalrates.functions.text import number_from_header, to_number
 from vitalrates.operators.harmonise import AGE_BREAKS, AGE_GROUPS, REGIME_NAMES, SEX_NAMES, _decode
 
 WIDE = Bins(AGE_BREAKS, AGE_GROUPS)
@@ -22,17 +22,17 @@ def population_long(wide: DataFrame, keys: Sequence[str], drop: Sequence[str] =
     """Wide projection sheet (one column per sex × single age) → long rows
     ``keys…, SEXO, EDAD, N`` (H8, T1). Only ``AREA == 'Total'`` rows are kept;
     headers holding ``Total`` are dropped; headers holding ``Hombres`` are
-    male, every other header female; the age is read from the header."""
+    male, every other header female. Sex and age are read from the column
+    names once and enter the plan as literals; cells are read as numbers and
+    bad text is NULL."""
     ids = list(keys)
     skip = set(ids) | set(drop) | {area_col}
-    values = [c for c in wide.columns if c not in skip]
-    base = wide.where(F.col(area_col) == total_marker).select(*ids, *[F.col(f"`{c}`").cast("bigint").alias(c) for c in values])
-    long = base.unpivot(ids, values, "age_sex", "N")
-    long = long.where(~F.col("age_sex").contains(total_marker))
-    return (long.withColumn("SEXO", F.when(F.col("age_sex").contains(male_marker), F.lit("Male"))
-                                      .otherwise(F.lit("Female")))
-                .withColumn("EDAD", number_from_header(F.col("age_sex")))
-                .drop("age_sex"))
+    values = [c for c in wide.columns if c not in skip and total_marker not in c]
+    cells = [F.struct(F.lit("Male" if male_marker in c else "Female").alias("SEXO"),
+                      F.lit(number_from_header(c)).cast("int").alias("EDAD"),
+                      to_number(F.col(f"`{c}`").cast("string"), "bigint").alias("N")) for c in values]
+    return (wide.where(F.col(area_col) == total_marker)
+                .select(*ids, F.inline(F.array(*cells))))
 
 
 def population_strata(pop: DataFrame, keys: dict, age_col: str, value_col: str,

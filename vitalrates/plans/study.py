@@ -3,43 +3,44 @@
 Row-level work happens once: deaths are counted into a base cube (one
 partial + final hash aggregate over the death records) and every stratified
 count, life table and rate is derived from that cube or from the population
-strata, which are themselves small. ``Study.materialize`` cuts the lineage
-by writing the cube under ``spark.checkpoint.dir``.
+strata, which are themselves small. Tables that several others read are marked
+for caching; marking runs nothing, and what an executor loses is computed
+again from the inputs. Nothing is written unless the caller asks for it with
+:meth:`Study.materialize`.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalrates.functions.bins import decade
 from vitalrates.functions.frames import literal_frame
-from vitalrates.functions.nulls import if_else, join_ns, strict_sum
+from vitalrates.functions.nulls import if_else, join_ns, safe_div, strict_sum
 from vitalrates.functions.text import est_ci_text
 from vitalrates.operators import counts as C
 from vitalrates.operators import harmonise as H
 from vitalrates.operators import population as P
 from vitalrates.operators import standardise as S
-from vitalrates.operators.contrast import contrast_diff, contrast_ratio
+from vitalrates.operators.contrast import contrast_diff
 from vitalrates.operators.lifetable import life_table_e0, life_table_strata
 from vitalrates.operators.yll import years_lost, yll_rate
 from vitalrates.plans.config import StudyConfig
+from vitalrates.sources.readers import read_table
+
 
 def stage(fn):
-    """A derived table computed once per study. In a materialised study it is
-    written under ``spark.checkpoint.dir`` on first use, so every later table
-    plans over small stored strata instead of re-planning the chain."""
+    """A derived table of bounded size (strata, never records) that several
+    others read: built once per study and marked for caching."""
     name = fn.__name__
 
     def get(self):
         if name not in self.__dict__:
-            df = fn(self)
-            if self._stored:
-                from vitalrates.sources.sinks import materialize
-                df = materialize(df, name)
-            self.__dict__[name] = df
+            self.__dict__[name] = fn(self).persist(StorageLevel.MEMORY_AND_DISK)
+            self._cached.append(name)
         return self.__dict__[name]
     get.__doc__ = fn.__doc__
     return property(get)
@@ -65,8 +66,10 @@ class Study:
         self._popnac_long = popnac_long
         self._popmpio_long = popmpio_long
         self._popbdua_raw = popbdua_raw
-        self.regions = regions
-        self._stored = False
+        self._regions = regions
+        self._pop_cube: DataFrame | None = None
+        self.silver: DataFrame | None = None
+        self._cached: list[str] = []
 
     # ------------------------------------------------------------ factories
     @classmethod
@@ -74,91 +77,54 @@ class Study:
         from vitalrates.plans import tpch
         from vitalrates.plans.config import TPCH
         cfg = cfg or TPCH
-        items = tpch.line_items(spark, sf_dir)
-        silver = H.clean_deaths(tpch.raw_deaths(spark, sf_dir, items))
-        deaths = cls.deaths_from_silver(silver, cfg)
+        silver = H.clean_deaths(tpch.raw_deaths(spark, sf_dir))
         regions = H.classify_region(tpch.rurality_source(spark, sf_dir))
-        pop_cube = tpch.population_cube(tpch.population_items(spark, sf_dir, items))
-        st = cls(deaths, tpch.popnac_long(pop_cube), tpch.popmpio_long(pop_cube),
+        pop_cube = (tpch.population_cube(tpch.population_items(spark, sf_dir))
+                    .persist(StorageLevel.MEMORY_AND_DISK))
+        st = cls(cls.deaths_from_silver(silver, cfg), tpch.popnac_long(pop_cube), tpch.popmpio_long(pop_cube),
                  tpch.popbdua_raw(pop_cube, cfg.insured_years[0]), regions, cfg)
         st._pop_cube = pop_cube
         st.silver = silver
-        st._shared = items
         return st
 
-    _shared: DataFrame | None = None
-
-    _pop_cube: DataFrame | None = None
-    silver: DataFrame | None = None
-
     @staticmethod
     def deaths_from_silver(silver: DataFrame, cfg: StudyConfig) -> DataFrame:
-        """Silver death records → analysis level with the external-cause group."""
-        return H.map_ext_cause(H.analysis_deaths(silver, cfg.sexes), "C_BAS1", "year")
-
-    BASE_TABLES = ("deaths_silver", "regions", "population_cube", "cube", "popnac", "popmpio", "popbdua")
-
-    @classmethod
-    def restore(cls, spark: SparkSession, root: str, cfg: StudyConfig) -> "Study":
-        """A materialised study from the base tables stored under ``root`` by
-        ``materialize(root=...)`` (same inputs, same library code)."""
-        from vitalrates.plans import tpch
-        st = cls.__new__(cls)
-        st.spark, st.cfg, st._stored, st._shared = spark, cfg, True, None
-        read = lambda n: spark.read.parquet(f"{root}/{n}")
-        st.silver = read("deaths_silver")
-        st.deaths_tot = cls.deaths_from_silver(st.silver, cfg)
-        st.regions = read("regions")
-        pc = st._pop_cube = read("population_cube")
-        st._popnac_long, st._popmpio_long = tpch.popnac_long(pc), tpch.popmpio_long(pc)
-        st._popbdua_raw = tpch.popbdua_raw(pc, cfg.insured_years[0])
-        for n in ("cube", "popnac", "popmpio", "popbdua"):
-            st.__dict__[n] = read(n)
-        return st
+        """Silver death records → analysis level."""
+        return H.analysis_deaths(silver, cfg.sexes)
 
     def materialize(self, root: str | None = None) -> "Study":
-        """Store the row-level results once under ``spark.checkpoint.dir``:
-        the harmonised deaths, the population cube, then the death cube and
-        population strata derived from the stored copies. Row-level data is
-        read once; every derived table plans over small stored strata and
-        restarts from storage, not from the raw scan, if executors are lost.
-        ``root`` gives the tables fixed locations (for :meth:`restore`);
-        otherwise each gets a fresh directory."""
-        from pyspark import StorageLevel
-
-        from vitalrates.plans import tpch
-        from vitalrates.sources.sinks import materialize as _mat
-
-        def materialize(df, name, partition_by=None):
-            return _mat(df, name, partition_by, path=f"{root}/{name}" if root else None)
-        if self._shared is not None:
-            # deaths and population both read this fact join: compute it once
-            self._shared.persist(StorageLevel.MEMORY_AND_DISK)
-        if self.silver is not None:
-            # the harmonised record table (the reference's persisted deaths
-            # file); analysis-level records are a cheap projection of it.
-            # Written unpartitioned: one file per task, not per task × year.
-            self.silver = materialize(self.silver, "deaths_silver")
+        """Store the row-level results on shared storage, once, because the
+        caller asks for it: the harmonised deaths (partitioned by year) and the
+        death cube. Later tables then plan over the stored copies. ``root``
+        gives them fixed places, else each gets a new folder under
+        ``spark.checkpoint.dir``. Call it before any derived table is used."""
+        from vitalrates.sources.sinks import materialize, write_deaths
+        if self.silver is not None and root:
+            write_deaths(self.silver, f"{root}/deaths_silver")
+            self.silver = read_table(self.spark, f"{root}/deaths_silver").select(*self.silver.columns)
             self.deaths_tot = self.deaths_from_silver(self.silver, self.cfg)
-        else:
-            self.deaths_tot = materialize(self.deaths_tot, "deaths_tot", partition_by=["year"])
-        self.regions = materialize(self.regions, "regions")
-        if self._pop_cube is not None:
-            pc = self._pop_cube = materialize(self._pop_cube, "population_cube")
-            self._popnac_long = tpch.popnac_long(pc)
-            self._popmpio_long = tpch.popmpio_long(pc)
-            self._popbdua_raw = tpch.popbdua_raw(pc, self.cfg.insured_years[0])
-        if self._shared is not None:
-            self._shared.unpersist()
-        for name in ("cube_cause", "popref", "pop_region", "cube", "popnac", "popmpio", "popbdua"):
-            self.__dict__.pop(name, None)
-        for name in ("cube", "popnac", "popmpio", "popbdua"):
-            self.__dict__[name] = materialize(getattr(self, name), name)
-        self._stored = True
+        elif self.silver is not None:
+            self.silver = materialize(self.silver, "deaths_silver", partition_by=["year"])
+            self.deaths_tot = self.deaths_from_silver(self.silver, self.cfg)
+        d = H.attach_region(self.deaths_tot, self.regions)
+        self.__dict__["cube"] = materialize(C.base_cube(d, CUBE_DIMS), "cube", path=f"{root}/cube" if root else None)
         return self
 
+    def unpersist(self) -> None:
+        """Drop the cached strata."""
+        for name in self._cached:
+            self.__dict__.pop(name).unpersist()
+        self._cached.clear()
+        if self._pop_cube is not None:
+            self._pop_cube.unpersist()
+
     # ------------------------------------------------------------ base cube
-    @cached_property
+    @stage
+    def regions(self) -> DataFrame:
+        """The municipality dimension; a municipality occurs once."""
+        return self._regions
+
+    @stage
     def cube(self) -> DataFrame:
         d = H.attach_region(self.deaths_tot, self.regions)
         return C.base_cube(d, CUBE_DIMS)
@@ -169,19 +135,19 @@ class Study:
         return self.cube.where(F.col("cause").isNotNull())
 
     # ------------------------------------------------------------ population
-    @cached_property
+    @stage
     def popnac(self) -> DataFrame:
         return P.population_strata(self._popnac_long, {"year": "ANO", "sex": "SEXO"}, "EDAD", "N",
                                    bins=self.cfg.wide, extra_bins={"age_group5": self.cfg.abridged},
                                    year_col="year", year_range=self.cfg.years)
 
-    @cached_property
+    @stage
     def popmpio(self) -> DataFrame:
         return P.population_strata(self._popmpio_long, {"cod_mpio": "COD_MPIO", "year": "ANO", "sex": "SEXO"},
                                    "EDAD", "N", bins=self.cfg.wide, year_col="year",
                                    year_range=(None, self.cfg.mpio_years[1]))
 
-    @cached_property
+    @stage
     def popbdua(self) -> DataFrame:
         return P.insured_population(self._popbdua_raw, (None, self.cfg.insured_years[1]), self.cfg.wide)
 
@@ -460,13 +426,11 @@ class Study:
 
     # ------------------------------------------------------------ decades
     def _period(self, rates, by, d, n, names):
-        per_age, total = S.standardise_by_period(rates, by, d, n, names, self.cfg.scale, self.cfg.decade_width)
-        if self._stored:
-            from vitalrates.sources.sinks import materialize
-            per_age = materialize(per_age, names["smr"])
-            # the total is re-derived from the stored per-age table
-            _, total = S.standardise_by_period_total(per_age, by, names)
-        return per_age, total
+        per_age, _ = S.standardise_by_period(rates, by, d, n, names, self.cfg.scale, self.cfg.decade_width)
+        per_age = per_age.persist(StorageLevel.MEMORY_AND_DISK)
+        self.__dict__[f"per_age_{names['smr']}"] = per_age
+        self._cached.append(f"per_age_{names['smr']}")
+        return per_age, S.standardise_by_period_total(per_age, by, names)[1]
 
     @cached_property
     def _smr_ij_i(self):
@@ -621,88 +585,72 @@ class Study:
         m = F.create_map(*[x for a, b in REGIME_LABELS for x in (F.lit(a), F.lit(b))])
         return df.withColumn("regime", m[F.col("regime")])
 
-    def _tab_parts(self, overall, by_regime, ids, est, lo, hi, d_name, r_name, lo_name, hi_name):
-        """(difference, ratio) frames for 'All people' plus each regime."""
-        dif = (contrast_diff(overall, ids, est, d_name).withColumn("regime", F.lit("All people"))
-               .unionByName(contrast_diff(by_regime, [*ids, "regime"], est, d_name)))
-        rat = (contrast_ratio(overall, ids, est, lo, hi, r_name, lo_name, hi_name)
-               .withColumn("regime", F.lit("All people"))
-               .unionByName(contrast_ratio(by_regime, [*ids, "regime"], est, lo, hi, r_name, lo_name, hi_name)))
-        return self._relabel_regime(dif), self._relabel_regime(rat)
+    #: column suffix → cause of the report columns
+    REPORT_CAUSES = (("", "All"), ("_next", H.NON_EXTERNAL), ("_ext", H.EXTERNAL))
 
     @staticmethod
-    def _assemble(keys, first, *parts):
-        """Wide report from narrow parts on the report key (J6). Every part
-        holds at most one row per key, so the reference's chain of full outer
-        joins equals one union of the parts followed by one grouping on the
-        key (NULL keys group together, as the null-safe joins match them):
-        a single shuffle instead of two per join."""
-        frames = [first, *parts]
-        cols = [c for f in frames for c in f.columns if c not in keys]
-        u = None
-        for f in frames:
-            sel = f.select(*keys, *[F.col(c) if c in f.columns else F.lit(None).alias(c) for c in cols])
-            u = sel if u is None else u.unionByName(sel)
-        return u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
+    def _side_by_side(sources, keys, values) -> DataFrame:
+        """All parts of a report table in one grouping (J6): the sources are
+        long frames (keys, ``cause_ext``, ``sex``, values) of at most one row
+        per key, cause and sex, so one union and one conditional aggregation
+        give every ``<value>_<cause>_<sex>`` cell. NULL keys group together,
+        as null-safe joins would match them."""
+        long = sources[0]
+        for x in sources[1:]:
+            long = long.unionByName(x)
+        cells = [F.max(F.when((F.col("cause_ext") == cause) & (F.col("sex") == sex), F.col(v))).alias(f"{v}{suffix}_{sex}")
+                 for suffix, cause in Study.REPORT_CAUSES for v in values for sex in ("Male", "Female")]
+        return long.groupBy(*keys).agg(*cells)
+
+    @classmethod
+    def _contrasts(cls, sources, keys) -> DataFrame:
+        """Difference and ratio with limits per cause from long rows with
+        ``est``, ``lo``, ``hi``; same-side limits are divided and swapped as
+        in :func:`contrast_ratio` (SURVEY Q8)."""
+        w = cls._side_by_side(sources, keys, ("est", "lo", "hi"))
+        div = lambda v, s: safe_div(F.col(f"{v}{s}_Male"), F.col(f"{v}{s}_Female"))
+        cols = []
+        for s, _ in cls.REPORT_CAUSES:
+            cols += [(F.col(f"est{s}_Male") - F.col(f"est{s}_Female")).alias(f"dsmr{s}"),
+                     div("est", s).alias(f"smr_ratio{s}" if not s else f"smr{s}"),
+                     div("hi", s).alias(f"LCI{s}"), div("lo", s).alias(f"UCI{s}")]
+        return w.select(*keys, *cols)
 
     @staticmethod
-    def _pick(df, col, value, rename):
-        return df.where(F.col(col) == value).drop(col).withColumnsRenamed(rename)
+    def _long(df, keys, est, cause=None) -> DataFrame:
+        c = F.lit(cause) if cause else F.col("cause_ext")
+        return df.select(*keys, c.alias("cause_ext"), "sex", F.col(est).alias("est"), F.col("LCI").alias("lo"), F.col("UCI").alias("hi"))
 
     @cached_property
     def tab1(self) -> DataFrame:
-        smr_reg = self.smr_regime.withColumnRenamed("SMRreg", "SMR")
-        dsmr, smr = self._tab_parts(self.smr, smr_reg, ["decade"], "SMR", "LCI", "UCI",
-                                    "dsmr", "smr_ratio", "LCI", "UCI")
-        si = self.smr_i.withColumnRenamed("SMRi", "SMR")
-        sri = self.smr_regimei.withColumnRenamed("SMRregi", "SMR")
-        dext, sext = self._tab_parts(si, sri, ["decade", "cause_ext"], "SMR", "LCI", "UCI",
-                                     "dsmri", "smri_ratio", "LCIi", "UCIi")
+        whole = F.lit("All people").alias("regime")
         keys = ["regime", "decade"]
-        return self._assemble(
-            keys, dsmr, smr,
-            self._pick(dext, "cause_ext", H.NON_EXTERNAL, {"dsmri": "dsmr_next"}),
-            self._pick(sext, "cause_ext", H.NON_EXTERNAL,
-                       {"smri_ratio": "smr_next", "LCIi": "LCI_next", "UCIi": "UCI_next"}),
-            self._pick(dext, "cause_ext", H.EXTERNAL, {"dsmri": "dsmr_ext"}),
-            self._pick(sext, "cause_ext", H.EXTERNAL,
-                       {"smri_ratio": "smr_ext", "LCIi": "LCI_ext", "UCIi": "UCI_ext"}))
+        t = self._contrasts([self._long(self.smr, [whole, "decade"], "SMR", "All"),
+                             self._long(self.smr_regime, keys, "SMRreg", "All"),
+                             self._long(self.smr_i, [whole, "decade"], "SMRi"),
+                             self._long(self.smr_regimei, keys, "SMRregi")], keys)
+        return self._relabel_regime(t)
 
     @cached_property
     def tab2(self) -> DataFrame:
-        ids = ["age_group", "decade"]
-        dsmr = contrast_diff(self.smr_j, ids, "SMRj", "dsmr")
-        smr = contrast_ratio(self.smr_j, ids, "SMRj", "LCI", "UCI", "smr_ratio", "LCI", "UCI")
-        ide = [*ids, "cause_ext"]
-        dext = contrast_diff(self.smr_ij, ide, "SMRij", "dsmri")
-        sext = contrast_ratio(self.smr_ij, ide, "SMRij", "LCI", "UCI", "smri_ratio", "LCIi", "UCIi")
-        return self._assemble(
-            ids, dsmr, smr,
-            self._pick(dext, "cause_ext", H.NON_EXTERNAL, {"dsmri": "dsmr_next"}),
-            self._pick(sext, "cause_ext", H.NON_EXTERNAL,
-                       {"smri_ratio": "smr_next", "LCIi": "LCI_next", "UCIi": "UCI_next"}),
-            self._pick(dext, "cause_ext", H.EXTERNAL, {"dsmri": "dsmr_ext"}),
-            self._pick(sext, "cause_ext", H.EXTERNAL,
-                       {"smri_ratio": "smr_ext", "LCIi": "LCI_ext", "UCIi": "UCI_ext"}))
+        keys = ["age_group", "decade"]
+        return self._contrasts([self._long(self.smr_j, keys, "SMRj", "All"), self._long(self.smr_ij, keys, "SMRij")], keys)
 
     @cached_property
     def tabs2(self) -> DataFrame:
-        def both(dname, yname, keys, extra):
-            d = self.excess(dname).drop("Male", "Female")
-            y = self.excess(yname).drop("Male", "Female")
-            return join_ns(d, y, keys, "left").withColumn("age_group", F.lit("All ages")) if extra else \
-                join_ns(d, y, keys, "left")
-        ex = both("deaths_sex_excess", "ylldec_sex_excess", ["decade"], True).unionByName(
-            both("deaths_sexage_excess", "ylldec_sexage_excess", ["decade", "age_group"], False))
-        ex = ex.select("age_group", "decade", "deaths_excess", "yll_excess")
-        ee = both("deaths_sex_ext_excess", "ylldec_sex_ext_excess", ["decade", "cause_ext"], True).unionByName(
-            both("deaths_sexage_ext_excess", "ylldec_sexage_ext_excess", ["decade", "age_group", "cause_ext"], False))
         keys = ["age_group", "decade"]
-        def sel(v, suffix):
-            return (ee.where(F.col("cause_ext") == v)
-                      .select("age_group", "decade", F.col("deaths_excess").alias(f"deaths_excess_{suffix}"),
-                              F.col("yll_excess").alias(f"yll_excess_{suffix}")))
-        return self._assemble(keys, ex, sel(H.EXTERNAL, "ext"), sel(H.NON_EXTERNAL, "next"))
+        every = F.lit("All ages").alias("age_group")
+
+        def long(df, age, cause, deaths, lost):
+            c = F.lit(cause).alias("cause_ext") if cause else F.col("cause_ext")
+            return df.select(age, "decade", c, "sex", F.col(deaths).alias("deaths"), F.col(lost).alias("yll"))
+        w = self._side_by_side([long(self.ylldec_sex, every, "All", "SMR", "YLL"),
+                                long(self.ylldec_agesex, F.col("age_group"), "All", "SMRj", "yearsll"),
+                                long(self.ylldec_sex_ext, every, None, "SMRi", "YLL"),
+                                long(self.ylldec_agesex_ext, F.col("age_group"), None, "SMRij", "yearsll")],
+                               keys, ("deaths", "yll"))
+        return w.select(*keys, *[(F.col(f"{v}{s}_Male") - F.col(f"{v}{s}_Female")).alias(f"{v}_excess{s}")
+                                 for s in ("", "_ext", "_next") for v in ("deaths", "yll")])
 
     def report(self, table: str = "tab1") -> DataFrame:
         """Report text ``est (lo, hi)`` for the ratio columns."""
@@ -716,7 +664,8 @@ class Study:
         """A result table in report order (T6): regime / age group by their
         level order, then decade."""
         from vitalrates.functions.bins import label_ordinal
-        t = getattr(self, table) if table != "report" else self.report("tab1")
+        t = {"report": lambda: self.report("tab1"), "report_age": lambda: self.report("tab2")}.get(
+            table, lambda: getattr(self, table))()
         if "regime" in t.columns:
             levels = [b for _, b in REGIME_LABELS]
             return t.orderBy(label_ordinal(F.col("regime"), levels).asc_nulls_last(), "decade")
@@ -724,10 +673,10 @@ class Study:
         return t.orderBy(label_ordinal(F.col("age_group"), levels).asc_nulls_last(), "decade")
 
     def write_report(self, root: str, fmt: str = "parquet") -> None:
-        """Result sink (S11): Tables 1, 2, S2 and the formatted Table 1, one
-        dataset each under ``root``, rows in report order."""
+        """Result sink (S11): Tables 1, 2, S2 and the formatted Tables 1 and
+        2, one dataset each under ``root``, rows in report order."""
         from vitalrates.sources.sinks import write_results
-        write_results({name: self.ordered(name) for name in ("tab1", "tab2", "tabs2", "report")}, root, fmt)
+        write_results({name: self.ordered(name) for name in ("tab1", "tab2", "tabs2", "report", "report_age")}, root, fmt)
 
     def unmatched(self, min_n: int = 10) -> DataFrame:
         return H.unmatched_report(self.deaths_tot.where(F.col("cause").isNotNull()), self.regions, min_n)

@@ -22,8 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalrates.sources.readers import read_spread
-
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,9 +33,8 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain equi-joins: Spark broadcasts a side only when its measured size is
     under the broadcast threshold (AQE re-plans at run time) and
     sort-merges otherwise, with skewed keys split by AQE."""
-    l = read_spread(spark, f"{sf_dir}/lineitem.parquet",
-                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                     "l_linestatus", "l_shipdate"])
+    l = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                             "l_linestatus", "l_shipdate")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return (l.join(o, l.l_orderkey == o.o_orderkey)
@@ -127,21 +124,20 @@ def popbdua_raw(cube: DataFrame, first_year: int = 1997) -> DataFrame:
                 .agg(F.sum("N").alias("afil")))
 
 
-def population_wide(items: DataFrame) -> DataFrame:
+def population_wide(cube: DataFrame) -> DataFrame:
     """Municipal projection sheet in its published wide layout: ids, ``AREA``
     and one column per sex × single age (``Hombres_<age>``,
-    ``Mujeres_<age>``) plus a total column per sex. Built with ``pivot`` over
-    a fixed header list (ages 0..98 step 2 of the data domain): one
-    aggregation by (municipality, year, header), then the pivot; absent
-    cells are 0 as in a published sheet."""
-    label = F.when(F.col("SEXO") == "Male", F.lit("Hombres")).otherwise(F.lit("Mujeres"))
-    long = items.groupBy("COD_MPIO", "ANO", "SEXO", "EDAD").agg(F.sum("N").alias("N"))
-    cells = long.select("COD_MPIO", "ANO", F.concat(label, F.lit("_"), F.col("EDAD").cast("string")).alias("hdr"), "N")
-    totals = long.select("COD_MPIO", "ANO", F.concat(F.lit("Total "), label).alias("hdr"), "N")
-    headers = [f"{lab}_{a}" for lab in ("Hombres", "Mujeres") for a in range(0, 99, 2)]
-    headers += ["Total Hombres", "Total Mujeres"]
-    wide = cells.unionByName(totals).groupBy("COD_MPIO", "ANO").pivot("hdr", headers).agg(F.sum("N"))
-    return wide.fillna(0, subset=headers).withColumn("AREA", F.lit("Total"))
+    ``Mujeres_<age>``) plus a total column per sex. The headers are the ages
+    that occur (one small job over the population strata, as a file's header
+    is read before its rows); the sheet is one conditional aggregation and
+    absent cells are 0 as in a published sheet."""
+    ages = sorted(r[0] for r in cube.select("EDAD").where(F.col("EDAD").isNotNull()).distinct().collect())
+    cells = []
+    for sex, label in (("Male", "Hombres"), ("Female", "Mujeres")):
+        own = F.col("SEXO") == sex
+        cells += [F.sum(F.when(own & (F.col("EDAD") == a), F.col("N")).otherwise(0)).alias(f"{label}_{a}") for a in ages]
+        cells.append(F.sum(F.when(own, F.col("N")).otherwise(0)).alias(f"Total {label}"))
+    return cube.groupBy("COD_MPIO", "ANO").agg(*cells).withColumn("AREA", F.lit("Total"))
 
 
 def rurality_source(spark: SparkSession, sf_dir: str) -> DataFrame:

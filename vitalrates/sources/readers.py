@@ -82,19 +82,3 @@ def read_rurality(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Serialised analysis input."""
     return spark.read.parquet(path)
-
-
-def read_spread(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet scan whose rows are spread over at least the cluster's default
-    parallelism. A file with a single row group yields one non-empty split
-    however many bytes it has, which would leave the per-row harmonisation on
-    one core; only in that case (fewer scan partitions than task slots) the
-    projected columns are round-robin repartitioned. Large inputs already
-    have many splits and are left as they are: no extra shuffle at scale."""
-    df = spark.read.parquet(path)
-    if columns:
-        df = df.select(*columns)
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots)
-    return df
