@@ -79,3 +79,70 @@ def test_population_cells_are_read_as_numbers(spark):
     assert sorted((r.SEXO, r.EDAD, r.N) for r in long.collect()) == [("Female", 1, None), ("Male", 0, 10)]
     plan = long._jdf.queryExecution().executedPlan().toString()
     assert "regexp" not in plan.lower() and "Exchange" not in plan
+
+
+def _sheet(path, first, years, codes, swapped=False, national=False, titles=11, open_age="85"):
+    ages = [0, 3, 10, 20, 40, 70]
+    heads = [f"{s}_{a}" for s in ("Hombres", "Mujeres") for a in ages] + [f"Hombres_{open_age}", f"Mujeres_{open_age}"]
+    ids = ["DP", "DPNOM", "AÑO", "ÁREA GEOGRÁFICA"] if national else (
+        ["DP", "DPNOM", "DPMP", "MPIO", "AÑO", "ÁREA GEOGRÁFICA"] if swapped else ["DP", "DPNOM", "MPIO", "DPMP", "AÑO", "ÁREA GEOGRÁFICA"])
+    with open(path, "w", encoding="utf-8") as f:
+        for i in range(titles):
+            f.write(["Población por municipio\n", "\n", "Actualización,2020\n"][i % 3])
+        f.write(",".join([*ids, *heads, "Total Hombres", "Total Mujeres", "Total"]) + "\n")
+        for y in years:
+            for area in ("Total", "Cabecera"):
+                for c in codes:
+                    own = ["0", "Nacional", str(y), area] if national else (
+                        ["5", "D", "M", c, f"{y}.0", area] if swapped else ["5", "D", c, "M", str(y), area])
+                    cells = [str(first + i) + (".0" if i % 3 == 0 else "") for i in range(len(heads))]
+                    f.write(",".join([*own, *cells, "1", "1", "2"]) + "\n")
+        f.write("Fuente: proyecciones\n")
+
+
+def test_population_sheets_to_table_1(spark):
+    """Preambles, swapped columns, decimals and an open-age header: sheets of
+    four municipal and two national releases through the study to Table 1."""
+    from vitalrates.operators import harmonise as H
+    from vitalrates.operators.population import stack_sheets
+    from vitalrates.plans.config import StudyConfig
+    from vitalrates.plans.study import Study
+    from vitalrates.sources.readers import MUNICIPAL_SHEET, MUNICIPAL_SHEET_SWAPPED, NATIONAL_SHEET
+    d = tempfile.mkdtemp(prefix="vr-sheets-")
+    spans = [(range(1998, 2000), False, 11), (range(2000, 2001), False, 11), (range(2001, 2002), True, 11), (range(2002, 2004), False, 8)]
+    mun, nat = [], []
+    for i, (years, swapped, titles) in enumerate(spans):
+        _sheet(f"{d}/m{i}.csv", 100, years, ["5001", "8001"], swapped, titles=titles)
+        mun.append(read_population_sheet(spark, f"{d}/m{i}.csv", MUNICIPAL_SHEET_SWAPPED if swapped else MUNICIPAL_SHEET,
+                                         required=["COD_MPIO", "ANO"], header="DPNOM"))
+    for i, (years, age) in enumerate([(range(1998, 2001), "85"), (range(2001, 2004), "85 y más")]):
+        _sheet(f"{d}/n{i}.csv", 1000, years, ["0"], national=True, open_age=age)
+        nat.append(read_population_sheet(spark, f"{d}/n{i}.csv", NATIONAL_SHEET, required=["ANO", "AREA"], header="DPNOM"))
+    popmpio = stack_sheets(mun, ["COD_MPIO", "ANO"], "COD_MPIO", drop=["COD_DPTO", "DPTO", "MPIO"])
+    popnac = stack_sheets(nat, ["ANO"], drop=["DP", "DPNOM"])
+    assert dict(popmpio.dtypes)["ANO"] == "int" and dict(popnac.dtypes)["ANO"] == "int"
+    assert popmpio.count() == 6 * 2 * 14 and popnac.count() == 6 * 14
+    assert {r[0] for r in popmpio.select("COD_MPIO").distinct().collect()} == {"05001", "08001"}
+    assert {r[0] for r in popnac.select("EDAD").distinct().collect()} == {0, 3, 10, 20, 40, 70, 85}
+    assert popnac.where("N is null").count() == 0 and popnac.agg({"N": "min"}).first()[0] == 1000
+
+    codes = ["1", "7", "10", "12", "15", "22"]     # one code per wide age group of the years 1998-2007
+    rows = [("5", "1", "5.0", "1", str(y), "1", s, "1", c, cause) for y in range(1998, 2004) for s in "12" for c in codes
+            for cause, n in (("I219", 12 if s == "1" else 10), ("X954", 11)) for _ in range(n)]
+    raw = spark.createDataFrame(rows, "COD_DPTO string, COD_MUNIC string, CODPTORE string, CODMUNRE string, ANO string, "
+                                      "MES string, SEXO string, SEG_SOCIAL string, GRU_ED1 string, C_BAS1 string")
+    rur = spark.createDataFrame([(5001, "a", "A", "Rural"), (5001, "b", "A", "Rural")],
+                                "Municipaly int, Municipali string, Departam_1 string, Categoria_ string")
+    bdua = spark.createDataFrame([], "year string, regime string, sex string, age int, afil bigint")
+    cfg = StudyConfig(years=(1998, 2003), mpio_years=(1998, 2003), regime_years=(1998, 2003), insured_years=(1998, 2003),
+                      mask_year=1991, anchor_year=1990)
+    root = tempfile.mkdtemp(prefix="vr-study-")
+    st = Study(H.analysis_deaths(H.clean_deaths(raw)), popnac, popmpio, bdua, H.classify_region(rur), cfg)
+    st.silver = H.clean_deaths(raw)
+    st.materialize(root)
+    assert sorted(os.listdir(root)) == ["cube", "deaths_silver"] and "year=1998" in os.listdir(f"{root}/deaths_silver")
+    assert st.cube.agg({"n": "sum"}).first()[0] == len(rows)      # the repeated municipality counts nothing twice
+    assert dict(st.mrnac_sex.dtypes)["year"] == "int" and dict(st.popnac.dtypes)["year"] == "int"
+    t1 = {(r.regime, r.decade): r for r in st.tab1.collect()}
+    one = t1["All people", 1990]
+    assert one.smr_ratio is not None and 1.0 < one.smr_ratio < 1.2 and one.dsmr > 0 and abs(one.smr_ext - 1.0) < 0.05

@@ -396,7 +396,9 @@ def classify_region(rurality: DataFrame, extra=EXTRA_MUNICIPALITY) -> DataFrame:
          .otherwise(F.lit("Urban")).alias("region"),
     )
     add = literal_frame(rurality.sparkSession, [extra], ["cod_mpio", "dpto", "mpio", "region"])
-    return dim.unionByName(add)
+    dim = dim.unionByName(add.join(dim.select("cod_mpio").distinct(), "cod_mpio", "left_anti"))
+    # a repeated code would count its deaths twice: the first row in a fixed order stays
+    return first_per_group(dim, ["cod_mpio"], ["region", "mpio", "dpto"])
 
 
 def attach_region(deaths: DataFrame, regions: DataFrame) -> DataFrame:

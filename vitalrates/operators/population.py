@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vitalrates.functions.bins import Bins, cut
 from vitalrates.functions.nulls import strict_sum
-from vitalrates.functions.text import number_from_header, to_number
+from vitalrates.functions.text import number_from_header, to_number, zero_pad
 from vitalrates.operators.harmonise import AGE_BREAKS, AGE_GROUPS, REGIME_NAMES, SEX_NAMES, _decode
 
 WIDE = Bins(AGE_BREAKS, AGE_GROUPS)
@@ -35,6 +35,18 @@ def population_long(wide: DataFrame, keys: Sequence[str], drop: Sequence[str] =
                 .select(*ids, F.inline(F.array(*cells))))
 
 
+def stack_sheets(sheets: Sequence[DataFrame], keys: Sequence[str], code_col: str | None = None,
+                 drop: Sequence[str] = ()) -> DataFrame:
+    """Wide sheets of several releases → one long table with typed keys: the
+    year an integer, the municipality code five digits of text."""
+    out = None
+    for sheet in sheets:
+        long = population_long(sheet, keys, [c for c in drop if c in sheet.columns])
+        out = long if out is None else out.unionByName(long)
+    out = out.withColumn("ANO", to_number(F.col("ANO").cast("string"), "int"))
+    return out.withColumn(code_col, zero_pad(F.col(code_col).cast("string"), 5)) if code_col else out
+
+
 def population_strata(pop: DataFrame, keys: dict, age_col: str, value_col: str,
                       out: str = "pop", bins: Bins = WIDE, extra_bins: dict | None = None,
                       year_col: str | None = None, year_range: tuple | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 Y0, Y1 = 1995, 2001
 MASK_YEAR, ANCHOR_YEAR = 1998, 1997
 REGIME_Y0 = 1997
-MIN_N = 10
+MIN_N = "10 /* least count */"
 YOUNG = "('<1','1-4','5-14')"
 AGES = ["<1", "1-4", "5-14", "15-24", "25-59", "60+"]
 AGES5 = ["0", "1-4"] + [f"{a}-{a + 4}" for a in range(5, 85, 5)] + ["85+"]
@@ -293,26 +293,35 @@ _REC = """CASE WHEN mf2 = '18767' THEN '18785' WHEN mf2 = '18765' THEN '18756'
 
 FB = "coalesce(cod_dptore IN ('01','75'), false)"
 
-CTES: list[tuple[str, str]] = [
-    ("raw", """
+def _raw(spread: bool = False) -> str:
+    """Death records as raw text; ``spread``: see ``tpch.raw_deaths``."""
+    year = "(year(l.l_shipdate) + (l.l_linenumber % 3 - 1) * 15)" if spread else "year(l.l_shipdate)"
+    ages = 29 if spread else 26
+    dept = ("CASE WHEN s.s_nationkey = 24 THEN '83' WHEN s.s_nationkey % 4 = 1 THEN CAST(s.s_nationkey AS VARCHAR) || '.0' "
+            "ELSE CAST(s.s_nationkey AS VARCHAR) END" if spread else "CAST(s.s_nationkey AS VARCHAR)")
+    return f"""
 SELECT CASE WHEN c.c_nationkey = 0 THEN '' ELSE CAST(c.c_nationkey AS VARCHAR) END AS COD_DPTO,
   CAST(c.c_custkey % 1000 AS VARCHAR) AS COD_MUNIC,
-  CAST(s.s_nationkey AS VARCHAR) AS CODPTORE,
+  {dept} AS CODPTORE,
   CASE WHEN l.l_suppkey % 7 = 0 THEN NULL ELSE CAST(l.l_suppkey % 1000 AS VARCHAR) END AS CODMUNRE,
-  CAST(year(l.l_shipdate) AS VARCHAR) AS ANO,
+  CAST({year} AS VARCHAR) AS ANO,
   CAST(month(l.l_shipdate) AS VARCHAR) AS MES,
   CASE WHEN l.l_linenumber = 7 THEN '3' WHEN l.l_linestatus = 'O' THEN '1' ELSE '2' END AS SEXO,
-  CASE WHEN year(l.l_shipdate) <= 1996 THEN NULL
+  CASE WHEN {year} <= 1996 THEN NULL
        WHEN c.c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN '1'
        WHEN c.c_mktsegment IN ('FURNITURE', 'HOUSEHOLD') THEN '2' ELSE '9' END AS SEG_SOCIAL,
-  CAST((CAST(floor(l.l_quantity) AS INTEGER) - 1) % 26 + 1 AS VARCHAR) AS GRU_ED1,
+  CAST((CAST(floor(l.l_quantity) AS INTEGER) - 1) % {ages} + 1 AS VARCHAR) AS GRU_ED1,
   CASE WHEN l.l_partkey % 53 = 0 THEN NULL
-       WHEN year(l.l_shipdate) <= 1996 THEN lpad(CAST((l.l_partkey * 7 + l.l_suppkey) % 1000 AS VARCHAR), 3, '0')
+       WHEN {year} <= 1996 THEN lpad(CAST((l.l_partkey * 7 + l.l_suppkey) % 1000 AS VARCHAR), 3, '0')
             || CAST(l.l_linenumber % 10 AS VARCHAR)
        ELSE chr(CAST(65 + l.l_partkey % 26 AS INTEGER)) || lpad(CAST(l.l_suppkey % 100 AS VARCHAR), 2, '0')
             || CAST(l.l_linenumber % 10 AS VARCHAR) END AS C_BAS1
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey"""),
+JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey"""
+
+
+CTES: list[tuple[str, str]] = [
+    ("raw", _raw()),
     ("s1", f"""
 SELECT {_to_int('MES')} AS month, {_to_int('ANO')} AS year,
   CASE SEXO WHEN '1' THEN 'Male' WHEN '2' THEN 'Female' WHEN '3' THEN 'Indeterminate' END AS sex,
@@ -627,7 +636,11 @@ CTES += [
 ]
 
 
-def query_sql(final: str) -> str:
+def query_sql(final: str, spread: bool = False, min_count: int | None = None) -> str:
     """Every CTE followed by ``final``; DuckDB evaluates only the CTEs the
-    final SELECT reaches."""
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in CTES) + "\n" + final
+    final SELECT reaches. ``spread`` and ``min_count`` give the study of the
+    spread records and of another suppression threshold."""
+    ctes = [(name, _raw(True) if spread and name == "raw" else body) for name, body in CTES]
+    if min_count is not None:
+        ctes = [(name, body.replace(MIN_N, str(min_count))) for name, body in ctes]
+    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes) + "\n" + final

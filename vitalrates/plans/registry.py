@@ -50,13 +50,13 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
     return df.select(*cols)
 
 
-def shape_sql(src: str, spec: str) -> str:
+def shape_sql(src: str, spec: str, **variant) -> str:
     cols = []
     for name, t in _schema(spec):
         c = f"CAST({name} AS {_SQL_T[t]})"
         cols.append(f"{'round(' + c + ', 6)' if t == 'd' else c} AS {name}")
     src = src if src.lstrip().upper().startswith("SELECT") is False else f"({src})"
-    return O.query_sql(f"SELECT {', '.join(cols)} FROM {src} AS q")
+    return O.query_sql(f"SELECT {', '.join(cols)} FROM {src} AS q", **variant)
 
 
 # ----------------------------------------------------------------- schemas
@@ -70,10 +70,13 @@ def _excess_spec(ids: str, out: str) -> str:
 
 # name → (builder(spark, sf_dir) -> DataFrame, SQL source, schema)
 REGISTRY: dict[str, tuple[Callable, str, str]] = {}
+# oracle variants (spread records, another threshold) of some entries
+VARIANTS: dict[str, dict] = {}
 
 
-def _reg(name, fn, src, spec):
+def _reg(name, fn, src, spec, **variant):
     REGISTRY[name] = (fn, src, spec)
+    VARIANTS[name] = variant
 
 
 def _st(attr):
@@ -86,11 +89,40 @@ def _silver(spark, d):
 
 
 # -- harmonisation (row level, from the raw tables)
-_reg("pad_codes",
-     lambda s, d: _silver(s, d).groupBy("cod_dpto", "cod_mpio1", "cod_mpio", "cod_dptore", "cod_mpiore1",
-                                        "cod_mpiore").agg(F.count(F.lit(1)).alias("n")),
-     "SELECT cod_dpto, cod_mpio1, cod_mpio, cod_dptore, cod_mpiore1, cod_mpiore, count(*) AS n FROM silver GROUP BY ALL",
-     "cod_dpto:s cod_mpio1:s cod_mpio:s cod_dptore:s cod_mpiore1:s cod_mpiore:s n:l")
+CODES = ("cod_dpto", "cod_mpio1", "cod_mpio", "cod_dptore", "cod_mpiore1", "cod_mpiore")
+
+
+def _codes(silver):
+    """Records per code column and code: as many rows as there are codes."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("code_column"), F.col(c).alias("code")) for c in CODES])
+    return silver.select(F.inline(pairs)).groupBy("code_column", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CODES_SQL = " UNION ALL ".join(f"SELECT '{c}' AS code_column, {c} AS code, count(*) AS n FROM silver GROUP BY ALL" for c in CODES)
+_reg("pad_codes", lambda s, d: _codes(_silver(s, d)), f"SELECT * FROM ({_CODES_SQL})", "code_column:s code:s n:l")
+
+
+def _spread(s, d):
+    """Harmonised records of all eras and special codes."""
+    from vitalrates.plans import tpch
+    return H.clean_deaths(tpch.raw_deaths(s, d, spread=True))
+
+
+_reg("pad_codes_decimal", lambda s, d: _codes(_spread(s, d)), f"SELECT * FROM ({_CODES_SQL})", "code_column:s code:s n:l",
+     spread=True)
+_reg("map_age_codes_eras",
+     lambda s, d: _spread(s, d).groupBy("year", "sex", "age_group", "age_group5").agg(F.count(F.lit(1)).alias("n")),
+     "SELECT year, sex, age_group, age_group5, count(*) AS n FROM silver GROUP BY ALL",
+     "year:i sex:s age_group:s age_group5:s n:l", spread=True)
+_reg("map_cause_eras",
+     lambda s, d: _spread(s, d).groupBy("year", "cause", "ext_cause", "regime").agg(F.count(F.lit(1)).alias("n")),
+     "SELECT year, cause, ext_cause, regime, count(*) AS n FROM silver GROUP BY ALL",
+     "year:i cause:s ext_cause:s regime:s n:l", spread=True)
+_reg("recode_geo_department_83",
+     lambda s, d: (H.analysis_deaths(_spread(s, d)).where(F.col("cod_dptof").isin("18", "83"))
+                   .groupBy("year", "cod_dptof", "cod_mpiof").agg(F.count(F.lit(1)).alias("n"))),
+     "SELECT year, cod_dptof, cod_mpiof, count(*) AS n FROM deaths_tot WHERE cod_dptof IN ('18', '83') GROUP BY ALL",
+     "year:i cod_dptof:s cod_mpiof:s n:l", spread=True)
 _reg("map_cause_range",
      lambda s, d: _silver(s, d).groupBy("year", "cause", "ext_cause").agg(F.count(F.lit(1)).alias("n")),
      "SELECT year, cause, ext_cause, count(*) AS n FROM silver GROUP BY ALL",
@@ -116,6 +148,16 @@ _reg("unmatched_codes", lambda s, d: study(s, d).unmatched(10),
      "cod_dptof:s cod_mpiof:s n:l years:s")
 
 
+_reg("unmatched_codes_gaps",
+     lambda s, d: H.unmatched_report(study(s, d).deaths_tot.where(F.col("cause").isNotNull()),
+                                     study(s, d).regions.where("CAST(cod_mpio AS INT) % 7 <> 3"), 10),
+     "SELECT * FROM (SELECT d.cod_dptof, d.cod_mpiof, count(*) AS n, "
+     "array_to_string(list_sort(list_distinct(list(CAST(d.year AS VARCHAR)))), ',') AS years "
+     "FROM deaths_tot d LEFT JOIN (SELECT * FROM regions WHERE CAST(cod_mpio AS INTEGER) % 7 <> 3) r "
+     "ON d.cod_mpiof = r.cod_mpio WHERE d.cause IS NOT NULL AND r.region IS NULL GROUP BY ALL) WHERE n >= 10",
+     "cod_dptof:s cod_mpiof:s n:l years:s")
+
+
 def _population_long(spark, d):
     from vitalrates.plans import tpch
     st = study(spark, d)
@@ -164,6 +206,35 @@ _reg("suppress_complete_regime", _st("d_regimeij"), "d_regimeij",
 _reg("suppress_complete_cause", _st("d_i2j"), "d_i2j", "year:i age_group:s sex:s cause:s dij:d")
 _reg("suppress_complete_external", _st("d_i3j"), "d_i3j", "year:i age_group:s sex:s ext_cause:s dij:d")
 
+# the same under a threshold that drops and refills cells at the test scale
+BITING = 300
+
+
+def _biting(spark, d):
+    key = (spark.sparkContext.applicationId, d, BITING)
+    if key not in _STUDIES:
+        _STUDIES[key] = study(spark, d).with_config(min_count=BITING)
+    return _STUDIES[key]
+
+
+for _name, _attr, _spec in (("suppress_complete", "d_ij", "year:i age_group:s sex:s cause_ext:s dij:d"),
+                            ("suppress_only", "d_j", "year:i sex:s age_group:s dj:d"),
+                            ("suppress_complete_region", "d_regionj", "year:i age_group:s sex:s region:s durj:d")):
+    _reg(f"{_name}_biting", (lambda a: lambda s, d: getattr(_biting(s, d), a))(_attr), _attr, _spec, min_count=BITING)
+
+
+def _strict_mixed(spark, d):
+    """Missing regimes are missing deaths: groups with and without them."""
+    from vitalrates.functions.nulls import strict_sum
+    c = study(spark, d).cube.withColumn("known", F.when(F.col("regime").isNotNull() | (F.col("sex") == "Male"), F.col("n")))
+    return c.groupBy("year", "sex").agg(strict_sum("known").alias("n_strict"), F.sum("known").alias("n_skip"))
+
+
+_reg("strict_sum_mixed", _strict_mixed,
+     f"SELECT year, sex, {O._ss('known')} AS n_strict, sum(known) AS n_skip FROM (SELECT *, CASE WHEN regime IS NOT NULL "
+     "OR sex = 'Male' THEN n END AS known FROM cube) GROUP BY ALL",
+     "year:i sex:s n_strict:l n_skip:l")
+
 # -- stratum rates
 _reg("stratum_rates", _st("r_ij"), "r_ij",
      f"year:i sex:s age_group:s nj:l cause_ext:s dij:d rij:d {RATES} rij_std:d")
@@ -340,4 +411,4 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def oracle(name: str) -> str:
     _, src, spec = REGISTRY[name]
-    return shape_sql(src, spec)
+    return shape_sql(src, spec, **VARIANTS[name])

@@ -87,6 +87,16 @@ class Study:
         st.silver = silver
         return st
 
+    def with_config(self, **changes) -> "Study":
+        """The same inputs and base strata under other parameters that do not
+        touch them (thresholds, masked year, scales)."""
+        from dataclasses import replace
+        st = Study(self.deaths_tot, self._popnac_long, self._popmpio_long, self._popbdua_raw, self.regions,
+                   replace(self.cfg, **changes))
+        for name in ("cube", "popnac", "popmpio", "popbdua", "regions"):
+            st.__dict__[name] = getattr(self, name)
+        return st
+
     @staticmethod
     def deaths_from_silver(silver: DataFrame, cfg: StudyConfig) -> DataFrame:
         """Silver death records → analysis level."""

@@ -46,12 +46,23 @@ def _s(x: Column) -> Column:
     return x.cast("string")
 
 
-def raw_deaths(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
-    """All-text death records in the yearly-file layout."""
+def raw_deaths(spark: SparkSession, sf_dir: str, items: DataFrame | None = None, spread: bool = False) -> DataFrame:
+    """All-text death records in the yearly-file layout.
+
+    ``spread`` covers what the ship years and codes leave out: the line number
+    moves a third of the records 15 years back and a third 15 years on
+    (1980-1986, 1995-2001, 2010-2016, so all age-code eras and both code
+    revisions), ages use all 29 codes, supplier nation 24 is department 83,
+    and every fourth department is written as a decimal (``5.0``)."""
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     items = items if items is not None else line_items(spark, sf_dir)
     j = items.join(s, F.col("l_suppkey") == s.s_suppkey)
     year = F.year("l_shipdate")
+    dept = _s(F.col("s_nationkey"))
+    if spread:
+        year = year + (F.col("l_linenumber") % 3 - 1) * 15
+        dept = (F.when(F.col("s_nationkey") == 24, F.lit("83"))
+                 .when(F.col("s_nationkey") % 4 == 1, F.concat(dept, F.lit(".0"))).otherwise(dept))
     qty = F.floor("l_quantity").cast("int")
     seg = F.col("c_mktsegment")
     icd9 = F.concat(F.lpad(_s((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 1000), 3, "0"),
@@ -62,7 +73,7 @@ def raw_deaths(spark: SparkSession, sf_dir: str, items: DataFrame | None = None)
     return j.select(
         F.when(F.col("c_nationkey") == 0, F.lit("")).otherwise(_s(F.col("c_nationkey"))).alias("COD_DPTO"),
         _s(F.col("c_custkey") % 1000).alias("COD_MUNIC"),
-        _s(F.col("s_nationkey")).alias("CODPTORE"),
+        dept.alias("CODPTORE"),
         F.when(F.col("l_suppkey") % 7 == 0, F.lit(None).cast("string"))
          .otherwise(_s(F.col("l_suppkey") % 1000)).alias("CODMUNRE"),
         _s(year).alias("ANO"),
@@ -73,7 +84,7 @@ def raw_deaths(spark: SparkSession, sf_dir: str, items: DataFrame | None = None)
          .when(seg.isin("BUILDING", "AUTOMOBILE"), F.lit("1"))
          .when(seg.isin("FURNITURE", "HOUSEHOLD"), F.lit("2"))
          .otherwise(F.lit("9")).alias("SEG_SOCIAL"),
-        _s((qty - 1) % 26 + 1).alias("GRU_ED1"),
+        _s((qty - 1) % (29 if spread else 26) + 1).alias("GRU_ED1"),
         F.when(F.col("l_partkey") % 53 == 0, F.lit(None).cast("string"))
          .when(year <= 1996, icd9).otherwise(icd10).alias("C_BAS1"),
     )

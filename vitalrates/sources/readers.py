@@ -3,6 +3,7 @@ schema: codes with leading zeros stay text, never inferred numbers."""
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,22 +48,35 @@ def read_deaths(spark: SparkSession, paths: Sequence[str], fmt: str = "csv",
     return out
 
 
+#: positional names of the published sheets (fixed values)
+MUNICIPAL_SHEET = {0: "COD_DPTO", 1: "DPTO", 2: "COD_MPIO", 3: "MPIO", 4: "ANO", 5: "AREA"}
+MUNICIPAL_SHEET_SWAPPED = MUNICIPAL_SHEET | {2: "MPIO", 3: "COD_MPIO"}
+NATIONAL_SHEET = {0: "DP", 1: "DPNOM", 2: "ANO", 3: "AREA"}
+
+
 def read_population_sheet(spark: SparkSession, path: str, rename: dict | None = None,
-                          sep: str = ",", required: Sequence[str] = ()) -> DataFrame:
+                          sep: str = ",", required: Sequence[str] = (), header: str | None = None) -> DataFrame:
     """Wide population export (S5-S7). Header cells are renamed by the
     per-source map (positional names differ between releases) and the
     open-age marker `` y más`` is removed from headers; rows outside the
     table are dropped by predicate (non-missing ``required`` columns), never
-    by position."""
-    df = spark.read.options(header=True, inferSchema=False, sep=sep).csv(path)
-    cols = list(df.columns)
-    if rename:
-        for i, new in rename.items():
-            cols[i] = new
-    cols = [c.replace(" y más", "") for c in cols]
+    by position. Where title lines stand before the table, ``header`` is a
+    text that only the header line holds: that line names the columns, and
+    the lines before it fail the predicate (they are too short)."""
+    if header is None:
+        df = spark.read.options(header=True, inferSchema=False, sep=sep).csv(path)
+        own = list(df.columns)
+    else:
+        line = spark.read.text(path).where(F.col("value").contains(header)).first()
+        if line is None:
+            raise ValueError(f"no header line with {header!r} in {path}")
+        own = [c if c else f"_c{i}" for i, c in enumerate(next(csv.reader([line[0]], delimiter=sep)))]
+        schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(own))])
+        df = spark.read.schema(schema).options(header=False, sep=sep).csv(path)
+    cols = [(rename or {}).get(i, c).replace(" y más", "") for i, c in enumerate(own)]
     df = df.toDF(*cols)
     for c in required:
-        df = df.where(F.col(c).isNotNull())
+        df = df.where(F.col(c).isNotNull() & (F.col(c) != own[cols.index(c)]))
     return df
 
 
