@@ -396,9 +396,9 @@ def classify_region(rurality: DataFrame, extra=EXTRA_MUNICIPALITY) -> DataFrame:
          .otherwise(F.lit("Urban")).alias("region"),
     )
     add = literal_frame(rurality.sparkSession, [extra], ["cod_mpio", "dpto", "mpio", "region"])
-    dim = dim.unionByName(add.join(dim.select("cod_mpio").distinct(), "cod_mpio", "left_anti"))
-    # a repeated code would count its deaths twice: the first row in a fixed order stays
-    return first_per_group(dim, ["cod_mpio"], ["region", "mpio", "dpto"])
+    # a repeated code would count its deaths twice: one row stays, the source's before the added one
+    every = dim.withColumn("__added", F.lit(0)).unionByName(add.withColumn("__added", F.lit(1)))
+    return first_per_group(every, ["cod_mpio"], ["__added", "region", "mpio", "dpto"]).drop("__added")
 
 
 def attach_region(deaths: DataFrame, regions: DataFrame) -> DataFrame:
