@@ -10,7 +10,6 @@ from vitalrates.functions.nulls import (  # noqa: F401
 from vitalrates.functions.bins import Bins, cut, decade, label_ordinal  # noqa: F401
 from vitalrates.functions.frames import literal_frame  # noqa: F401
 from vitalrates.functions.text import (  # noqa: F401
-    blank_to_null,
     est_ci_text,
     fixed2,
     number_from_header,

@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def blank_to_null(col: Column) -> Column:
-    """Missing or blank text becomes NULL."""
-    return F.nullif(F.trim(col), F.lit(""))
-
-
 def to_number(col: Column, dtype: str = "int") -> Column:
     """Tolerant numeric cast: bad text gives NULL (P13). Goes through DOUBLE
     so exports that write ``1.0`` survive; non-integral values give NULL for

@@ -99,8 +99,3 @@ def age_distribution(df: DataFrame, group: Sequence[str], value: str, out: str =
     w = Window.partitionBy(*group)
     tot = F.when(F.count(F.lit(1)).over(w) == F.count(F.col(value)).over(w), F.sum(F.col(value)).over(w))
     return df.withColumn("__tot", tot).withColumn(out, safe_div(F.col(value), F.col("__tot"))).drop("__tot")
-
-
-def scaled(col: str | Column, scale: float = 1e5) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return c * F.lit(scale)
