@@ -17,7 +17,7 @@ from vitalrates.sources.sinks import checkpoint_root
 #: Input column that carries a caller's whole row through an operator.
 ROW = "_row"
 #: Arrow batches are worked off in slices of at most this many rows and bytes.
-SLICE_ROWS, SLICE_BYTES = 10_000, 16 << 20
+SLICE_ROWS, SLICE_BYTES = 10_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, text: int | None) -> Iterator[pa.RecordBatch]:
+#: Arrow batches that Spark sends to Python hold at most this many rows and bytes
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(6 << 20)}
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with small batches: texts may be very long, and a batch
+    lives in the JVM and in Python at once. The settings are the session's and
+    stay."""
+    for k, v in BATCH.items():
+        df.sparkSession.conf.set(k, v)
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()   # the worker process lives on
+
+    return df.mapInArrow(task, schema)
+
+
+def slices(batch: pa.RecordBatch, text: int | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces of bounded rows and text bytes (one long text
     may exceed the bytes alone)."""
     n = batch.num_rows
@@ -49,14 +67,14 @@ def slices(batch: pa.RecordBatch, text: int | None) -> Iterator[pa.RecordBatch]:
     i = 0
     while i < n:
         base = size[i - 1] if i else 0
-        j = int(np.searchsorted(size, base + SLICE_BYTES, side="right"))
+        j = int(np.searchsorted(size, base + most, side="right"))
         j = min(max(j, i + 1), i + SLICE_ROWS, n)
         yield batch.slice(i, j - i)
         i = j
 
 
 def map_texts(df: DataFrame, text: Column, keep: Sequence[Column], out: T.StructType,
-              factory: Callable[[], Callable]) -> DataFrame:
+              factory: Callable[[], Callable], most: int = SLICE_BYTES) -> DataFrame:
     """One output row per input row: the kept columns, then ``out``.
 
     ``factory`` runs once a task and returns a function from a list of texts
@@ -71,13 +89,13 @@ def map_texts(df: DataFrame, text: Column, keep: Sequence[Column], out: T.Struct
         from pyspark.sql.pandas.types import to_arrow_type
         kinds = [to_arrow_type(f.dataType) for f in out.fields]
         for b in batches:
-            for s in slices(b, k):
+            for s in slices(b, k, most):
                 new = work(s.column(k).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [s.column(i) for i in range(k)] + [pa.array(v, t) for v, t in zip(new, kinds, strict=True)],
                     names=names)
 
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)
 
 
 _TYPES = {"int": T.IntegerType, "long": T.LongType, "double": T.DoubleType, "string": T.StringType,

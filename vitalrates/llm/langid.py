@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import fields, slices, stored
+from vitalrates.llm.common import fields, map_batches, slices, stored
 from vitalrates.llm.words import buffers
 
 #: closely related languages (fixed values); any other language is a family of its own
@@ -81,7 +81,7 @@ def _vectors(df: DataFrame, text: str, label: str) -> DataFrame:
             x = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32)), pa.array(f.ravel()))
             yield pa.RecordBatch.from_arrays([s.column(0), x], names=["lang", "x"])
 
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)
 
 
 def teaching(docs: DataFrame, eligible: Column, key: Column, sample: int, label: str = "lang", text: str = "text") -> DataFrame:
@@ -186,7 +186,7 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[Column], text: st
             yield pa.RecordBatch.from_arrays([*s.columns[:k], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                              names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)
 
 
 def identify(docs: DataFrame, sample: int = 3000) -> DataFrame:

@@ -34,9 +34,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import fields, stored
+from vitalrates.llm.common import fields, map_batches, stored
 
-TREES, SYMBOLS, WIDTH = 32, 6, 64
+TREES, SYMBOLS, WIDTH = 36, 5, 64
 #: rows of a chunk of a bucket
 CHUNK = 8192
 
@@ -94,7 +94,7 @@ def grouped_map(df: DataFrame, key: str, work: Callable, schema: T.StructType) -
         if wait:
             yield from work(pa.Table.from_batches(wait))
 
-    return ready.mapInArrow(run, schema)
+    return map_batches(ready, run, schema)
 
 
 def _matrix(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ class Forest:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, trees, dtype=np.int32)), pa.array(c.ravel()))
                     yield pa.RecordBatch.from_arrays([*s.columns, lists], names=schema.names)
 
-        return src.mapInArrow(run, schema)
+        return map_batches(src, run, schema)
 
     def _enough(self, probes: DataFrame, per: DataFrame) -> int:
         """Candidates that find ``recall`` of the true neighbours of a sample
@@ -181,7 +181,7 @@ class Forest:
             if len(best[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(z) for z in best], names=["probe", "score", "deep"])
 
-        true = self.index.select("v", "cid", "codes").mapInArrow(run, "probe long, score double, deep long")
+        true = map_batches(self.index.select("v", "cid", "codes"), run, "probe long, score double, deep long")
         true = true.where(F.col("score") > float("-inf")).withColumn("tie", F.col("deep"))
         rows = _top(true, "probe", "tie", k).collect()       # at most k times the sample
         counts = [{0: math.inf} | {x: r[f"n{x}"] for x in range(1, total + 1) if f"n{x}" in per.columns} for r in few]
@@ -255,10 +255,9 @@ class Forest:
             above = tree(levelled.where(F.col("level") == x), "cid", "v", "level").withColumn("p", _prefix(F.col("code"), bits * (total - x)))
             below = sizes.withColumn("p", _prefix(F.col("bucket"), bits * (depth - x)))
             sent.append(above.join(below, ["tree", "p"]).drop("p").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
-        everything = levelled.where("level = 0").select("cid", "v", "level", F.lit(0).alias("tree"), F.col("codes")[0].alias("code"))
-        one = sizes.where("tree = 0").withColumnRenamed("tree", "tree0")
-        sent.append(everything.join(one, F.col("tree") == F.col("tree0")).drop("tree0")
-                    .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
+        above = tree(levelled.where("level = 0"), "cid", "v", "level").where("tree = 0").withColumn("p", _prefix(F.col("code"), bits * total))
+        below = sizes.where("tree = 0").withColumn("p", _prefix(F.col("bucket"), bits * depth))     # the empty prefix: all rows
+        sent.append(above.join(below, ["tree", "p"]).drop("p").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
         probe_rows = [s.select(group.alias("g"), "code", "v", F.lit(None).cast("long").alias("cid"), F.col("cid").alias("probe"), "level")
                       for s in sent]
         both = items.select(group.alias("g"), "code", "v", "cid", F.lit(None).cast("long").alias("probe"), F.lit(None).cast("int").alias("level"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import SLICE_ROWS, fields, slices, stored
+from vitalrates.llm.common import ROW, fields, map_batches, slices, stored, unpack, whole_row
 from vitalrates.llm.tokens import encoder
 
 Pattern = tuple[tuple[int, int], ...]
@@ -163,7 +163,8 @@ def slots(used: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:
     begin = np.zeros(len(t), np.int64)
     for i in range(1, len(t)):
         begin[i] = begin[i - 1] + t[i - 1, 1] if t[i, 0] == t[i - 1, 0] else 0
-    return {"length": t[:, 0], "begin": begin, "copies": t[:, 2], "sequence": t[:, 3], "offset": t[:, 4]}
+    return {"length": t[:, 0], "begin": begin, "ends": begin + t[:, 1], "copies": t[:, 2], "sequence": t[:, 3],
+            "offset": t[:, 4]}
 
 
 def numbered(df: DataFrame, capacity: int, length: str = "length") -> DataFrame:
@@ -186,51 +187,47 @@ def numbered(df: DataFrame, capacity: int, length: str = "length") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*s.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(rank)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def pack(df: DataFrame, capacity: int = 4096, length: str = "length", **lp) -> DataFrame:
     """The rows of ``df`` with ``sequence_id`` and ``offset``, placed into few
-    sequences of at most ``capacity``; each is gapless from offset 0."""
-    spark, names = df.sparkSession, df.columns
-    rows = stored(numbered(df, capacity, length), "pack")
+    sequences of at most ``capacity``; each is gapless from offset 0. Columns
+    of these two names in the input are replaced."""
+    spark = df.sparkSession
     size = F.col(f"`{length}`").cast("long")
-    per = rows.where(size.between(1, capacity)).groupBy(size.alias("_len"), "_part").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.select(whole_row(df), F.when(size.between(1, capacity), size).alias("_len"))
+    rows = stored(numbered(rows, capacity, "_len"), "pack")
+    per = rows.where(F.col("_len").isNotNull()).groupBy("_len", "_part").agg(F.count(F.lit(1)).alias("_n"))
     per = stored(per, "pack-parts")
     w = Window.partitionBy("_len").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = per.select("_len", "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     histogram = {int(r[0]): int(r[1]) for r in per.groupBy("_len").agg(F.sum("_n")).collect()}
     spread = spark.sparkContext.broadcast(slots(plan(histogram, capacity, **lp)))   # bounded by the capacity
-    placed = rows.withColumn("_len", size).join(before, ["_len", "_part"], "left")
-    placed = placed.select(*[F.col(f"`{c}`") for c in names], "_len", (F.col("_before") + F.col("_rank")).alias("_rank"))
-    schema = T.StructType(df.schema.fields + fields("sequence_id long, offset long").fields)
+    placed = (rows.join(before, ["_len", "_part"], "left")
+              .select(ROW, "_len", (F.col("_before") + F.col("_rank")).alias("_rank")))
+    schema = T.StructType([placed.schema[ROW], *fields("sequence_id long, offset long").fields])
 
     def run(batches):
         t = spread.value
+        wide = 1 + int(max([*t["ends"], 0]))
+        first = t["length"] * wide + t["begin"]      # ascending
         for b in batches:
-            for i in range(0, b.num_rows, SLICE_ROWS):
-                s = b.slice(i, SLICE_ROWS)
-                rank = s.column("_rank")
-                none = np.asarray(rank.is_null())
-                rank = rank.fill_null(0).to_numpy(zero_copy_only=False)
-                of = s.column("_len").fill_null(0).to_numpy(zero_copy_only=False)
-                # ranges are ordered by length and first rank
-                lo, hi = np.searchsorted(t["length"], of), np.searchsorted(t["length"], of, side="right")
-                wide = int(t["begin"].max(initial=0) + t["copies"].max(initial=1) + 1) if len(t["begin"]) else 1
-                wide = max(wide, int(rank.max(initial=0)) + 1)
-                at = np.searchsorted(t["length"].astype(float) * wide + t["begin"], of.astype(float) * wide + rank, side="right") - 1
-                at = np.clip(at, lo, np.maximum(hi - 1, lo)) if len(t["begin"]) else at * 0
-                if len(t["begin"]):
-                    at = np.where(none, 0, at)
+            for s in slices(b, None):
+                rank, of = s.column("_rank"), s.column("_len")
+                none = np.asarray(rank.is_null()) | np.asarray(of.is_null())
+                rank, of = (c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (rank, of))
+                if len(first):
+                    at = np.maximum(np.searchsorted(first, of * wide + rank, side="right") - 1, 0)
                     k = rank - t["begin"][at]
-                    seq = t["sequence"][at] + k // t["copies"][at]
-                    off = t["offset"][at] + (k % t["copies"][at]) * of
+                    seq, off = t["sequence"][at] + k // t["copies"][at], t["offset"][at] + (k % t["copies"][at]) * of
                 else:
                     seq = off = np.zeros(len(rank), np.int64)
-                yield pa.RecordBatch.from_arrays([*s.columns[:len(names)], pa.array(seq, mask=none), pa.array(off, mask=none)],
+                yield pa.RecordBatch.from_arrays([s.column(ROW), pa.array(seq, mask=none), pa.array(off, mask=none)],
                                                  names=schema.names)
 
-    return placed.mapInArrow(run, schema)
+    out = map_batches(placed, run, schema)
+    return out.select(*unpack(df, [c for c in df.columns if c not in ("sequence_id", "offset")]), "sequence_id", "offset")
 
 
 def pieces(docs: DataFrame, path: str, end: int = 1, capacity: int = 4096, doc_id: str = "doc_id",
@@ -244,7 +241,7 @@ def pieces(docs: DataFrame, path: str, end: int = 1, capacity: int = 4096, doc_i
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            for s in slices(b, 1):
+            for s in slices(b, 1, 8 << 20):
                 ids, bound = enc.encode(s.column(1))
                 row, piece, blob, size = [], [], [], []
                 for i, (a, z) in enumerate(zip(bound.tolist(), bound.tolist()[1:])):
@@ -260,10 +257,10 @@ def pieces(docs: DataFrame, path: str, end: int = 1, capacity: int = 4096, doc_i
                      pa.array([k * capacity for k in piece], pa.int64()), pa.array(size, pa.int64()),
                      pa.array(blob, pa.binary())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:
     """Query view: a digest of each piece's ids and its place."""
     p = pieces(docs, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(p)
+    return pack(stored(p, "pieces"))      # else each task would hold two Python workers at once

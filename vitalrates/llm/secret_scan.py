@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import ROW, map_texts, stored, whole_row
+from vitalrates.llm.common import ROW, map_batches, map_texts, stored, whole_row
 
 #: the fixed patterns (fixed values), in the order of their kinds
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -223,4 +223,4 @@ def _redacted(src: DataFrame, mark: str) -> DataFrame:
                 out.append("".join([*parts, t[at:]]))
             yield pa.RecordBatch.from_arrays([b.column(ROW), pa.array(out, pa.string())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)

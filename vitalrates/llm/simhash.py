@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import fields, slices, stored
+from vitalrates.llm.common import fields, map_batches, slices, stored, unpack, whole_row
 from vitalrates.llm.components import components
 from vitalrates.llm.words import words
 
@@ -79,7 +79,7 @@ def fingerprinted(docs: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str
                 fp = fingerprints(s.column(2), shingle, seed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(fp)], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -126,6 +126,6 @@ def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3, doc_id: str = "do
     first = (rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id")
              .agg(F.min("th").alias("_th")).withColumnRenamed("component_id", "_id"))
     first = stored(first, "simhash-kept")
-    own = docs.withColumn("_th", F.xxhash64(F.col(f"`{text}`")))
-    kept = own.join(first, own[doc_id].eqNullSafe(first["_id"]) & (own["_th"] == first["_th"]), "left_semi")
-    return kept.dropDuplicates([doc_id, "_th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(whole_row(docs), F.col(f"`{doc_id}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
+    kept = own.join(first, own["_key"].eqNullSafe(first["_id"]) & (own["_hash"] == first["_th"]), "left_semi")
+    return kept.dropDuplicates(["_key", "_hash"]).select(*unpack(docs, docs.columns))

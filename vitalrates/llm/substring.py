@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import ROW, fields, slices, stored, whole_row
+from vitalrates.llm.common import ROW, fields, map_batches, slices, stored, unpack, whole_row
 from vitalrates.llm.words import words
 
 #: rounds; those that also name runs; longest symbol in words
@@ -179,7 +179,7 @@ def parsed(docs: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for s in slices(b, 2):
+            for s in slices(b, 2, 2 << 20):
                 names = Names(s.column(2))
                 doc, at, many, key, h = blocks(names, window)
                 n = s.num_rows
@@ -194,7 +194,7 @@ def parsed(docs: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
                      pa.array(np.concatenate([h.view(np.int64), zero]), mask=none),
                      pa.array([None] * len(doc) + whole, pa.string())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)
 
 
 def _packed_texts(docs: DataFrame, doc_id: str, text: str, keep: list[Column]) -> DataFrame:
@@ -210,7 +210,7 @@ def _packed_texts(docs: DataFrame, doc_id: str, text: str, keep: list[Column]) -
             z = [None if t is None else zip_.compress(t.encode()) for t in b.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(z, pa.binary())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)
 
 
 def _unpacked(column: pa.Array) -> pa.Array:
@@ -244,7 +244,7 @@ def _windows(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     [s.column(0).take(rows), s.column(1).take(rows), flat.field(2).take(pa.array(each)), pa.array(at),
                      pa.array(names.digest(begin, begin + window).view(np.int64))], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return map_batches(both, run, schema)
 
 
 def repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -297,7 +297,7 @@ def trimmed(docs: DataFrame, ranges: DataFrame, window: int, keep: list[Column],
                 yield pa.RecordBatch.from_arrays([*s.columns[:k], pa.array(count, pa.int64()), pa.array(gone, pa.int64()),
                                                   pa.array(out, pa.string())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -319,10 +319,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
     _, ranges = repeats(docs, window, doc_id, text)
     cut = trimmed(docs, ranges, window, [whole_row(docs.drop(text))], doc_id, text)
     touched = ranges.select("doc", "th").distinct()
-    keyed = docs.select("*", *[c.alias(f"_{n}") for c, n in zip(_row_key(docs, doc_id, text), ("doc", "th"))])
-    same = keyed.join(touched.select(F.col("doc").alias("_doc"), F.col("th").alias("_th")), ["_doc", "_th"], "left_anti")
+    same = docs.select(whole_row(docs), *_row_key(docs, doc_id, text)).join(touched, ["doc", "th"], "left_anti")
     new = []
     for c in docs.columns:
         old = F.col(f"{ROW}.`{c}`") if c != text else F.col("kept")
         new.append((F.char_length("kept").cast(docs.schema[c].dataType) if c == "n_chars" else old).alias(c))
-    return same.select(*[F.col(f"`{c}`") for c in docs.columns]).union(cut.select(*new))
+    return same.select(*unpack(docs, docs.columns)).union(cut.select(*new))

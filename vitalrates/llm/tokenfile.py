@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import fields, shared_path, slices, stored
+from vitalrates.llm.common import fields, map_batches, shared_path, slices, stored
 from vitalrates.llm.tokens import encoder
 
 MAGIC = b"VRTOKEN1"
@@ -176,7 +176,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 2, bits: in
         system, root = _filesystem(folder)
         name = f"tokens-{task.partitionId():07d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.vrt"
         for b in batches:
-            for s in slices(b, 1):
+            for s in slices(b, 1, 8 << 20):
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     sink = system.open_output_stream(f"{root}/{name}")
@@ -192,7 +192,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 2, bits: in
             yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": name, "n_ids": n_ids, "n_docs": n_docs,
                                                "n_bytes": size}])
 
-    manifest = ordered.mapInArrow(run, "part long, file string, n_ids long, n_docs long, n_bytes long")
+    manifest = map_batches(ordered, run, "part long, file string, n_ids long, n_docs long, n_bytes long")
     return stored(manifest, "token-manifest")
 
 
@@ -227,7 +227,7 @@ def read_tokens(manifest: DataFrame, folder: str, digest: bool = False) -> DataF
                                  pa.array(rows, pa.int64() if digest else pa.binary())], names=schema.names)
                             rows, held, first = [], 0, i + 1
 
-    return files.mapInArrow(run, schema)
+    return map_batches(files, run, schema)
 
 
 def token_files(docs: DataFrame, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 
 SPACE, LETTER, NUMBER, OTHER, STRANGE = range(5)
 #: pieces kept in a worker's memory, about 250 bytes each; beyond it the memory starts anew
-CACHE = 500_000
+CACHE = 300_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalrates.llm.common import fields, map_texts
+from vitalrates.llm.common import ROW, fields, map_texts, unpack, whole_row
 from vitalrates.llm.tokens import PieceEncoder, encoder
 
 
@@ -135,7 +135,7 @@ class TrieEncoder(PieceEncoder):
 
 def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns, ``ids`` (binary, little-endian unsigned 32-bit) and
-    ``decoded`` (string) of every row."""
+    ``decoded`` (string) of every row; input columns of these names give way."""
     def factory():
         enc = encoder(path, TrieEncoder)
 
@@ -144,9 +144,10 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
             return ids, [enc.decode(i) for i in ids]
         return work
 
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    return map_texts(docs, F.col(f"`{text}`"), [F.col(f"`{c}`") for c in keep], fields("ids binary, decoded string"),
-                     factory)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "ids", "decoded")]
+    row = whole_row(docs.select(*[F.col(f"`{c}`") for c in keep])) if keep else F.lit(0).alias(ROW)
+    out = map_texts(docs, F.col(f"`{text}`"), [row], fields("ids binary, decoded string"), factory)
+    return out.select(*unpack(docs, keep), "ids", "decoded")
 
 
 def bpe_roundtrip(docs: DataFrame, path: str) -> DataFrame:
@@ -161,4 +162,4 @@ def bpe_roundtrip(docs: DataFrame, path: str) -> DataFrame:
         return work
 
     return map_texts(docs, F.col("text"), [F.col("doc_id")],
-                     fields("n_tokens long, ids_sha256 string, decoded_sha256 string"), factory)
+                     fields("n_tokens long, ids_sha256 string, decoded_sha256 string"), factory, 8 << 20)

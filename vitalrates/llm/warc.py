@@ -22,6 +22,7 @@ in a url are percent-encoded; an empty table writes no file.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalrates.llm.common import SLICE_ROWS, fields, shared_path, slices, stored
+from vitalrates.llm.common import SLICE_ROWS, fields, map_batches, shared_path, slices, stored
 from vitalrates.llm.tokenfile import _filesystem
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+VERSION = re.compile(rb"WARC/1\.\d\r\n")
 GZIP = b"\x1f\x8b\x08"
 RECORD = fields("file string, at long, size long, type string, page_id long, refers_to long, uri string, "
                 "payload_bytes long, payload_digest string, payload binary, gap string")
@@ -108,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str, roll: int = 256 << 20, **colum
             sink.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "n_bytes": size, "n_records": done}])
 
-    return stored(deduplicated(pages, **columns).mapInArrow(run, "file string, n_bytes long, n_records long"), "warc-manifest")
+    return stored(map_batches(deduplicated(pages, **columns), run, "file string, n_bytes long, n_records long"), "warc-manifest")
 
 
 class Bad(Exception):
@@ -173,7 +175,7 @@ class Archive:
     def parse(self, at: int) -> tuple[dict, int]:
         """The checked record at ``at`` and where it ends."""
         raw, end = self._member(at) if self.gz else self._plain(at)
-        if not raw.startswith(b"WARC/1."):
+        if not VERSION.match(raw):
             raise Bad("no version line")
         cut = raw.find(b"\r\n\r\n")
         if cut < 0:
@@ -215,12 +217,9 @@ class Archive:
         return None
 
     def _next_plain(self, at: int) -> int | None:
-        """First version line from ``at`` on."""
-        while (k := self._next_magic(at, b"WARC/1.")) is not None:
-            if k == 0 or self._at(k - 1, 1) == b"\n":
-                return k
-            at = k + 1
-        return None
+        """First version line from ``at`` on; a record cut off in mid-line may
+        stand before it."""
+        return self._next_magic(at, b"WARC/1.")
 
     def _next_valid(self, at: int) -> int:
         """Where the next valid record begins, else the archive's end."""
@@ -271,7 +270,7 @@ def read_archives(files: DataFrame, folder: str, payload: bool = True) -> DataFr
 
     kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
     arrow = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in RECORD.fields])
-    return spread.mapInArrow(run, RECORD)
+    return map_batches(spread, run, RECORD)
 
 
 def archive_roundtrip(pages: DataFrame) -> DataFrame:
