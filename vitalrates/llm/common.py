@@ -73,6 +73,20 @@ def slices(batch: pa.RecordBatch, text: int | None, most: int = SLICE_BYTES) ->
         i = j
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: int, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about ``most`` text bytes, for work that gains
+    from many texts at once."""
+    wait, held = [], 0
+    for b in batches:
+        wait.append(b)
+        held += b.column(text).nbytes
+        if held >= most:
+            yield from pa.Table.from_batches(wait).combine_chunks().to_batches()
+            wait, held = [], 0
+    if wait:
+        yield from pa.Table.from_batches(wait).combine_chunks().to_batches()
+
+
 def map_texts(df: DataFrame, text: Column, keep: Sequence[Column], out: T.StructType,
               factory: Callable[[], Callable], most: int = SLICE_BYTES) -> DataFrame:
     """One output row per input row: the kept columns, then ``out``.

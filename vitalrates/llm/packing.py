@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import ROW, fields, map_batches, slices, stored, unpack, whole_row
+from vitalrates.llm.common import ROW, fields, gathered, map_batches, slices, stored, unpack, whole_row
 from vitalrates.llm.tokens import encoder
 
 Pattern = tuple[tuple[int, int], ...]
@@ -204,7 +204,8 @@ def pack(df: DataFrame, capacity: int = 4096, length: str = "length", **lp) -> D
     before = per.select("_len", "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     histogram = {int(r[0]): int(r[1]) for r in per.groupBy("_len").agg(F.sum("_n")).collect()}
     spread = spark.sparkContext.broadcast(slots(plan(histogram, capacity, **lp)))   # bounded by the capacity
-    placed = (rows.join(before, ["_len", "_part"], "left")
+    # its file is far smaller than its rows in memory, so Spark would broadcast it beyond the threshold's meaning
+    placed = (rows.join(before.hint("merge"), ["_len", "_part"], "left")
               .select(ROW, "_len", (F.col("_before") + F.col("_rank")).alias("_rank")))
     schema = T.StructType([placed.schema[ROW], *fields("sequence_id long, offset long").fields])
 
@@ -240,8 +241,8 @@ def pieces(docs: DataFrame, path: str, end: int = 1, capacity: int = 4096, doc_i
 
     def run(batches):
         enc = encoder(path)
-        for b in batches:
-            for s in slices(b, 1, 8 << 20):
+        for b in gathered(batches, 1):
+            for s in slices(b, 1, 16 << 20):
                 ids, bound = enc.encode(s.column(1))
                 row, piece, blob, size = [], [], [], []
                 for i, (a, z) in enumerate(zip(bound.tolist(), bound.tolist()[1:])):

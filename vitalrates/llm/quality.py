@@ -247,6 +247,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     "n_repeat_words", "base_failed", "kept", "n_lines", "n_bangs", "n_upper", "n_letters")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with the input's columns."""
-    return judge(docs, labels).where("kept").select(*unpack(docs, docs.columns))
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang",
+              **params) -> DataFrame:
+    """The documents that pass, with the input's columns. Counts are stored
+    without the texts for the calibration; the texts are measured again on
+    their way out rather than stored a second time."""
+    narrow = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((doc_id, text, stratum))])
+    m = measured(narrow, text).withColumn(ROW, F.struct(*[F.col(f"{ROW}.`{c}`") for c in (doc_id, stratum)]))
+    cutoffs = calibrate(stored(m, "quality"), labels, doc_id, stratum, **params)
+    passed = verdict(cutoffs, F.col(f"{ROW}.`{stratum}`").cast("string"))
+    return measured(docs, text).where(passed).select(*unpack(docs, docs.columns))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import ROW, map_batches, map_texts, stored, whole_row
+from vitalrates.llm.common import ROW, fields, map_texts, stored, whole_row
 
 #: the fixed patterns (fixed values), in the order of their kinds
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -138,7 +138,8 @@ def _scan():
 def scanned(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``_row`` (the columns in ``carry``, by default all), spans of fixed
     patterns (``base``) and candidates (``maybe``); stored once."""
-    row = whole_row(docs) if carry is None else whole_row(docs.select(*[F.col(f"`{c}`") for c in carry]))
+    own = docs if carry is None else docs.select(*[F.col(f"`{c}`") for c in carry])
+    row = whole_row(own) if own.columns else F.lit(0).alias(ROW)
     return stored(map_texts(docs, F.col(f"`{text}`"), [row],
                             T.StructType([T.StructField("base", SPAN), T.StructField("maybe", SPAN)]), _scan), "secrets")
 
@@ -156,11 +157,16 @@ def accepted_bins(counts: dict[tuple[int, int], int], rate: float) -> dict[int,
     return out
 
 
-def secret_spans(scan: DataFrame, rate: float = 0.01) -> DataFrame:
-    """Adds ``found``: all accepted spans in order. One number per band and
-    bin reaches the driver."""
+def thresholds(scan: DataFrame, rate: float) -> dict[int, int]:
+    """Lowest accepted bin per band over all candidates; one number per band
+    and bin reaches the driver."""
     per = scan.select(F.explode("maybe").alias("m")).groupBy("m.band", "m.bin").count()
-    least = accepted_bins({(r[0], r[1]): r[2] for r in per.collect()}, rate)
+    return accepted_bins({(r[0], r[1]): r[2] for r in per.collect()}, rate)
+
+
+def secret_spans(scan: DataFrame, rate: float = 0.01) -> DataFrame:
+    """Adds ``found``: all accepted spans in order."""
+    least = thresholds(scan, rate)
     if least:
         bound = F.create_map(*[x for b, i in sorted(least.items()) for x in (F.lit(b), F.lit(i))])
         more = F.filter("maybe", lambda m: F.coalesce(m["bin"] >= bound[m["band"]], F.lit(False)))
@@ -184,43 +190,33 @@ def secret_scan(docs: DataFrame) -> DataFrame:
                         _joined("found").alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
+def masked(text: str, least: dict[int, int], mark: str) -> str:
+    """The text with every accepted span replaced; overlapping spans are one."""
+    base, maybe = spans(text)
+    cuts = sorted(base + [m for m in maybe if m[4] >= least.get(m[3], BINS + 1)])
+    if not cuts:
+        return text
+    parts, at = [], 0
+    for start, _, end, _, _ in cuts:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text", rate: float = 0.01) -> DataFrame:
     """The documents with every found span replaced by ``mark``; ``n_chars``
-    follows the new text."""
-    found = secret_spans(scanned(docs, text))
-    pick = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    src = found.select(ROW, F.to_json(pick).alias("_spans"))
-    src = src.select(F.struct(F.col(f"{ROW}.`{text}`").alias("t"), "_spans").alias("_both"), ROW)
-    new = _redacted(src, mark)
+    follows the new text. Candidates are stored without the texts for the
+    thresholds; texts are scanned again on their way out."""
+    least = thresholds(scanned(docs, text, carry=[]), rate)
+
+    def factory():
+        return lambda texts: ([None if t is None else masked(t, least, mark) for t in texts],)
+
+    new = map_texts(docs, F.col(f"`{text}`"), [whole_row(docs)], fields("_new string"), factory)
     cols = []
     for c in docs.columns:
         old = F.col(f"{ROW}.`{c}`")
         cols.append(F.col("_new").alias(c) if c == text else
                     F.char_length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else old.alias(c))
     return new.select(*cols)
-
-
-def _redacted(src: DataFrame, mark: str) -> DataFrame:
-    import json
-
-    import pyarrow as pa
-
-    row = src.schema[ROW]
-    schema = T.StructType([row, T.StructField("_new", T.StringType())])
-
-    def run(batches):
-        for b in batches:
-            both, out = b.column("_both"), []
-            for t, s in zip(both.field(0).to_pylist(), both.field(1).to_pylist(), strict=True):
-                cuts, parts, at = json.loads(s or "[]"), [], 0
-                if not cuts:
-                    out.append(t)
-                    continue
-                for c in cuts:       # ordered by start; overlapping spans are one gap
-                    if c["start"] >= at:
-                        parts += [t[at:c["start"]], mark]
-                    at = max(at, c["end"])
-                out.append("".join([*parts, t[at:]]))
-            yield pa.RecordBatch.from_arrays([b.column(ROW), pa.array(out, pa.string())], names=schema.names)
-
-    return map_batches(src, run, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import fields, map_batches, shared_path, slices, stored
+from vitalrates.llm.common import fields, gathered, map_batches, shared_path, slices, stored
 from vitalrates.llm.tokens import encoder
 
 MAGIC = b"VRTOKEN1"
@@ -175,8 +175,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 2, bits: in
         task, enc, writer, sink = TaskContext.get(), encoder(path), None, None
         system, root = _filesystem(folder)
         name = f"tokens-{task.partitionId():07d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.vrt"
-        for b in batches:
-            for s in slices(b, 1, 8 << 20):
+        for b in gathered(batches, 1):
+            for s in slices(b, 1, 16 << 20):
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     sink = system.open_output_stream(f"{root}/{name}")

@@ -21,8 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACE, LETTER, NUMBER, OTHER, STRANGE = range(5)
-#: pieces kept in a worker's memory, about 250 bytes each; beyond it the memory starts anew
-CACHE = 300_000
+#: pieces kept in a worker's memory, about 250 bytes each; beyond it the half used most often stays
+CACHE = 450_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +123,18 @@ class PieceEncoder:
         self.number: dict[str, int] = {}
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
+        self.hits = np.zeros(1024, np.int32)
+
+    def thin(self) -> None:
+        """Forget the less used half; later texts mostly hold the other one."""
+        words = list(self.number)
+        keep = np.argsort(self.hits[:len(words)], kind="stable")[len(words) - self.limit // 2:]
+        size, hits = self.size[keep], self.hits[keep] // 2
+        end = np.cumsum(size, dtype=np.int64)
+        at = np.repeat(self.start[keep] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
+        self.flat, self.used = self.flat[at], len(at)
+        self.start, self.size, self.hits = end - size, size, hits
+        self.number = {words[i]: j for j, i in enumerate(keep.tolist())}
 
     def learn(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of pieces not met before. Where the last token of a word is
@@ -149,10 +161,11 @@ class PieceEncoder:
             ids = self.learn(own)
             k, size = len(self.number), np.fromiter(map(len, ids), np.int32, len(ids))
             total = int(size.sum())
-            while k + len(own) > len(self.size):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            if k + len(own) > len(self.size):
+                more = len(own) + len(self.size) // 2
+                self.start, self.size, self.hits = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.start, self.size, self.hits))
+            if self.used + total > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(total + len(self.flat) // 2, np.uint32)])
             self.size[k:k + len(own)] = size
             self.start[k:k + len(own)] = self.used + np.cumsum(size) - size
             self.flat[self.used:self.used + total] = np.concatenate(ids)
@@ -184,13 +197,15 @@ class PieceEncoder:
         texts = pc.fill_null(texts, "")
         own, count, odd = self.pieces(texts)
         if len(self.number) > self.limit:
-            self.forget()
+            self.thin()
         strings = own.dictionary.to_numpy(zero_copy_only=False).tolist()
         index = list(map(self.number.get, strings))
         if None in index:
             self._add([s for s, i in zip(strings, index, strict=True) if i is None])
             index = list(map(self.number.get, strings))
-        k = np.array(index, np.int64)[np.asarray(own.indices)] if len(own) else np.zeros(0, np.int64)
+        index = np.array(index, np.int64)
+        self.hits[index] += 1
+        k = index[np.asarray(own.indices)] if len(own) else np.zeros(0, np.int64)
         size = self.size[k]
         end = np.cumsum(size, dtype=np.int64)
         total = int(end[-1]) if len(end) else 0
