@@ -162,7 +162,7 @@ def _filesystem(uri: str):
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 2, bits: int = 8, doc_id: str = "doc_id",
-                 text: str = "text") -> DataFrame:
+                 text: str = "text", cache: int = 800_000) -> DataFrame:
     """Encode whole texts, append ``end`` and write one file per range of
     document ids into ``folder``. Returns the stored manifest: file number in
     document order, name, ids, documents, bytes."""
@@ -172,7 +172,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 2, bits: in
 
     def run(batches):
         from pyspark import TaskContext
-        task, enc, writer, sink = TaskContext.get(), encoder(path), None, None
+        task, enc, writer, sink = TaskContext.get(), encoder(path, cache=cache), None, None
         system, root = _filesystem(folder)
         name = f"tokens-{task.partitionId():07d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.vrt"
         for b in gathered(batches, 1):

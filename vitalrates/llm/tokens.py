@@ -225,8 +225,8 @@ class PieceEncoder:
 _LOADED: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, make: type[PieceEncoder] = PieceEncoder) -> PieceEncoder:
+def encoder(path: str, make: type[PieceEncoder] = PieceEncoder, cache: int = CACHE) -> PieceEncoder:
     """One encoder per worker process; its memory of pieces serves later tasks."""
-    if (path, make) not in _LOADED:
-        _LOADED[path, make] = make(path)
-    return _LOADED[path, make]
+    if (path, make, cache) not in _LOADED:
+        _LOADED[path, make, cache] = make(path, cache=cache)
+    return _LOADED[path, make, cache]
