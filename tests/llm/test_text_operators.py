@@ -254,6 +254,36 @@ def test_cutoffs_reject_bad_and_respect_the_risk():
     assert pick(good=40, bad=500, lost=0, caught=300) is None           # too few labels to certify
 
 
+def test_strata_of_some_hundred_labels_are_tested():
+    """Counts like those of a tenth of a GB: every language has its cutoff."""
+    def counts(good, bad):
+        c = {(rule, i, g): 0 for rule, (_, cuts) in quality.RULES.items() for i in range(len(cuts)) for g in (0, 1)}
+        return c | {("symbols_per_word", i, 0): bad for i in range(1, 6)} | {"good": good, "bad": bad}
+    sizes = {"en": 1973, "fr": 488, "de": 475, "es": 307, "*": 0}
+    got = quality.choose_cutoffs({s: counts(n, 40 if n else 0) for s, n in sizes.items()}, 0.05, 0.05)
+    assert {s for s in sizes if got[s]["symbols_per_word"] == 2.0} == set(sizes) - {"*"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_more_tests_than_the_level_allows(seed):
+    rng = np.random.default_rng(seed)
+    strata = Counter(zip(rng.integers(0, 1500, 300).tolist(), rng.integers(0, 7, 300).tolist()))
+    level = quality.test_level(strata, 0.05, 0.05)
+    run = lambda x: sum(m * quality.affordable(g, w, 0.05, x) for (g, w), m in strata.items())
+    tests = round(0.05 / level)
+    assert 0 < run(level) <= tests and run(0.05 / (tests - 1)) > tests - 1
+
+
+def test_quality_rules_reject_junk_in_middle_sized_strata(spark):
+    import random
+    from tests.llm.conftest import SCHEMA, prose
+    rng = random.Random(2)
+    rows = [(i, (t := prose(rng, 60)).replace(" ", "### ") if i % 10 == 0 else t, ["de", "fr"][i % 20 >= 10], "s", 1) for i in range(900)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 10 > 0), 0) for r in rows], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(spark.createDataFrame(rows, SCHEMA), labels).collect()
+    assert {r.doc_id for r in kept} == {r[0] for r in rows if r[0] % 10}
+
+
 def test_quality_rules_reject_labelled_junk(spark):
     import random
     from tests.llm.conftest import SCHEMA, prose

@@ -7,8 +7,10 @@ strictest. A cutoff is certified while the exact (Clopper-Pearson) upper
 confidence bound of its false rejection rate among good documents stays within
 the rule's share of the allowed risk; testing stops at the first failure
 (fixed-sequence testing needs no further correction along a rule), and the
-confidence is divided by the number of strata and rules (Bonferroni). The
-certified cutoff with the best balance of bad documents caught against good
+confidence is divided by the number of tests run (Bonferroni). Only rules that
+catch a labelled bad document are tested, in a stratum only as many of them as
+its good documents can certify, and these share the risk: which are tested
+depends on the bad documents and the number of good ones alone. The certified cutoff with the best balance of bad documents caught against good
 ones lost is used; where none is certified the rule rejects nothing.
 
 Defined cases: null or empty text has no words and fails the base rule; a
@@ -21,6 +23,7 @@ rule alone. Repeated rows are judged one by one.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -161,35 +164,69 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def choose_cutoffs(counts: dict[str, dict], risk: float, delta: float, cost: float = 20.0) -> dict:
-    """stratum → rule → cutoff (None: the rule rejects nothing there).
-
-    ``counts[stratum]``: good, bad and, per (rule, position), good and bad
-    documents above the cutoff."""
-    out: dict[str, dict] = {}
-    share, level = risk / len(RULES), delta / max(1, len(counts) * len(RULES))
-    for stratum, c in counts.items():
-        out[stratum] = {}
-        for rule, (_, cuts) in RULES.items():
-            best, value = None, 0.0
-            for i, cut in enumerate(cuts):
-                lost, caught = c[(rule, i, 1)], c[(rule, i, 0)]
-                if lost > share * c["good"] or binomial_upper(lost, c["good"], level) > share:
-                    break
-                gain = caught / max(1, c["bad"]) - cost * lost / max(1, c["good"])
-                if gain > value:
-                    best, value = cut, gain
-            out[stratum][rule] = best
+def active(c: dict) -> list[str]:
+    """Rules that catch a bad document at all, by their mean catch over the
+    cutoffs. Only bad documents have a say, so the good ones stay a holdout."""
+    caught = {rule: [c[rule, i, 0] for i in range(len(cuts))] for rule, (_, cuts) in RULES.items()}
+    return sorted((r for r in RULES if any(caught[r])), key=lambda r: -sum(caught[r]) / len(caught[r]))
+
+
+def affordable(good: int, wanted: int, risk: float, level: float) -> int:
+    """How many of ``wanted`` rules can share the risk so that ``good``
+    documents certify a cutoff that loses none of them."""
+    if good < 1:
+        return 0
+    least = -math.expm1(math.log(level) / good)
+    return max((r for r in range(1, wanted + 1) if least <= risk / r), default=0)
+
+
+def test_level(strata: dict[tuple[int, int], int], risk: float, delta: float) -> float:
+    """``delta`` over the least number of tests that covers all that are run
+    at that level. ``strata`` counts strata by good documents and active rules."""
+    def run(tests: int) -> int:
+        return sum(m * affordable(good, wanted, risk, delta / tests) for (good, wanted), m in strata.items())
+
+    lo, hi = 1, max(1, run(1))
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if run(mid) <= mid else (mid + 1, hi)
+    return delta / lo
+
+
+def stratum_cutoffs(c: dict, risk: float, level: float, cost: float = 20.0) -> dict:
+    """rule → cutoff (None: the rule rejects nothing) of one stratum.
+
+    ``c``: good, bad and, per (rule, position), good and bad documents above
+    the cutoff."""
+    out: dict = dict.fromkeys(RULES)
+    rules = active(c)
+    rules = rules[:affordable(c["good"], len(rules), risk, level)]
+    for rule in rules:
+        share, value = risk / len(rules), 0.0
+        for i, cut in enumerate(RULES[rule][1]):
+            lost, caught = c[(rule, i, 1)], c[(rule, i, 0)]
+            if lost > share * c["good"] or binomial_upper(lost, c["good"], level) > share:
+                break
+            gain = caught / max(1, c["bad"]) - cost * lost / max(1, c["good"])
+            if gain > value:
+                out[rule], value = cut, gain
     return out
 
 
+def choose_cutoffs(counts: dict[str, dict], risk: float, delta: float, cost: float = 20.0) -> dict:
+    """stratum → rule → cutoff; ``counts[stratum]`` as for ``stratum_cutoffs``."""
+    level = test_level(Counter((c["good"], len(active(c))) for c in counts.values()), risk, delta)
+    return {s: stratum_cutoffs(c, risk, level, cost) for s, c in counts.items()}
+
+
 def calibrate(measures: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang",
-              risk: float = 0.05, delta: float = 0.05, min_good: int = 300, max_strata: int = 500) -> dict:
+              risk: float = 0.05, delta: float = 0.05, max_strata: int = 500) -> dict:
     """Cutoffs per stratum from every labelled document.
 
-    Strata of fewer than ``min_good`` good documents, and any beyond the
+    Strata of too few good documents for a single test, and any beyond the
     ``max_strata`` largest, are pooled. One row per stratum of bounded width
     reaches the driver."""
+    min_good = math.ceil(math.log(delta) / math.log1p(-risk))
     lab = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
            .agg(F.min("quality").alias("_good")))
     judged = (measures.where(~base_failed())
