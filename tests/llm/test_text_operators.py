@@ -284,6 +284,31 @@ def test_quality_rules_reject_junk_in_middle_sized_strata(spark):
     assert {r.doc_id for r in kept} == {r[0] for r in rows if r[0] % 10}
 
 
+def test_cutoffs_hold_for_the_stratum_that_certified_them(spark):
+    """A rare language in capitals is not judged by those without a language."""
+    import random
+    from tests.llm.conftest import SCHEMA, prose
+    rng = random.Random(4)
+    rows = [(i, t.upper() if i % 5 == 0 else t, None, "s", 1) for i in range(2500) for t in [prose(rng, 60)]]
+    rows += [(i, prose(rng, 60).upper(), "xx", "s", 1) for i in range(2500, 2600)]
+    labels = spark.createDataFrame([(i, int(i >= 2500 or i % 5 > 0), 0) for i in range(2505)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    assert kept == {i for i in range(2600) if i >= 2500 or i % 5}
+
+
+def test_every_stratum_is_calibrated(spark):
+    """More strata than any former cap, each with cutoffs of its own."""
+    from pyspark.sql import functions as F
+    n, each = 620, 260
+    m = spark.range(n * each).select(
+        F.struct(F.col("id").alias("doc_id"), (F.col("id") % n).cast("string").alias("lang")).alias("_row"),
+        *[F.lit(100 if c == "n_words" else 0).cast("long").alias(c) for c in quality.METRICS.names if c != "n_symbols"],
+        F.when(F.col("id") < 10 * n, 300).otherwise(0).cast("long").alias("n_symbols"))
+    labels = m.select("_row.doc_id", (F.col("n_symbols") == 0).cast("int").alias("quality"))
+    got = quality.calibrate(m, labels).collect()
+    assert {r.stratum for r in got} == {str(i) for i in range(n)} and {r.symbols_per_word for r in got} == {2.0}
+
+
 def test_quality_rules_reject_labelled_junk(spark):
     import random
     from tests.llm.conftest import SCHEMA, prose

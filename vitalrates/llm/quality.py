@@ -15,9 +15,9 @@ ones lost is used; where none is certified the rule rejects nothing.
 
 Defined cases: null or empty text has no words and fails the base rule; a
 document without label only receives verdicts; several labels of one document
-count as good only if all are good; null quality is no label; a null or rare
-stratum uses the pooled stratum's cutoffs; no labels at all leaves the base
-rule alone. Repeated rows are judged one by one.
+count as good only if all are good; null quality is no label; documents
+without a stratum are a stratum of their own; a stratum whose own good
+documents certify nothing, and no labels at all, leave the base rule alone. Repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalrates.llm.common import ROW, fields, map_texts, stored, unpack, whole_row
+from vitalrates.llm.common import ROW, fields, map_batches, map_texts, stored, unpack, whole_row
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -45,7 +46,6 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "repeated_word_share": ("n_repeat_words / greatest(n_words, 1)", [0.45, 0.4, 0.35, 0.3, 0.25]),
     "long_words": ("word_chars / greatest(n_words, 1)", [40.0, 30.0, 20.0, 15.0, 12.0]),
 }
-POOLED = "*"
 
 
 def repeated_words(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -220,48 +220,53 @@ def choose_cutoffs(counts: dict[str, dict], risk: float, delta: float, cost: flo
 
 
 def calibrate(measures: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang",
-              risk: float = 0.05, delta: float = 0.05, max_strata: int = 500) -> dict:
-    """Cutoffs per stratum from every labelled document.
-
-    Strata of too few good documents for a single test, and any beyond the
-    ``max_strata`` largest, are pooled. One row per stratum of bounded width
-    reaches the driver."""
-    min_good = math.ceil(math.log(delta) / math.log1p(-risk))
+              risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """``stratum`` (may be null) and its cutoff per rule, from every labelled
+    document; a stratum without certified cutoff has no row.
+
+    Strata are counted and judged in Spark. Only how many strata have how many
+    good documents and active rules reaches the driver, to set the level;
+    beyond a number of good documents that certifies every rule at any level,
+    strata count as one kind."""
     lab = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
            .agg(F.min("quality").alias("_good")))
     judged = (measures.where(~base_failed())
-              .select(F.col(f"{ROW}.`{doc_id}`").alias("doc_id"), F.col(f"{ROW}.`{stratum}`").cast("string").alias("_s"),
+              .select(F.col(f"{ROW}.`{doc_id}`").alias("doc_id"), F.col(f"{ROW}.`{stratum}`").cast("string").alias("stratum"),
                       *[F.expr(e).alias(r) for r, (e, _) in RULES.items()]).join(lab, "doc_id"))
     good = F.col("_good") == 1
     sums = [F.count(F.when((good if g else ~good) & (F.col(r) > c), 1)).alias(f"{r}|{i}|{g}")
             for r, (_, cuts) in RULES.items() for i, c in enumerate(cuts) for g in (0, 1)]
-    per = (judged.groupBy("_s").agg(F.count(F.when(good, 1)).alias("good"), F.count(F.when(~good, 1)).alias("bad"), *sums))
-    top = (per.where(F.col("_s").isNotNull() & (F.col("good") >= min_good) & (F.col("_s") != POOLED))
-           .orderBy(F.desc("good"), "_s").limit(max_strata).collect())
-    named = [r["_s"] for r in top]
-    names = [c for c in per.columns if c != "_s"]
-    rest = (per.where(~F.col("_s").isin(named) | F.col("_s").isNull()) if named else per).agg(
-        *[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).alias(c) for c in names]).first()
-    counts = {}
-    for s, r in [*((r["_s"], r) for r in top), (POOLED, rest)]:
-        counts[s] = {"good": r["good"], "bad": r["bad"]} | {
-            (rule, i, g): r[f"{rule}|{i}|{g}"] for rule, (_, cuts) in RULES.items() for i in range(len(cuts)) for g in (0, 1)}
-    return choose_cutoffs(counts, risk, delta)
-
-
-def verdict(cutoffs: dict, stratum: Column) -> Column:
-    """True for documents that pass the base rule and every certified cutoff."""
-    known = [s for s in cutoffs if s != POOLED]
-    here = F.when(stratum.isin(known), stratum).otherwise(F.lit(POOLED)) if known else F.lit(POOLED)
-    here = F.coalesce(here, F.lit(POOLED))
+    per = stored(judged.groupBy("stratum").agg(F.count(F.when(good, 1)).alias("good"), F.count(F.when(~good, 1)).alias("bad"), *sums),
+                 "quality-strata")
+    last = [F.col(f"{r}|{len(cuts) - 1}|0") for r, (_, cuts) in RULES.items()]      # the strictest cutoff catches most
+    plenty = math.ceil((50 - math.log(delta)) / -math.log1p(-risk / len(RULES)))     # for up to e**50 tests
+    kinds = per.select(F.least("good", F.lit(plenty)).alias("good"),
+                       sum((F.when(c > 0, 1).otherwise(0) for c in last), F.lit(0)).alias("wanted")).groupBy("good", "wanted").count()
+    level = test_level({(r[0], r[1]): r[2] for r in kinds.collect()}, risk, delta)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                c = {"good": r["good"], "bad": r["bad"]} | {
+                    (rule, i, g): r[f"{rule}|{i}|{g}"] for rule, (_, cuts) in RULES.items() for i in range(len(cuts)) for g in (0, 1)}
+                cuts = stratum_cutoffs(c, risk, level)
+                if any(x is not None for x in cuts.values()):
+                    rows.append({"stratum": r["stratum"]} | cuts)
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("stratum", pa.string()), *((r, pa.float64()) for r in RULES)]))
+
+    return stored(map_batches(per, run, fields(", ".join(["stratum string", *(f"{r} double" for r in RULES)]))), "quality-cutoffs")
+
+
+def with_verdict(measures: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
+    """Adds ``kept``: true for documents that pass the base rule and every
+    cutoff certified for their own stratum."""
+    cuts = cutoffs.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_{r}") for r in RULES])
+    out = measures.join(cuts, F.col(f"{ROW}.`{stratum}`").cast("string").eqNullSafe(F.col("_stratum")), "left")
     rejected = F.lit(False)
     for rule, (score, _) in RULES.items():
-        cuts = {s: c[rule] for s, c in cutoffs.items() if c[rule] is not None}
-        if not cuts:
-            continue
-        cut = F.create_map(*[x for s, c in cuts.items() for x in (F.lit(s), F.lit(float(c)))])[here]
-        rejected = rejected | F.coalesce(F.expr(score) > cut, F.lit(False))
-    return ~base_failed() & ~rejected
+        rejected = rejected | F.coalesce(F.expr(score) > F.col(f"_{rule}"), F.lit(False))
+    return out.select(*measures.columns, (~base_failed() & ~rejected).alias("kept"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang",
@@ -273,8 +278,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         m = m.withColumn(ROW, F.struct(*[F.col(f"{ROW}.`{c}`") for c in dict.fromkeys([*carry, doc_id, stratum])]))
     m = stored(m, "quality")
     cutoffs = calibrate(m, labels, doc_id, stratum, **params)
-    kept = verdict(cutoffs, F.col(f"{ROW}.`{stratum}`").cast("string"))
-    return m.withColumn("base_failed", base_failed()).withColumn("kept", kept)
+    return with_verdict(m.withColumn("base_failed", base_failed()), cutoffs, stratum)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,5 +296,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     narrow = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((doc_id, text, stratum))])
     m = measured(narrow, text).withColumn(ROW, F.struct(*[F.col(f"{ROW}.`{c}`") for c in (doc_id, stratum)]))
     cutoffs = calibrate(stored(m, "quality"), labels, doc_id, stratum, **params)
-    passed = verdict(cutoffs, F.col(f"{ROW}.`{stratum}`").cast("string"))
-    return measured(docs, text).where(passed).select(*unpack(docs, docs.columns))
+    return with_verdict(measured(docs, text), cutoffs, stratum).where("kept").select(*unpack(docs, docs.columns))
