@@ -138,6 +138,19 @@ def test_simhash_query(docs, rows, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
+def test_simhash_keeps_one_of_each_group(spark):
+    """Groups without any id, and groups whose least id is the same, stay apart."""
+    import random
+    from tests.llm.conftest import SCHEMA, prose
+    rng = random.Random(6)
+    texts = [prose(rng, 100, 5000) for _ in range(24)]
+    ids = [None] * 12 + [7] * 6 + [1, 1, 2, 2, 3, 3]
+    rows = [(i, t, "en", "s", 1) for i, t in zip(ids, texts)]
+    copies = rows[:3] + [(None, texts[20], "en", "s", 1), (0, texts[13], "en", "s", 1)]
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows + copies, SCHEMA)).collect())
+    assert kept == Counter({(0 if t == texts[13] else i, t): 1 for i, t in zip(ids, texts)})
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3])
 def test_links_find_every_near_pair(spark, bits):
     rng = np.random.default_rng(bits)

@@ -104,13 +104,14 @@ def near_links(prints: DataFrame, bits: int = 3) -> DataFrame:
 
 def grouped(docs: DataFrame, shingle: int = 3, bits: int = 3, seed: int = 42, doc_id: str = "doc_id",
             text: str = "text") -> DataFrame:
-    """``doc_id``, ``th``, ``fp`` and ``component_id`` of every row."""
+    """``doc_id``, ``th``, ``fp``, ``root`` (one per group) and
+    ``component_id`` of every row."""
     rows = stored(fingerprinted(docs, shingle, seed, doc_id, text), "simhash")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
     roots = components(near_links(prints, bits), "simhash")
     placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = stored(placed.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
-    named = stored(placed.join(ids, "root").select("fp", "component_id"), "simhash-named")
+    named = stored(placed.join(ids, "root").select("fp", "root", "component_id"), "simhash-named")
     return rows.join(named, "fp")
 
 
@@ -121,10 +122,11 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, with the input's columns: the row of the
-    least document id (of equal ids, the one of least text hash)."""
+    least document id, no id being the last (of equal ids, the one of least
+    text hash)."""
     rows = grouped(docs, shingle, bits, doc_id=doc_id, text=text)
-    first = (rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id")
-             .agg(F.min("th").alias("_th")).withColumnRenamed("component_id", "_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = rows.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m.th").alias("_th"))
     first = stored(first, "simhash-kept")
     own = docs.select(whole_row(docs), F.col(f"`{doc_id}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
     kept = own.join(first, own["_key"].eqNullSafe(first["_id"]) & (own["_hash"] == first["_th"]), "left_semi")
