@@ -380,6 +380,31 @@ def test_randomness_separates_keys_from_text(spark):
     assert found == set(range(len(keys)))
 
 
+def test_rest_of_a_partly_covered_run_is_tested(spark):
+    import base64
+    import random
+    import string
+    rng = random.Random(8)
+    rows, keys = [], []
+    for i in range(30):
+        sign = rng.choice("/-_")
+        key = base64.b64encode(rng.randbytes(30)).decode() if i % 3 != 1 else "".join(rng.choices(string.ascii_lowercase + string.digits, k=48))
+        known = "AKIA" + "".join(rng.choices(string.ascii_uppercase, k=16)) if i % 3 == 0 else rng.randbytes(12).hex()
+        sign = "/" if i % 3 == 0 else sign
+        keys.append(key)
+        rows.append((i, f"see {'static/' if i % 3 == 2 else ''}{known}{sign}{key} here", "en", "s", 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for r in secret_scan.secret_scan(df).collect():
+        text, key = rows[r.doc_id][1], keys[r.doc_id]
+        assert f"random:{text.index(key) - 1}:{text.index(key) + len(key)}" in r.spans.split(",") and r.n_access + r.n_hex == 1
+    for r in secret_scan.redact(df).collect():
+        assert keys[r.doc_id] not in r.text and r.text.endswith("[SECRET] here")
+    joined = "deadbeef" * 3 + "-" + "q" * 19          # with its sign 20 characters: a candidate as a whole
+    assert [m[:4] for m in secret_scan.spans(joined)[1]] == [(24, 3, 44, 0)] and not secret_scan.spans(joined[:-1])[1]
+    plain = "a" * 10 + "-" + "0123456789abcdef" * 2 + "-" + "b" * 10
+    assert secret_scan.spans(plain)[1] == []
+
+
 def test_redaction_masks_spans_and_follows_the_length(spark, docs):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns

@@ -1,7 +1,8 @@
 """Secrets: fixed patterns, and a battery of randomness tests.
 
 Fixed patterns find assignments, access keys and long hexadecimal runs. Any
-other run of 20 or more token characters is a candidate. Its encoding is the
+other run of 20 or more token characters is a candidate; where fixed patterns
+cover a run in part, each part of that length left between them is one. Its encoding is the
 smallest alphabet that holds its characters; three tests then weigh it against
 "ordinary text", for which the character distribution is at least a given
 distance from uniform, the kind of character (upper, lower, digit, sign)
@@ -14,9 +15,9 @@ over all candidates of the corpus, so that short strings, whose p-values can
 never be as small, are judged among their like. P-values are counted in bins
 and rounded up to their bin's edge, which only makes the rule stricter.
 
-Defined cases: null text is empty; an empty text has no span; candidates that
-overlap a span of a fixed pattern are left to it; repeated rows are scanned
-one by one; a corpus without candidates accepts none.
+Defined cases: null text is empty; an empty text has no span; a sign that
+joins a part to a fixed pattern's span is in the part's span but not tested,
+if 20 characters are left without it; repeated rows are scanned one by one; a corpus without candidates accepts none.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+SIGNS, LEAST = "+/=_-", 20
 KINDS = ["assign", "access", "hex", "random"]
 #: alphabet, distance from uniform (sum of squared relative deviations) that ordinary text has at least
 ALPHABETS = [("hex", "0123456789abcdef", 0.5), ("HEX", "0123456789ABCDEF", 0.5),
@@ -109,6 +111,22 @@ def p_bin(p: float) -> int:
     return min(BINS, max(0, math.floor(-10 * math.log10(max(p, 1e-300)))))
 
 
+def uncovered(runs: list[tuple], base: list[tuple]):
+    """The runs without what the spans in ``base`` cover (both in order), as
+    start, end, and whether a span was cut off before and after."""
+    k = reach = 0
+    for a, b in runs:
+        at = max(a, reach)
+        while k < len(base) and base[k][0] < b:
+            if base[k][0] > at:
+                yield at, base[k][0], at > a, True
+            reach = max(reach, base[k][2])
+            at = max(at, reach)
+            k += 1
+        if at < b:
+            yield at, b, at > a, False
+
+
 def spans(text: str) -> tuple[list[tuple], list[tuple]]:
     """Spans of the fixed patterns and candidates, as rows of SPAN."""
     base, runs = [], []
@@ -121,9 +139,13 @@ def spans(text: str) -> tuple[list[tuple], list[tuple]]:
         runs.append((at, m.end()))
     base.sort()
     more = []
-    for a, b in runs:
-        if not any(s[0] < b and a < s[2] for s in base):
-            more.append((a, 3, b, band(b - a), p_bin(randomness(text[a:b]))))
+    for a, b, before, after in uncovered(runs, base):
+        if b - a < LEAST:
+            continue
+        token = text[a + (before and text[a] in SIGNS):b - (after and text[b - 1] in SIGNS)]
+        if len(token) < LEAST:
+            token = text[a:b]
+        more.append((a, 3, b, band(len(token)), p_bin(randomness(token))))
     return base, more
 
 
