@@ -4,8 +4,8 @@ near-duplicates, repeated substrings, secrets, packing.
 Each stage takes what the one before it kept, written as Parquet and read
 again. All but the last return the columns of ``documents``: rejected and
 duplicate documents are gone, texts have lost repeated windows, secrets are
-masked. The last returns the pieces of every document and their places in the
-packed sequences.
+masked. The last returns the pieces of every document, with their token ids
+and their places in the packed sequences.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packing.packed_texts(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [

@@ -81,6 +81,18 @@ def test_packing_query(docs, rows, empty):
     assert packing.pack_documents(empty, WORD).count() == 0
 
 
+def test_pipeline_ends_in_token_sequences(spark, docs, rows):
+    import corpus_pipeline
+    got = corpus_pipeline.packing_stage(spark, docs, "").collect()
+    want = Counter()
+    for d, t, *_ in rows:
+        x = np.append(ids(WORD, t), 1).astype("<u4")
+        for a in range(0, len(x), 4096):
+            want[d, a, x[a:a + 4096].tobytes()] += 1
+    assert Counter((r.doc_id, r.start, bytes(r.ids)) for r in got) == want
+    assert all(r.sequence_id is not None and r.offset + r.length <= 4096 for r in got)
+
+
 def test_pack_keeps_rows_it_cannot_place(spark):
     df = spark.createDataFrame([(1, None, 5), (2, 0, 5), (3, 11, 5), (4, 10, 5), (5, 3, 5), (6, 7, 5)],
                                "id int, length int, sequence_id int")

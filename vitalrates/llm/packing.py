@@ -265,3 +265,8 @@ def pack_documents(docs: DataFrame, path: str) -> DataFrame:
     """Query view: a digest of each piece's ids and its place."""
     p = pieces(docs, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(stored(p, "pieces"))      # else each task would hold two Python workers at once
+
+
+def packed_texts(docs: DataFrame, path: str) -> DataFrame:
+    """Every piece with its ids and its place in the packed sequences."""
+    return pack(stored(pieces(docs, path), "pieces"))
