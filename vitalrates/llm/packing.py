@@ -20,6 +20,7 @@ equal rows and ties are placed in any order; rows whose length is null, below
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalrates.llm.common import ROW, fields, gathered, map_batches, slices, stored, unpack, whole_row
+from vitalrates.llm.common import fields, gathered, map_batches, shared_path, slices, stored, unpack, whole_row
+from vitalrates.llm.tokenfile import _filesystem
 from vitalrates.llm.tokens import encoder
 
 Pattern = tuple[tuple[int, int], ...]
@@ -167,106 +169,153 @@ def slots(used: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:
             "offset": t[:, 4]}
 
 
+def ranked(batches: Iterator[pa.RecordBatch], at: int, capacity: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Appends the task's number and each row's rank among its task's rows of
+    the same length (column ``at``)."""
+    from pyspark import TaskContext
+    part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    for b in batches:
+        for s in slices(b, None):
+            size = s.column(at).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.where((size < 1) | (size > capacity), 0, size)
+            order = np.argsort(size, kind="stable")
+            by, n = size[order], np.bincount(size, minlength=capacity + 1)
+            rank = np.empty(len(size), np.int64)
+            rank[order] = np.arange(len(size)) - (np.cumsum(n) - n)[by] + seen[by]
+            seen += n
+            yield pa.RecordBatch.from_arrays(
+                [*s.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(rank)], names=names)
+
+
+RANK = fields("_part int, _rank long").fields
+#: tasks whose numbers share one folder of offsets
+PARTS = 32
+
+
 def numbered(df: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """Adds the task's number and the row's rank among its task's rows of the
     same length. Store the result before reading it twice."""
-    schema = T.StructType(df.schema.fields + fields("_part int, _rank long").fields)
-
-    def run(batches):
-        from pyspark import TaskContext
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            for s in slices(b, None):
-                size = s.column(length).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                size = np.where((size < 1) | (size > capacity), 0, size)
-                order = np.argsort(size, kind="stable")
-                by, n = size[order], np.bincount(size, minlength=capacity + 1)
-                rank = np.empty(len(size), np.int64)
-                rank[order] = np.arange(len(size)) - (np.cumsum(n) - n)[by] + seen[by]
-                seen += n
-                yield pa.RecordBatch.from_arrays(
-                    [*s.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(rank)], names=schema.names)
-
-    return map_batches(df, run, schema)
+    schema, at = T.StructType(df.schema.fields + RANK), df.columns.index(length)
+    return map_batches(df, lambda batches: ranked(batches, at, capacity, schema.names), schema)
 
 
 def pack(df: DataFrame, capacity: int = 4096, length: str = "length", **lp) -> DataFrame:
     """The rows of ``df`` with ``sequence_id`` and ``offset``, placed into few
     sequences of at most ``capacity``; each is gapless from offset 0. Columns
     of these two names in the input are replaced."""
-    spark = df.sparkSession
     size = F.col(f"`{length}`").cast("long")
     rows = df.select(whole_row(df), F.when(size.between(1, capacity), size).alias("_len"))
-    rows = stored(numbered(rows, capacity, "_len"), "pack")
-    per = rows.where(F.col("_len").isNotNull()).groupBy("_len", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    out = placed(stored(numbered(rows, capacity, "_len"), "pack"), capacity, **lp)
+    return out.select(*unpack(df, [c for c in df.columns if c not in ("sequence_id", "offset")]), "sequence_id", "offset")
+
+
+def placed(rows: DataFrame, capacity: int, length: str = "_len", **lp) -> DataFrame:
+    """Stored, numbered rows with their places. The rows do not move: how many
+    rows of each length earlier tasks hold is written to shared storage by
+    task, and a task reads what concerns the rows it meets."""
+    spark = rows.sparkSession
+    per = rows.where(F.col(length).isNotNull()).groupBy(F.col(length).alias("_len"), "_part").agg(F.count(F.lit(1)).alias("_n"))
     per = stored(per, "pack-parts")
     w = Window.partitionBy("_len").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select("_len", "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    before = per.select("_len", "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
+                        F.floor(F.col("_part") / PARTS).alias("_folder"))
+    folder = shared_path(spark, "pack-offsets")
+    before.repartition("_folder").sortWithinPartitions("_folder", "_part", "_len").write.partitionBy("_folder").parquet(folder)
     histogram = {int(r[0]): int(r[1]) for r in per.groupBy("_len").agg(F.sum("_n")).collect()}
     spread = spark.sparkContext.broadcast(slots(plan(histogram, capacity, **lp)))   # bounded by the capacity
-    # its file is far smaller than its rows in memory, so Spark would broadcast it beyond the threshold's meaning
-    placed = (rows.join(before.hint("merge"), ["_len", "_part"], "left")
-              .select(ROW, "_len", (F.col("_before") + F.col("_rank")).alias("_rank")))
-    schema = T.StructType([placed.schema[ROW], *fields("sequence_id long, offset long").fields])
+    keep = [i for i, c in enumerate(rows.columns) if c not in ("_len", "_part", "_rank")]
+    schema = T.StructType([rows.schema.fields[i] for i in keep] + fields("sequence_id long, offset long").fields)
 
     def run(batches):
-        t = spread.value
+        t, earlier = spread.value, Earlier(folder, capacity)
         wide = 1 + int(max([*t["ends"], 0]))
         first = t["length"] * wide + t["begin"]      # ascending
         for b in batches:
             for s in slices(b, None):
-                rank, of = s.column("_rank"), s.column("_len")
-                none = np.asarray(rank.is_null()) | np.asarray(of.is_null())
-                rank, of = (c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (rank, of))
+                none = np.asarray(s.column(length).is_null())
+                rank, of, part = (s.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                                  for c in ("_rank", length, "_part"))
                 if len(first):
+                    rank = np.where(none, 0, rank + earlier(part, of, ~none))
                     at = np.maximum(np.searchsorted(first, of * wide + rank, side="right") - 1, 0)
                     k = rank - t["begin"][at]
                     seq, off = t["sequence"][at] + k // t["copies"][at], t["offset"][at] + (k % t["copies"][at]) * of
                 else:
                     seq = off = np.zeros(len(rank), np.int64)
-                yield pa.RecordBatch.from_arrays([s.column(ROW), pa.array(seq, mask=none), pa.array(off, mask=none)],
+                yield pa.RecordBatch.from_arrays([*(s.column(i) for i in keep), pa.array(seq, mask=none), pa.array(off, mask=none)],
                                                  names=schema.names)
 
-    out = map_batches(placed, run, schema)
-    return out.select(*unpack(df, [c for c in df.columns if c not in ("sequence_id", "offset")]), "sequence_id", "offset")
-
-
-def pieces(docs: DataFrame, path: str, end: int = 1, capacity: int = 4096, doc_id: str = "doc_id",
-           text: str = "text") -> DataFrame:
-    """Whole texts as ids and the end id, cut into pieces of ``capacity``:
-    the document's id, piece, start, length, ids (binary)."""
+    return map_batches(rows, run, schema)
+
+
+class Earlier:
+    """Rows of a length in the tasks before a task, read from the folders that
+    hold the tasks met; one folder is kept."""
+
+    def __init__(self, folder: str, capacity: int):
+        self.system, self.root = _filesystem(folder)
+        self.wide, self.folder = capacity + 1, None
+
+    def load(self, folder: int) -> None:
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+        files = [f.path for f in self.system.get_file_info(fs.FileSelector(f"{self.root}/_folder={folder}"))
+                 if f.path.endswith(".parquet")]
+        t = pa.concat_tables([pq.ParquetFile(self.system.open_input_file(f)).read() for f in files])
+        key = t.column("_part").to_numpy().astype(np.int64) * self.wide + t.column("_len").to_numpy()
+        order = np.argsort(key)
+        self.key, self.before, self.folder = key[order], t.column("_before").to_numpy()[order], folder
+
+    def __call__(self, part: np.ndarray, size: np.ndarray, use: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(part), np.int64)
+        for folder in np.unique(part[use] // PARTS).tolist():
+            if folder != self.folder:
+                self.load(folder)
+            own = use & (part // PARTS == folder)
+            out[own] = self.before[np.searchsorted(self.key, part[own] * self.wide + size[own])]
+        return out
+
+
+def cut(docs: DataFrame, path: str, end: int = 1, capacity: int = 4096, doc_id: str = "doc_id", text: str = "text",
+        digest: bool = False) -> DataFrame:
+    """Whole texts as ids and the end id, cut into pieces of ``capacity``, in
+    one pass and numbered for packing: the document's id, piece, start, length,
+    ids (binary; ``digest``: their crc32 instead), the task and the rank."""
     src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
+    kind = "ids_crc32 long" if digest else "ids binary"
     schema = T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType),
-                           *fields("piece int, start long, length long, ids binary").fields])
+                           *fields(f"piece int, start long, length long, {kind}").fields])
 
     def run(batches):
         enc = encoder(path)
+        last = end.to_bytes(4, "little")
         for b in gathered(batches, 1):
             for s in slices(b, 1, 16 << 20):
                 ids, bound = enc.encode(s.column(1))
                 row, piece, blob, size = [], [], [], []
                 for i, (a, z) in enumerate(zip(bound.tolist(), bound.tolist()[1:])):
-                    own = ids[a:z].astype("<u4").tobytes() + end.to_bytes(4, "little")
+                    own = ids[a:z].astype("<u4").tobytes() + last
                     for k, at in enumerate(range(0, len(own), 4 * capacity)):
                         part = own[at:at + 4 * capacity]
                         row.append(i)
                         piece.append(k)
-                        blob.append(part)
+                        blob.append(zlib.crc32(part) if digest else part)
                         size.append(len(part) // 4)
                 yield pa.RecordBatch.from_arrays(
                     [s.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                      pa.array([k * capacity for k in piece], pa.int64()), pa.array(size, pa.int64()),
-                     pa.array(blob, pa.binary())], names=schema.names)
+                     pa.array(blob, pa.int64() if digest else pa.binary())], names=schema.names)
 
-    return map_batches(src, run, schema)
+    whole = T.StructType(schema.fields + RANK)
+    return map_batches(src, lambda batches: ranked(run(batches), 3, capacity, whole.names), whole)
 
 
-def pack_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Query view: a digest of each piece's ids and its place."""
-    p = pieces(docs, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(stored(p, "pieces"))      # else each task would hold two Python workers at once
+def packed_texts(docs: DataFrame, path: str, capacity: int = 4096, digest: bool = False) -> DataFrame:
+    """Every piece with its ids and its place in the packed sequences. One
+    Python pass writes the pieces, one reads them and adds the places."""
+    return placed(stored(cut(docs, path, capacity=capacity, digest=digest), "pieces"), capacity, "length")
 
 
-def packed_texts(docs: DataFrame, path: str) -> DataFrame:
-    """Every piece with its ids and its place in the packed sequences."""
-    return pack(stored(pieces(docs, path), "pieces"))
+def pack_documents(docs: DataFrame, path: str) -> DataFrame:
+    """Query view: a digest of each piece's ids and its place."""
+    return packed_texts(docs, path, digest=True)
