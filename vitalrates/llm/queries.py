@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalrates.llm import langid, linededup, neighbours, packing, quality, secret_scan, simhash, substring, tokenfile, trie_bpe, warc
+from vitalrates.llm import langid, linededup, neighbours, packing, prefix_trie, quality, secret_scan, simhash, substring, tokenfile, trie_bpe, warc
 from vitalrates.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -56,6 +56,10 @@ def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_prefix_forest": op9_prefix_forest,
     "op10_token_planes": op10_token_planes,
     "op12_line_runs": op12_line_runs,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {
