@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalrates.llm import langid, linededup, neighbours, packing, prefix_trie, quality, secret_scan, simhash, substring, tokenfile, trie_bpe, warc
+from vitalrates.llm import langid, linededup, neighbours, packing, prefix_trie, quality, repair, secret_scan, simhash, substring, tokenfile, trie_bpe, warc
 from vitalrates.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -52,6 +52,10 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_prefix_forest": op9_prefix_forest,
     "op10_token_planes": op10_token_planes,
+    "op11_repair": op11_repair,
     "op12_line_runs": op12_line_runs,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
