@@ -249,7 +249,7 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path, docs, rows):
         assert stage(spark, plain.limit(0), str(tmp_path)).count() == 0, name
 
 
-@pytest.mark.parametrize("name", ["op3_warc_salvage", "op5_substring_dedup"])
+@pytest.mark.parametrize("name", ["op3_warc_salvage", "op5_substring_dedup", "op12_line_runs"])
 def test_sql_of_queries_agrees(spark, name):
     import duckdb
 
@@ -268,7 +268,7 @@ def test_sql_of_queries_agrees(spark, name):
 def test_entry_registers_the_operators_and_works_without_them(tmp_path):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     root = os.path.dirname(entry.__file__)
     for part in ("__spark_entry__.py", "vitalrates"):
         subprocess.run(["cp", "-r", f"{root}/{part}", tmp_path], check=True)
