@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +41,33 @@ def number_from_header(header: str) -> int | None:
 
 
 def fixed2(col: Column) -> Column:
-    """Two-decimal text; NULL stays NULL (P20)."""
-    return F.when(col.isNotNull(), F.format_string("%.2f", col))
+    """Two-decimal text of the exact binary value, ties to even, as C's
+    ``%.2f`` prints it (P20, Q17): 1.005 is a little less and gives ``1.00``,
+    0.125 is a tie and gives ``0.12``. NULL stays NULL; not-a-number and
+    infinities print as ``NaN``, ``Inf``, ``-Inf``; magnitudes from 2**63 on
+    are left to the platform's formatter.
+
+    The fraction f is exact. Its product with 100 is p + e: f is split into
+    two halves of 26 bits, whose products with 100 are exact, so e is what
+    rounding p has lost. p - floor(p) - 1/2 is exact as well, and adding e to
+    it gives the right sign."""
+    def text(x: Column) -> Column:
+        whole = F.floor(F.abs(x))
+        return let(F.abs(x) - whole, lambda f: let(f * 134217729.0 - (f * 134217729.0 - f), lambda high: let(f * 100.0, lambda p: let(
+            (p - F.floor(p) - 0.5) + ((high * 100.0 - p) + (f - high) * 100.0),
+            lambda side: let(F.floor(p) + F.when((side > 0) | ((side == 0) & (F.floor(p) % 2 == 1)), 1).otherwise(0), lambda cents: F.concat(
+                F.when(x < 0, "-").otherwise(""), (whole + F.floor(cents / 100)).cast("bigint").cast("string"), F.lit("."),
+                F.lpad((cents % 100).cast("int").cast("string"), 2, "0")))))))
+
+    return let(col.cast("double"), lambda x: F.when(F.isnan(x), "NaN")
+               .when(F.abs(x) == float("inf"), F.when(x > 0, "Inf").otherwise("-Inf"))
+               .when(F.abs(x) >= 2.0 ** 63, F.format_string("%.2f", x)).when(x.isNotNull(), text(x)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: without it a value used
+    five times in five steps is written out 5**5 times in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def est_ci_text(est: Column, lo: Column, hi: Column) -> Column:

@@ -1,7 +1,7 @@
 """Code harmonisation of individual death records.
 
-All mappings are Column expressions built from small rule tables, so they
-compile into the scan's whole-stage-codegen stage: no join, no shuffle, no
+Mappings are Column expressions or broadcast joins with code tables of fixed
+size, so they compile into the scan's whole-stage-codegen stage: no shuffle, no
 Python at run time. Rule tables are plain data and can be replaced.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vitalrates.functions.frames import literal_frame
 from vitalrates.functions.nulls import if_else, is_in
 from vitalrates.functions.text import to_number, zero_pad
+from vitalrates.sources.readers import DEATH_COLUMNS
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference analysis (kept together, in the
@@ -306,13 +307,12 @@ def build_geo(df: DataFrame) -> DataFrame:
                             "cod_mpiore": mpio("cod_dptore", "cod_mpiore1")})
 
 
-def clean_deaths(raw: DataFrame, eras=AGE_CODE_ERAS) -> DataFrame:
+def clean_deaths(raw: DataFrame, eras=AGE_CODE_ERAS, carry: Sequence[str] = ()) -> DataFrame:
     """Raw all-text death records → silver records (Entry A): numbers, sex,
-    regime, age groups, geography codes and cause chapter."""
-    cols = ["COD_DPTO", "COD_MUNIC", "CODPTORE", "CODMUNRE", "ANO", "MES",
-            "SEXO", "SEG_SOCIAL", "GRU_ED1", "C_BAS1"]
-    present = [c for c in cols if c in raw.columns]
-    y = raw.select(*present, to_number(F.col("MES"), "int").alias("month"),
+    regime, age groups, geography codes and cause chapter. ``carry`` names
+    further columns that stay."""
+    present = [c for c in DEATH_COLUMNS if c in raw.columns]
+    y = raw.select(*present, *carry, to_number(F.col("MES"), "int").alias("month"),
                    to_number(F.col("ANO"), "int").alias("year"))
     y = map_codes(y, "SEXO", "SEG_SOCIAL" if "SEG_SOCIAL" in present else None)
     y = map_age_codes(y, "GRU_ED1", "year", eras)
@@ -320,7 +320,7 @@ def clean_deaths(raw: DataFrame, eras=AGE_CODE_ERAS) -> DataFrame:
     y = map_causes(y, "C_BAS1", "year")
     return y.select("year", "month", "sex", "regime", "age_group", "age_group5",
                     "cod_dpto", "cod_dptore", "cod_mpio1", "cod_mpiore1",
-                    "cod_mpio", "cod_mpiore", "C_BAS1", "cause", "ext_cause")
+                    "cod_mpio", "cod_mpiore", "C_BAS1", "cause", "ext_cause", *carry)
 
 
 def classify_external(df: DataFrame, cause_col: str = "cause", out: str = "cause_ext") -> DataFrame:
@@ -379,10 +379,17 @@ def compose_recodes(recodes) -> dict:
 def analysis_deaths(silver: DataFrame, sexes: Sequence[str] = ("Male", "Female")) -> DataFrame:
     """Silver deaths → analysis records (§2.8 row 3): known sex and age,
     external flag, final geography."""
-    d = silver.where(is_in(F.col("sex"), sexes) & F.col("age_group5").isNotNull())
-    d = classify_external(d)
-    d = resolve_residence(d)
-    return recode_geo(d)
+    return final_geography(silver.where(analysed(sexes)))
+
+
+def analysed(sexes: Sequence[str] = ("Male", "Female")) -> Column:
+    """Does a silver record count in the analysis?"""
+    return is_in(F.col("sex"), sexes) & F.col("age_group5").isNotNull()
+
+
+def final_geography(silver: DataFrame) -> DataFrame:
+    """External flag and final municipality and department (H5-H7)."""
+    return recode_geo(resolve_residence(classify_external(silver)))
 
 
 def classify_region(rurality: DataFrame, extra=EXTRA_MUNICIPALITY) -> DataFrame:

@@ -139,30 +139,53 @@ def _period_total(src: str, by, smr: str, dstd: str, smr_tot: str, dstd_tot: str
     return _limits(f"({g})", smr_tot, dstd_tot)
 
 
-def _lifetable(src: str, by) -> str:
+#: a0 below the threshold (constant, slope), above; a1 the same
+FACTORS = {"total": (0.049, 2.742, 0.34, 1.5865, -2.167, 1.3565), "Male": (0.045, 2.684, 0.33, 1.651, -2.816, 1.352),
+           "Female": (0.053, 2.8, 0.35, 1.522, -1.518, 1.361)}
+
+
+def _lifetable_rows(src: str, by, series: str | None = None) -> str:
     b = ", ".join(by)
     w = f"PARTITION BY {b}"
     wo = f"PARTITION BY {b} ORDER BY age_li"
     m = "CAST(D AS DOUBLE) / NULLIF(CAST(N AS DOUBLE), 0)"
+    k = ([f"CASE {series} " + " ".join(f"WHEN '{s}' THEN {FACTORS[s][i]}" for s in ("Male", "Female")) + f" ELSE {FACTORS['total'][i]} END"
+          for i in range(6)] if series else list(FACTORS["total"]))
     l1 = f"SELECT *, row_number() OVER ({wo}) AS rn FROM {src} WHERE age_li IS NOT NULL"
     l2 = f"SELECT *, CASE WHEN rn = 1 THEN coalesce({m}, 0.0) ELSE {m} END AS m FROM ({l1})"
     l3 = f"SELECT *, min(CASE WHEN m IS NULL THEN rn END) OVER ({w}) AS stp FROM ({l2})"
     l4 = f"SELECT * FROM ({l3}) WHERE stp IS NULL OR rn < stp"
-    l5 = (f"SELECT *, max(rn) OVER ({w}) AS nn, min(CASE WHEN rn = 1 THEN m END) OVER ({w}) AS m0 "
-          f"FROM ({l4})")
+    l5 = (f"SELECT *, max(rn) OVER ({w}) AS nn, min(CASE WHEN rn = 1 THEN m END) OVER ({w}) AS m0, "
+          f"min(CASE WHEN rn = 1 THEN age_li END) OVER ({w}) AS first_age FROM ({l4})")
     l6 = ("SELECT *, CASE WHEN rn = 1 THEN 1.0 WHEN rn = 2 THEN 4.0 ELSE 5.0 END AS nx, "
-          "CASE WHEN rn = 1 THEN (CASE WHEN m0 < 0.107 THEN 0.049 + 2.742 * m0 ELSE 0.34 END) "
-          "WHEN rn = 2 THEN (CASE WHEN m0 < 0.107 THEN 1.5865 + -2.167 * m0 ELSE 1.3565 END) "
+          f"CASE WHEN rn = 1 THEN (CASE WHEN m0 < 0.107 THEN {k[0]} + {k[1]} * m0 ELSE {k[2]} END) "
+          f"WHEN rn = 2 THEN (CASE WHEN m0 < 0.107 THEN {k[3]} + {k[4]} * m0 ELSE {k[5]} END) "
           f"ELSE 2.6 END AS ax FROM ({l5})")
     l7 = f"SELECT *, CASE WHEN rn = nn THEN 1.0 ELSE nx * m / (1.0 + (nx - ax) * m) END AS q FROM ({l6})"
     l8 = (f"SELECT *, coalesce(product(1.0 - q) OVER ({wo} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) "
           f"AS l FROM ({l7})")
     l9 = f"SELECT *, l - coalesce(lead(l) OVER ({wo}), 0.0) AS dd FROM ({l8})"
-    l10 = f"SELECT *, CASE WHEN rn = nn THEN l / NULLIF(m, 0) ELSE nx * l - dd * (nx - ax) END AS LL FROM ({l9})"
-    return (f"SELECT {b}, {_ss('LL')} AS LE0 FROM ({l10}) GROUP BY {b} "
+    return f"SELECT *, CASE WHEN rn = nn THEN l / NULLIF(m, 0) ELSE nx * l - dd * (nx - ax) END AS LL FROM ({l9})"
+
+
+def _lifetable(src: str, by) -> str:
+    b = ", ".join(by)
+    return (f"SELECT {b}, {_ss('LL')} AS LE0 FROM ({_lifetable_rows(src, by)}) GROUP BY {b} "
             f"HAVING min(CASE WHEN rn = 1 THEN age_li END) = 0")
 
 
+def whole_lifetable(strata: str, by, series: str | None = None) -> str:
+    """Every column of the life tables over a strata CTE; person-years above
+    an age by a join of each row with the ages from it on."""
+    rows = f"SELECT * FROM ({_lifetable_rows(strata, by, series)}) WHERE first_age = 0"
+    on = " AND ".join(f"a.{x} IS NOT DISTINCT FROM b.{x}" for x in by)
+    t = (f"SELECT {', '.join('a.' + x for x in by)}, a.rn, {_ss('b.LL')} AS TT FROM ({rows}) a JOIN ({rows}) b "
+         f"ON {on} AND b.rn >= a.rn GROUP BY {', '.join('a.' + x for x in by)}, a.rn")
+    both = " AND ".join(f"r.{x} IS NOT DISTINCT FROM t.{x}" for x in by)
+    return (f"SELECT {', '.join('r.' + x for x in by)}, r.age_group5, r.age_li, r.nx, r.m, r.ax, r.q, r.l AS lx, r.dd AS dx, r.LL AS person_years, "
+            f"t.TT AS person_years_above, t.TT / NULLIF(r.l, 0) AS ex FROM ({rows}) r JOIN ({t}) t ON {both} AND r.rn = t.rn")
+
+
 def _lt_strata(pop_src: str, cube_src: str, by) -> str:
     b = ", ".join(by)
     keys = [*by, "age_group5"]
@@ -348,14 +371,15 @@ FROM s2"""),
 SELECT *, CASE WHEN cause IS NULL THEN NULL WHEN cause = 'External causes' THEN 'External causes'
   ELSE 'Non-external causes' END AS cause_ext,
   CASE WHEN cod_mpiore IS NULL OR {FB} THEN cod_mpio ELSE cod_mpiore END AS mf
-FROM silver WHERE sex IN ('Male', 'Female') AND age_group5 IS NOT NULL"""),
+FROM silver"""),
     ("a2", f"""
 SELECT *, CASE WHEN mf IS NOT NULL THEN substr(mf, 1, 2) WHEN cod_dptore IS NOT NULL AND NOT {FB} THEN cod_dptore
   WHEN cod_dpto IS NOT NULL THEN cod_dpto END AS df FROM a1"""),
     ("a3", """
 SELECT *, CASE WHEN year <= 1981 AND df = '83' THEN '18' || substr(mf, 3, 4) ELSE mf END AS mf2,
   CASE WHEN year <= 1981 AND df = '83' THEN '18' ELSE df END AS cod_dptof FROM a2"""),
-    ("deaths_tot", f"SELECT * EXCLUDE (mf, df, mf2), {_REC} AS cod_mpiof FROM a3"),
+    ("silver_places", f"SELECT * EXCLUDE (mf, df, mf2), {_REC} AS cod_mpiof FROM a3"),
+    ("deaths_tot", "SELECT * FROM silver_places WHERE sex IN ('Male', 'Female') AND age_group5 IS NOT NULL"),
     ("regions", """
 SELECT printf('%05d', Municipaly) AS cod_mpio, Departam_1 AS dpto, 'MPIO_' || CAST(Municipaly AS VARCHAR) AS mpio,
   CASE WHEN Categoria_ IN ('Rural', 'Rural Disperso') THEN 'Rural' ELSE 'Urban' END AS region

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vitalrates.operators import harmonise as H
 from vitalrates.operators import population as P
+from vitalrates.operators import tally as N
 from vitalrates.plans import oracle as O
 from vitalrates.plans.study import Study
 
@@ -83,79 +84,87 @@ def _st(attr):
     return lambda spark, d: getattr(study(spark, d), attr)
 
 
-def _silver(spark, d):
-    """Harmonised death records."""
-    return study(spark, d).silver
+# -- harmonisation: code tuples and strata counted in one pass over the records
+CODES = {"occurrence": ("cod_dpto", "cod_mpio1", "cod_mpio"), "residence": ("cod_dptore", "cod_mpiore1", "cod_mpiore")}
 
 
-# -- harmonisation (row level, from the raw tables)
-CODES = ("cod_dpto", "cod_mpio1", "cod_mpio", "cod_dptore", "cod_mpiore1", "cod_mpiore")
-
-
-def _codes(silver):
-    """Records per code column and code: as many rows as there are codes."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("code_column"), F.col(c).alias("code")) for c in CODES])
-    return silver.select(F.inline(pairs)).groupBy("code_column", "code").agg(F.count(F.lit(1)).alias("n"))
+def _spread_study(spark, d):
+    """The study over records of all eras and with special codes."""
+    key = (spark.sparkContext.applicationId, d, "spread")
+    if key not in _STUDIES:
+        from vitalrates.plans.config import TPCH
+        _STUDIES[key] = Study.from_tpch(spark, d, TPCH, spread=True)
+    return _STUDIES[key]
 
 
-_CODES_SQL = " UNION ALL ".join(f"SELECT '{c}' AS code_column, {c} AS code, count(*) AS n FROM silver GROUP BY ALL" for c in CODES)
-_reg("pad_codes", lambda s, d: _codes(_silver(s, d)), f"SELECT * FROM ({_CODES_SQL})", "code_column:s code:s n:l")
+def _codes(get):
+    """Records per code column and code."""
+    def build(s, d):
+        parts = []
+        for name, columns in CODES.items():
+            pairs = F.array(*[F.struct(F.lit(c).alias("code_column"), F.col(c).alias("code")) for c in columns])
+            parts.append(get(s, d).counted(name).select(F.inline(pairs), "n"))
+        return N.resum(parts[0].unionByName(parts[1]), ["code_column", "code"])
+    return build
 
 
-def _spread(s, d):
-    """Harmonised records of all eras and special codes."""
-    from vitalrates.plans import tpch
-    return H.clean_deaths(tpch.raw_deaths(s, d, spread=True))
+def _counted(get, name, keys, where=None):
+    """A set of the tally by some of its columns."""
+    def build(s, d):
+        own = get(s, d).counted(name)
+        return N.resum(own if where is None else own.where(where), keys.split())
+    return build
 
 
-_reg("pad_codes_decimal", lambda s, d: _codes(_spread(s, d)), f"SELECT * FROM ({_CODES_SQL})", "code_column:s code:s n:l",
-     spread=True)
-_reg("map_age_codes_eras",
-     lambda s, d: _spread(s, d).groupBy("year", "sex", "age_group", "age_group5").agg(F.count(F.lit(1)).alias("n")),
+_CODES_SQL = " UNION ALL ".join(f"SELECT '{c}' AS code_column, {c} AS code, count(*) AS n FROM silver GROUP BY ALL"
+                                for columns in CODES.values() for c in columns)
+_reg("pad_codes", _codes(study), f"SELECT * FROM ({_CODES_SQL})", "code_column:s code:s n:l")
+_reg("pad_codes_decimal", _codes(_spread_study), f"SELECT * FROM ({_CODES_SQL})", "code_column:s code:s n:l", spread=True)
+_reg("map_age_codes_eras", _counted(_spread_study, "age", "year sex age_group age_group5"),
      "SELECT year, sex, age_group, age_group5, count(*) AS n FROM silver GROUP BY ALL",
      "year:i sex:s age_group:s age_group5:s n:l", spread=True)
-_reg("map_cause_eras",
-     lambda s, d: _spread(s, d).groupBy("year", "cause", "ext_cause", "regime").agg(F.count(F.lit(1)).alias("n")),
+_reg("map_cause_eras", _counted(_spread_study, "cause", "year cause ext_cause regime"),
      "SELECT year, cause, ext_cause, regime, count(*) AS n FROM silver GROUP BY ALL",
      "year:i cause:s ext_cause:s regime:s n:l", spread=True)
 _reg("recode_geo_department_83",
-     lambda s, d: (H.analysis_deaths(_spread(s, d)).where(F.col("cod_dptof").isin("18", "83"))
-                   .groupBy("year", "cod_dptof", "cod_mpiof").agg(F.count(F.lit(1)).alias("n"))),
+     _counted(_spread_study, "place", "year cod_dptof cod_mpiof", "analysed AND cod_dptof IN ('18', '83')"),
      "SELECT year, cod_dptof, cod_mpiof, count(*) AS n FROM deaths_tot WHERE cod_dptof IN ('18', '83') GROUP BY ALL",
      "year:i cod_dptof:s cod_mpiof:s n:l", spread=True)
-_reg("map_cause_range",
-     lambda s, d: _silver(s, d).groupBy("year", "cause", "ext_cause").agg(F.count(F.lit(1)).alias("n")),
+_reg("map_cause_range", _counted(study, "cause", "year cause ext_cause"),
      "SELECT year, cause, ext_cause, count(*) AS n FROM silver GROUP BY ALL",
      "year:i cause:s ext_cause:s n:l")
-_reg("map_age_codes",
-     lambda s, d: _silver(s, d).groupBy("year", "sex", "age_group", "age_group5").agg(F.count(F.lit(1)).alias("n")),
+_reg("map_age_codes", _counted(study, "age", "year sex age_group age_group5"),
      "SELECT year, sex, age_group, age_group5, count(*) AS n FROM silver GROUP BY ALL",
      "year:i sex:s age_group:s age_group5:s n:l")
-_reg("map_codes",
-     lambda s, d: _silver(s, d).groupBy("year", "month", "sex", "regime").agg(F.count(F.lit(1)).alias("n")),
+_reg("map_codes", _counted(study, "person", "year month sex regime"),
      "SELECT year, month, sex, regime, count(*) AS n FROM silver GROUP BY ALL",
      "year:i month:i sex:s regime:s n:l")
-_reg("recode_geo",
-     lambda s, d: study(s, d).deaths_tot.groupBy("cause_ext", "cod_dptof", "cod_mpiof").agg(F.count(F.lit(1)).alias("n")),
+_reg("recode_geo", _counted(study, "place", "cause_ext cod_dptof cod_mpiof", "analysed"),
      "SELECT cause_ext, cod_dptof, cod_mpiof, count(*) AS n FROM deaths_tot GROUP BY ALL",
      "cause_ext:s cod_dptof:s cod_mpiof:s n:l")
 _reg("classify_region", _st("regions"), "regions", "cod_mpio:s dpto:s mpio:s region:s")
-_reg("unmatched_codes", lambda s, d: study(s, d).unmatched(10),
-     "SELECT * FROM (SELECT d.cod_dptof, d.cod_mpiof, count(*) AS n, "
-     "array_to_string(list_sort(list_distinct(list(CAST(d.year AS VARCHAR)))), ',') AS years "
-     "FROM deaths_tot d LEFT JOIN regions r ON d.cod_mpiof = r.cod_mpio "
-     "WHERE d.cause IS NOT NULL AND r.region IS NULL GROUP BY ALL) WHERE n >= 10",
-     "cod_dptof:s cod_mpiof:s n:l years:s")
+
+_FLAG_SQL = {"no_year": "year IS NULL", "no_sex": "sex IS NULL", "no_age": "age_group5 IS NULL", "no_cause": "cause IS NULL",
+             "no_place": "cod_mpiof IS NULL", "no_region": "cod_mpiof IS NOT NULL AND region IS NULL"}
+_QUALITY_SQL = ("SELECT year, count(*) AS records, count(*) FILTER (WHERE sex IN ('Male', 'Female') AND age_group5 IS NOT NULL) AS analysed, "
+                + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in _FLAG_SQL.items())
+                + " FROM silver_places p LEFT JOIN regions r ON p.cod_mpiof = r.cod_mpio GROUP BY ALL")
+_QUALITY = "year:i records:l analysed:l " + " ".join(f"{k}:l" for k in _FLAG_SQL)
+_reg("quality_counters", lambda s, d: study(s, d).quality(), _QUALITY_SQL, _QUALITY)
+_reg("quality_counters_eras", lambda s, d: _spread_study(s, d).quality(), _QUALITY_SQL, _QUALITY, spread=True)
+
+
+def _unmatched_sql(regions):
+    return ("SELECT * FROM (SELECT d.cod_dptof, d.cod_mpiof, count(*) AS n, "
+            "array_to_string(list_sort(list_distinct(list(CAST(d.year AS VARCHAR)))), ',') AS years "
+            f"FROM deaths_tot d LEFT JOIN {regions} r ON d.cod_mpiof = r.cod_mpio "
+            "WHERE d.cause IS NOT NULL AND r.region IS NULL GROUP BY ALL) WHERE n >= 10")
 
 
+_reg("unmatched_codes", lambda s, d: study(s, d).unmatched(10), _unmatched_sql("regions"), "cod_dptof:s cod_mpiof:s n:l years:s")
 _reg("unmatched_codes_gaps",
-     lambda s, d: H.unmatched_report(study(s, d).deaths_tot.where(F.col("cause").isNotNull()),
-                                     study(s, d).regions.where("CAST(cod_mpio AS INT) % 7 <> 3"), 10),
-     "SELECT * FROM (SELECT d.cod_dptof, d.cod_mpiof, count(*) AS n, "
-     "array_to_string(list_sort(list_distinct(list(CAST(d.year AS VARCHAR)))), ',') AS years "
-     "FROM deaths_tot d LEFT JOIN (SELECT * FROM regions WHERE CAST(cod_mpio AS INTEGER) % 7 <> 3) r "
-     "ON d.cod_mpiof = r.cod_mpio WHERE d.cause IS NOT NULL AND r.region IS NULL GROUP BY ALL) WHERE n >= 10",
-     "cod_dptof:s cod_mpiof:s n:l years:s")
+     lambda s, d: N.unmatched(study(s, d).counted("place"), study(s, d).regions.where("CAST(cod_mpio AS INT) % 7 <> 3"), 10),
+     _unmatched_sql("(SELECT * FROM regions WHERE CAST(cod_mpio AS INTEGER) % 7 <> 3)"), "cod_dptof:s cod_mpiof:s n:l years:s")
 
 
 def _population_long(spark, d):
@@ -283,6 +292,31 @@ _reg("age_distribution", lambda s, d: study(s, d).figure("props"),
 # -- life tables
 _reg("life_expectancy_year", _st("lifeexp"), "lifeexp", "year:i LE0:d")
 _reg("life_expectancy_year_sex", _st("lifeexp_sex"), "lifeexp_sex", "year:i sex:s LE0:d")
+LT = "age_group5:s age_li:i nx:d m:d ax:d q:d lx:d dx:d person_years:d person_years_above:d ex:d"
+
+
+def _lt_sql(by, series=None):
+    return O.whole_lifetable(f"({O._lt_strata('popnac', 'cube', by)})", by, series)
+
+
+_reg("life_table_year", lambda s, d: study(s, d).life_table(["year"]), _lt_sql(["year"]), f"year:i {LT}")
+_reg("life_table_year_sex", lambda s, d: study(s, d).life_table(["year", "sex"]), _lt_sql(["year", "sex"]), f"year:i sex:s {LT}")
+_reg("life_table_sex_factors", lambda s, d: study(s, d).life_table(["year", "sex"], series="sex"), _lt_sql(["year", "sex"], "sex"),
+     f"year:i sex:s {LT}")
+
+
+def _decimals(spark, d):
+    """Prices in thousandths and eighths: many ties and near-ties of two decimals."""
+    from vitalrates.functions.text import fixed2
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        F.explode(F.array(F.col("l_quantity") / 8, -F.col("l_extendedprice") / 1000, F.col("l_extendedprice") * F.col("l_discount") / 16)).alias("x"))
+    return x.groupBy(fixed2(F.col("x")).alias("txt")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_reg("format_two_decimals", _decimals,
+     "SELECT printf('%.2f', x) AS txt, count(*) AS n FROM (SELECT unnest([CAST(l_quantity AS DOUBLE) / 8, -CAST(l_extendedprice AS DOUBLE) / 1000, "
+     "CAST(l_extendedprice AS DOUBLE) * CAST(l_discount AS DOUBLE) / 16]) AS x FROM lineitem) GROUP BY ALL",
+     "txt:s n:l")
 _reg("life_expectancy_decade", _st("lifeexp_decade"), "lifeexp_decade", "decade:i LE0:d")
 
 # -- years of life lost

@@ -25,8 +25,9 @@ from vitalrates.operators import counts as C
 from vitalrates.operators import harmonise as H
 from vitalrates.operators import population as P
 from vitalrates.operators import standardise as S
+from vitalrates.operators import tally as N
 from vitalrates.operators.contrast import contrast_diff
-from vitalrates.operators.lifetable import life_table_e0, life_table_strata
+from vitalrates.operators.lifetable import life_table, life_table_e0, life_table_strata
 from vitalrates.operators.yll import years_lost, yll_rate
 from vitalrates.plans.config import StudyConfig
 from vitalrates.sources.readers import read_table
@@ -48,6 +49,8 @@ def stage(fn):
 
 CUBE_DIMS = ("year", "sex", "age_group", "age_group5", "cause", "cause_ext", "ext_cause",
              "region", "cod_dptof", "regime")
+#: every count that starts at the records, made in one pass over them
+TALLIES = {**N.TUPLES, "place": N.PLACE, "cube": ("analysed", *CUBE_DIMS), "quality": ("year", "analysed", *N.FLAGS)}
 REGIME_LABELS = (("All people", "All people"), ("contr", "Contributory"), ("subs", "Subsidised"))
 
 
@@ -69,22 +72,34 @@ class Study:
         self._regions = regions
         self._pop_cube: DataFrame | None = None
         self.silver: DataFrame | None = None
+        self.raw: DataFrame | None = None
+        self.counters: dict | None = None
         self._cached: list[str] = []
 
     # ------------------------------------------------------------ factories
     @classmethod
-    def from_tpch(cls, spark: SparkSession, sf_dir: str, cfg: StudyConfig | None = None) -> "Study":
+    def from_tpch(cls, spark: SparkSession, sf_dir: str, cfg: StudyConfig | None = None, spread: bool = False) -> "Study":
         from vitalrates.plans import tpch
         from vitalrates.plans.config import TPCH
         cfg = cfg or TPCH
-        silver = H.clean_deaths(tpch.raw_deaths(spark, sf_dir))
+        raw = tpch.raw_deaths(spark, sf_dir, spread=spread)
+        silver = H.clean_deaths(raw)
         regions = H.classify_region(tpch.rurality_source(spark, sf_dir))
         pop_cube = (tpch.population_cube(tpch.population_items(spark, sf_dir))
                     .persist(StorageLevel.MEMORY_AND_DISK))
         st = cls(cls.deaths_from_silver(silver, cfg), tpch.popnac_long(pop_cube), tpch.popmpio_long(pop_cube),
                  tpch.popbdua_raw(pop_cube, cfg.insured_years[0]), regions, cfg)
         st._pop_cube = pop_cube
-        st.silver = silver
+        st.silver, st.raw = silver, raw
+        return st
+
+    @classmethod
+    def from_raw(cls, raw: DataFrame, popnac_long: DataFrame, popmpio_long: DataFrame, popbdua_raw: DataFrame,
+                 regions: DataFrame, cfg: StudyConfig = StudyConfig()) -> "Study":
+        """A study over raw yearly records: one pass over them counts all."""
+        silver = H.clean_deaths(raw)
+        st = cls(cls.deaths_from_silver(silver, cfg), popnac_long, popmpio_long, popbdua_raw, regions, cfg)
+        st.silver, st.raw = silver, raw
         return st
 
     def with_config(self, **changes) -> "Study":
@@ -116,8 +131,15 @@ class Study:
         elif self.silver is not None:
             self.silver = materialize(self.silver, "deaths_silver", partition_by=["year"])
             self.deaths_tot = self.deaths_from_silver(self.silver, self.cfg)
-        d = H.attach_region(self.deaths_tot, self.regions)
-        self.__dict__["cube"] = materialize(C.base_cube(d, CUBE_DIMS), "cube", path=f"{root}/cube" if root else None)
+        place = f"{root}/cube" if root else None
+        if self.raw is not None:
+            # the counters fill while the counts are written: no pass of their own
+            rows, seen = N.observed(N.records(self.raw, self.regions, self.cfg.sexes), f"quality-{id(self)}")
+            self.__dict__["tally"] = materialize(N.tally(rows, TALLIES), "tally", path=f"{root}/tally" if root else None)
+            self.counters = dict(seen.get)
+            self.__dict__["cube"] = materialize(self.counted("cube").where("analysed").drop("analysed"), "cube", path=place)
+        else:
+            self.__dict__["cube"] = materialize(C.base_cube(H.attach_region(self.deaths_tot, self.regions), CUBE_DIMS), "cube", path=place)
         return self
 
     def unpersist(self) -> None:
@@ -134,11 +156,31 @@ class Study:
         """The municipality dimension; a municipality occurs once."""
         return self._regions
 
+    @stage
+    def tally(self) -> DataFrame:
+        """All counts that start at the records: the one exchange over them."""
+        return N.tally(N.records(self.raw, self.regions, self.cfg.sexes), TALLIES)
+
+    def counted(self, name: str) -> DataFrame:
+        """One set of :attr:`tally`; code tuples come harmonised."""
+        own = N.pick(self.tally, TALLIES, name)
+        return N.harmonised_tuples(own) if name in N.TUPLES else own
+
     @stage
     def cube(self) -> DataFrame:
+        if self.raw is not None:
+            return self.counted("cube").where("analysed").drop("analysed")
         d = H.attach_region(self.deaths_tot, self.regions)
         return C.base_cube(d, CUBE_DIMS)
 
+    def quality(self) -> DataFrame:
+        """Data-quality counters by year (D1): records, analysed ones, and how
+        many lack each field; from the same pass as the cube."""
+        q = self.counted("quality")
+        count = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).cast("bigint")
+        return q.groupBy("year").agg(F.sum("n").cast("bigint").alias("records"), count("analysed").alias("analysed"),
+                                     *[count(f).alias(f) for f in N.FLAGS])
+
     @cached_property
     def cube_cause(self) -> DataFrame:
         """Deaths with a known cause (analysis table 11)."""
@@ -188,6 +230,12 @@ class Study:
         strata = life_table_strata(pop, cube, by, self.age_starts)
         return life_table_e0(strata, by)
 
+    def life_table(self, by: list[str], series: str | None = None) -> DataFrame:
+        """Whole life tables by ``by`` (W4); ``series="sex"`` gives each sex its
+        own separation factors (Q21)."""
+        labels = {"Male": "male", "Female": "female"}
+        return life_table(life_table_strata(self.popnac, self.cube, by, self.age_starts), by, series=series, labels=labels)
+
     @stage
     def lifeexp_sex(self) -> DataFrame:
         return self._life(["year", "sex"], self.popnac, self.cube)
@@ -689,4 +737,7 @@ class Study:
         write_results({name: self.ordered(name) for name in ("tab1", "tab2", "tabs2", "report", "report_age")}, root, fmt)
 
     def unmatched(self, min_n: int = 10) -> DataFrame:
+        """Municipality codes without a rurality row."""
+        if self.raw is not None:
+            return N.unmatched(self.counted("place"), self.regions, min_n)
         return H.unmatched_report(self.deaths_tot.where(F.col("cause").isNotNull()), self.regions, min_n)
