@@ -66,7 +66,10 @@ def test_report_sink_in_order(spark):
     st = study(spark, "/root/testdata/sf0.001")
     root = tempfile.mkdtemp(prefix="vr-report-")
     st.write_report(root)
-    assert sorted(os.listdir(root)) == ["report", "report_age", "tab1", "tab2", "tabs2"]
+    run = [x for x in os.listdir(root) if x.startswith("run=")]
+    assert len(run) == 1 and sorted(os.listdir(f"{root}/{run[0]}")) == ["report", "report_age", "tab1", "tab2", "tabs2"]
+    from vitalrates.sources.sinks import read_results
+    assert read_results(spark, root, "tab1").count() == st.tab1.count()
     regimes = [r.regime for r in st.ordered("tab1").collect()]
     order = {"All people": 0, "Contributory": 1, "Subsidised": 2, None: 3}
     assert regimes == sorted(regimes, key=lambda x: order[x])
@@ -137,10 +140,12 @@ def test_population_sheets_to_table_1(spark):
     cfg = StudyConfig(years=(1998, 2003), mpio_years=(1998, 2003), regime_years=(1998, 2003), insured_years=(1998, 2003),
                       mask_year=1991, anchor_year=1990)
     root = tempfile.mkdtemp(prefix="vr-study-")
-    st = Study(H.analysis_deaths(H.clean_deaths(raw)), popnac, popmpio, bdua, H.classify_region(rur), cfg)
-    st.silver = H.clean_deaths(raw)
+    st = Study.from_raw(raw, popnac, popmpio, bdua, H.classify_region(rur), cfg)
     st.materialize(root)
-    assert sorted(os.listdir(root)) == ["cube", "deaths_silver"] and "year=1998" in os.listdir(f"{root}/deaths_silver")
+    assert sorted(os.listdir(root)) == ["cube", "deaths_silver", "tally"]
+    from vitalrates.sources.sinks import stored_deaths
+    assert stored_deaths(spark, f"{root}/deaths_silver").where("year = 1998").count() == len(rows) // 6
+    assert st.counters["records"] == st.counters["analysed"] == len(rows) and st.counters["no_cause"] == 0
     assert st.cube.agg({"n": "sum"}).first()[0] == len(rows)      # the repeated municipality counts nothing twice
     assert dict(st.mrnac_sex.dtypes)["year"] == "int" and dict(st.popnac.dtypes)["year"] == "int"
     t1 = {(r.regime, r.decade): r for r in st.tab1.collect()}

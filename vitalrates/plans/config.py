@@ -24,6 +24,7 @@ class StudyConfig:
     decade_width: int = 10
     interp_x: str = "row"
     anchor: str = "overwrite"
+    ratio_limits: str = "reference"      # or "log": limits of rate ratios in Tables 1 and 2
     sexes: tuple = ("Male", "Female")
     regimes: tuple = ("contr", "subs")
     regions: tuple = ("Urban", "Rural")

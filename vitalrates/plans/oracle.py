@@ -8,6 +8,8 @@ pre-registered views ``lineitem orders customer supplier part nation``.
 
 from __future__ import annotations
 
+import re
+
 # Study parameters for the benchmark-derived data (see plans.config.TPCH).
 Y0, Y1 = 1995, 2001
 MASK_YEAR, ANCHOR_YEAR = 1998, 1997
@@ -660,11 +662,29 @@ CTES += [
 ]
 
 
-def query_sql(final: str, spread: bool = False, min_count: int | None = None) -> str:
+_LIMITS = re.compile(r"(\w+)_Male / NULLIF\(\1_Female, 0\) AS (\w+), UCI_Male / NULLIF\(UCI_Female, 0\) AS (\w+), "
+                     r"LCI_Male / NULLIF\(LCI_Female, 0\) AS (\w+)")
+
+
+def _log_limits(m: re.Match) -> str:
+    """The ratio's limits on the log scale in place of the swapped ones."""
+    est, out, lo, hi = m.groups()
+    def se(s):
+        q = f"UCI_{s} / NULLIF({est}_{s}, 0)"
+        return f"(CASE WHEN {q} > 0 THEN ln({q}) END / 1.96)"
+    both = f"sqrt({se('Male')} * {se('Male')} + {se('Female')} * {se('Female')})"
+    r = f"{est}_Male / NULLIF({est}_Female, 0)"
+    return f"{r} AS {out}, {r} * exp(-1.96 * {both}) AS {lo}, {r} * exp(1.96 * {both}) AS {hi}"
+
+
+def query_sql(final: str, spread: bool = False, min_count: int | None = None, ratio: str | None = None) -> str:
     """Every CTE followed by ``final``; DuckDB evaluates only the CTEs the
-    final SELECT reaches. ``spread`` and ``min_count`` give the study of the
-    spread records and of another suppression threshold."""
+    final SELECT reaches. ``spread``, ``min_count`` and ``ratio`` give the
+    study of the spread records, of another suppression threshold and of
+    limits on the log scale."""
     ctes = [(name, _raw(True) if spread and name == "raw" else body) for name, body in CTES]
     if min_count is not None:
         ctes = [(name, body.replace(MIN_N, str(min_count))) for name, body in ctes]
+    if ratio == "log":
+        ctes = [(name, _LIMITS.sub(_log_limits, body)) for name, body in ctes]
     return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes) + "\n" + final

@@ -358,8 +358,20 @@ _reg("ratio_by_sex", _ratio_by_sex, "t2_smr", "age_group:s decade:i smr_ratio:d
 # -- result tables
 TAB = ("dsmr:d smr_ratio:d LCI:d UCI:d dsmr_next:d smr_next:d LCI_next:d UCI_next:d dsmr_ext:d smr_ext:d "
        "LCI_ext:d UCI_ext:d")
+def _log_limits(attr):
+    """A table under limits on the log scale."""
+    def build(spark, d):
+        key = (spark.sparkContext.applicationId, d, "log")
+        if key not in _STUDIES:
+            _STUDIES[key] = study(spark, d).with_config(ratio_limits="log")
+        return getattr(_STUDIES[key], attr)
+    return build
+
+
+_reg("table_rate_contrasts_regime_log", _log_limits("tab1"), "tab1", f"regime:s decade:i {TAB}", ratio="log")
 _reg("table_rate_contrasts_regime", _st("tab1"), "tab1", f"regime:s decade:i {TAB}")
 _reg("table_rate_contrasts_age", _st("tab2"), "tab2", f"age_group:s decade:i {TAB}")
+_reg("table_rate_contrasts_age_log", _log_limits("tab2"), "tab2", f"age_group:s decade:i {TAB}", ratio="log")
 _reg("table_excess", _st("tabs2"), "tabs2",
      "age_group:s decade:i deaths_excess:d yll_excess:d deaths_excess_ext:d yll_excess_ext:d "
      "deaths_excess_next:d yll_excess_next:d")

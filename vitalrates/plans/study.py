@@ -26,11 +26,10 @@ from vitalrates.operators import harmonise as H
 from vitalrates.operators import population as P
 from vitalrates.operators import standardise as S
 from vitalrates.operators import tally as N
-from vitalrates.operators.contrast import contrast_diff
+from vitalrates.operators.contrast import contrast_diff, ratio_limits
 from vitalrates.operators.lifetable import life_table, life_table_e0, life_table_strata
 from vitalrates.operators.yll import years_lost, yll_rate
 from vitalrates.plans.config import StudyConfig
-from vitalrates.sources.readers import read_table
 
 
 def stage(fn):
@@ -108,7 +107,8 @@ class Study:
         from dataclasses import replace
         st = Study(self.deaths_tot, self._popnac_long, self._popmpio_long, self._popbdua_raw, self.regions,
                    replace(self.cfg, **changes))
-        for name in ("cube", "popnac", "popmpio", "popbdua", "regions"):
+        st.raw = self.raw
+        for name in ("cube", "popnac", "popmpio", "popbdua", "regions", *(("tally",) if self.raw is not None else ())):
             st.__dict__[name] = getattr(self, name)
         return st
 
@@ -123,10 +123,10 @@ class Study:
         death cube. Later tables then plan over the stored copies. ``root``
         gives them fixed places, else each gets a new folder under
         ``spark.checkpoint.dir``. Call it before any derived table is used."""
-        from vitalrates.sources.sinks import materialize, write_deaths
+        from vitalrates.sources.sinks import materialize, stored_deaths, write_deaths
         if self.silver is not None and root:
             write_deaths(self.silver, f"{root}/deaths_silver")
-            self.silver = read_table(self.spark, f"{root}/deaths_silver").select(*self.silver.columns)
+            self.silver = stored_deaths(self.spark, f"{root}/deaths_silver").select(*self.silver.columns)
             self.deaths_tot = self.deaths_from_silver(self.silver, self.cfg)
         elif self.silver is not None:
             self.silver = materialize(self.silver, "deaths_silver", partition_by=["year"])
@@ -660,18 +660,19 @@ class Study:
                  for suffix, cause in Study.REPORT_CAUSES for v in values for sex in ("Male", "Female")]
         return long.groupBy(*keys).agg(*cells)
 
-    @classmethod
-    def _contrasts(cls, sources, keys) -> DataFrame:
+    def _contrasts(self, sources, keys) -> DataFrame:
         """Difference and ratio with limits per cause from long rows with
-        ``est``, ``lo``, ``hi``; same-side limits are divided and swapped as
-        in :func:`contrast_ratio` (SURVEY Q8)."""
-        w = cls._side_by_side(sources, keys, ("est", "lo", "hi"))
-        div = lambda v, s: safe_div(F.col(f"{v}{s}_Male"), F.col(f"{v}{s}_Female"))
+        ``est``, ``lo``, ``hi``. ``cfg.ratio_limits`` picks the limits as in
+        :func:`contrast_ratio`: the reference's swapped ones (SURVEY Q8) or
+        those of the log ratio."""
+        w = self._side_by_side(sources, keys, ("est", "lo", "hi"))
         cols = []
-        for s, _ in cls.REPORT_CAUSES:
-            cols += [(F.col(f"est{s}_Male") - F.col(f"est{s}_Female")).alias(f"dsmr{s}"),
-                     div("est", s).alias(f"smr_ratio{s}" if not s else f"smr{s}"),
-                     div("hi", s).alias(f"LCI{s}"), div("lo", s).alias(f"UCI{s}")]
+        for s, _ in self.REPORT_CAUSES:
+            v = {f"{k}_{sex}": F.col(f"{k}{s}_{sex}") for k in ("est", "lo", "hi") for sex in self.cfg.sexes}
+            low, high = ratio_limits(v, self.cfg.ratio_limits)
+            cols += [(v["est_Male"] - v["est_Female"]).alias(f"dsmr{s}"),
+                     safe_div(v["est_Male"], v["est_Female"]).alias(f"smr_ratio{s}" if not s else f"smr{s}"),
+                     low.alias(f"LCI{s}"), high.alias(f"UCI{s}")]
         return w.select(*keys, *cols)
 
     @staticmethod

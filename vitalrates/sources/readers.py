@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,45 @@ def read_deaths(spark: SparkSession, paths: Sequence[str], fmt: str = "csv",
     return out
 
 
+class CheckedDeaths(NamedTuple):
+    """What :func:`read_deaths_checked` gives; together no line is lost."""
+    accepted: DataFrame
+    rejected: DataFrame
+    counts: DataFrame
+
+
+BAD_LINE = "_bad_line"
+
+
+def read_deaths_checked(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = DEATH_COLUMNS, sep: str = ",",
+                        **options) -> CheckedDeaths:
+    """Yearly CSV exports with a quarantine (S1, S4): ``accepted`` as from
+    :func:`read_deaths`; ``rejected`` has the file and whole text of each line
+    whose fields do not fit the file's header; ``counts`` has accepted and
+    rejected lines per file. Each path is one file with its own header. The
+    header line is read first, all lines lazily, in one scan per frame."""
+    ok, bad = [], []
+    for p in paths:
+        own = spark.read.options(header=True, inferSchema=False, sep=sep, **options).csv(p).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*own, BAD_LINE]])
+        df = spark.read.schema(schema).options(
+            header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE, columnPruning=False, sep=sep, **options).csv(p)
+        df = df.withColumn("_file", F.col("_metadata.file_name"))
+        # always true, but Spark refuses plans that read nothing of a line but its being bad
+        read = F.length(F.coalesce(F.col(f"`{own[0]}`"), F.lit(""))) >= 0
+        fine = F.col(BAD_LINE).isNull()
+        ok.append(conform(as_text(normalise_headers(df.where(fine & read).drop(BAD_LINE))), [*columns, "_FILE"]))
+        bad.append(df.where(~fine & read).select("_file", F.col(BAD_LINE).alias("line")))
+    accepted, rejected = ok[0], bad[0]
+    for a, b in zip(ok[1:], bad[1:], strict=True):
+        accepted, rejected = accepted.unionByName(a), rejected.unionByName(b)
+    n = F.count(F.lit(1))
+    each = (accepted.groupBy(F.col("_FILE").alias("file")).agg(n.alias("accepted"), F.lit(0).cast("long").alias("rejected"))
+            .unionByName(rejected.groupBy(F.col("_file").alias("file")).agg(F.lit(0).cast("long").alias("accepted"), n.alias("rejected"))))
+    counts = each.groupBy("file").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    return CheckedDeaths(accepted.drop("_FILE"), rejected.select(F.col("_file").alias("file"), "line"), counts)
+
+
 #: positional names of the published sheets (fixed values)
 MUNICIPAL_SHEET = {0: "COD_DPTO", 1: "DPTO", 2: "COD_MPIO", 3: "MPIO", 4: "ANO", 5: "AREA"}
 MUNICIPAL_SHEET_SWAPPED = MUNICIPAL_SHEET | {2: "MPIO", 3: "COD_MPIO"}
