@@ -48,8 +48,11 @@ def stage(fn):
 
 CUBE_DIMS = ("year", "sex", "age_group", "age_group5", "cause", "cause_ext", "ext_cause",
              "region", "cod_dptof", "regime")
-#: every count that starts at the records, made in one pass over them
-TALLIES = {**N.TUPLES, "place": N.PLACE, "cube": ("analysed", *CUBE_DIMS), "quality": ("year", "analysed", *N.FLAGS)}
+#: reports on codes, places and quality, counted in one pass over the records
+REPORTS = {**N.TUPLES, "place": N.PLACE, "quality": ("year", "analysed", *N.FLAGS)}
+#: the same and the cube, for a stored pass. A lazy study keeps the cube apart: dozens of derived
+#: tables repeat its plan, and in the wide one they would take Spark twice as long to plan
+TALLIES = {**REPORTS, "cube": ("analysed", *CUBE_DIMS)}
 REGIME_LABELS = (("All people", "All people"), ("contr", "Contributory"), ("subs", "Subsidised"))
 
 
@@ -73,6 +76,7 @@ class Study:
         self.silver: DataFrame | None = None
         self.raw: DataFrame | None = None
         self.counters: dict | None = None
+        self._sets = REPORTS
         self._cached: list[str] = []
 
     # ------------------------------------------------------------ factories
@@ -135,6 +139,7 @@ class Study:
         if self.raw is not None:
             # the counters fill while the counts are written: no pass of their own
             rows, seen = N.observed(N.records(self.raw, self.regions, self.cfg.sexes), f"quality-{id(self)}")
+            self._sets = TALLIES
             self.__dict__["tally"] = materialize(N.tally(rows, TALLIES), "tally", path=f"{root}/tally" if root else None)
             self.counters = dict(seen.get)
             self.__dict__["cube"] = materialize(self.counted("cube").where("analysed").drop("analysed"), "cube", path=place)
@@ -158,24 +163,22 @@ class Study:
 
     @stage
     def tally(self) -> DataFrame:
-        """All counts that start at the records: the one exchange over them."""
-        return N.tally(N.records(self.raw, self.regions, self.cfg.sexes), TALLIES)
+        """All report counts that start at the records: one exchange over them."""
+        return N.tally(N.records(self.raw, self.regions, self.cfg.sexes), self._sets)
 
     def counted(self, name: str) -> DataFrame:
         """One set of :attr:`tally`; code tuples come harmonised."""
-        own = N.pick(self.tally, TALLIES, name)
+        own = N.pick(self.tally, self._sets, name)
         return N.harmonised_tuples(own) if name in N.TUPLES else own
 
     @stage
     def cube(self) -> DataFrame:
-        if self.raw is not None:
-            return self.counted("cube").where("analysed").drop("analysed")
         d = H.attach_region(self.deaths_tot, self.regions)
         return C.base_cube(d, CUBE_DIMS)
 
     def quality(self) -> DataFrame:
         """Data-quality counters by year (D1): records, analysed ones, and how
-        many lack each field; from the same pass as the cube."""
+        many lack each field; from the same pass as the other reports."""
         q = self.counted("quality")
         count = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0)).cast("bigint")
         return q.groupBy("year").agg(F.sum("n").cast("bigint").alias("records"), count("analysed").alias("analysed"),
