@@ -111,7 +111,7 @@ class Study:
         from dataclasses import replace
         st = Study(self.deaths_tot, self._popnac_long, self._popmpio_long, self._popbdua_raw, self.regions,
                    replace(self.cfg, **changes))
-        st.raw = self.raw
+        st.raw, st._sets = self.raw, self._sets
         for name in ("cube", "popnac", "popmpio", "popbdua", "regions", *(("tally",) if self.raw is not None else ())):
             st.__dict__[name] = getattr(self, name)
         return st
