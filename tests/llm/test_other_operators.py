@@ -157,6 +157,36 @@ def test_reader_checks_digests_and_lengths(tmp_path):
     assert len(only) == 1 and only[0]["gap"] and only[0]["size"] == 17
 
 
+@pytest.mark.parametrize("gz", [True, False])
+@pytest.mark.parametrize("field, value", [("Content-Length", "²"), ("Content-Length", "9" * 5000), ("Content-Length", "-1"), ("Content-Length", "9" * 17),
+                                          ("X-Page-ID", "--5"), ("X-Page-ID", "1" * 30), ("X-Page-ID", "٣"), ("X-Page-ID", str(1 << 63))])
+def test_bad_numbers_cost_one_record_only(tmp_path, gz, field, value):
+    raw = records()
+    line = next(x for x in raw[1].split(b"\r\n") if x.startswith(field.encode()))
+    raw[1] = raw[1].replace(line, f"{field}: {value}".encode(), 1)
+    parts = [warc.member(r) if gz else r for r in raw]
+    rows = read(archive(tmp_path, "n", parts))
+    assert [r.get("page_id") for r in rows] == [0, None, 2, 3] and rows[1]["gap"]
+    assert (rows[1]["at"], rows[1]["size"]) == (len(parts[0]), len(parts[1]))
+
+
+def test_page_ids_of_64_bits_and_long_records(spark, tmp_path):
+    own = [((1 << 63) - 1, "u", "a" * 200), (-(1 << 63), "u", "b" * 200), (7, "u", "long " * 4_000_000)]
+    got = {r.page_id: r.payload_bytes for r in warc.archive_roundtrip(spark.createDataFrame(own, PAGES)).collect()}
+    assert got == {i: len(h) for i, _, h in own}
+    folder = shared_path(spark, "test-warc")
+    files = warc.write_archives(spark.createDataFrame(own, PAGES), folder)
+    back = warc.read_archives(files, folder).select("page_id", F.length("payload").alias("n")).collect()
+    assert {r.page_id: r.n for r in back} == got
+
+
+def test_a_gap_in_own_archives_is_an_error(spark, monkeypatch):
+    read_back = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **k: read_back(*a, **k).withColumn("gap", F.lit("torn")))
+    with pytest.raises(Exception, match="gap in .*torn"):
+        warc.archive_roundtrip(spark.createDataFrame([(1, "u", "x")], PAGES)).collect()
+
+
 def test_archives_roll_and_read_back_payloads(spark):
     _, df = pages(spark)
     folder = shared_path(spark, "roll")

@@ -117,11 +117,22 @@ class Bad(Exception):
     """A failed check; the message is the gap's reason."""
 
 
+NUMBER = re.compile(r"-?[0-9]{1,19}")
+
+
+def number(text: str, least: int | None = None) -> int:
+    """A header's number: ASCII digits that fit 64 bits, else a failed check."""
+    if not NUMBER.fullmatch(text) or not (-1 << 63 if least is None else least) <= int(text) < 1 << 63:
+        raise Bad("no usable number")
+    return int(text)
+
+
 class Archive:
-    """Records and gaps of one archive, read by random access."""
+    """Records and gaps of one archive, read by random access. A record is
+    held whole, however long it is."""
 
-    def __init__(self, source, chunk: int = 1 << 20, most: int = 1 << 30):
-        self.source, self.chunk, self.most = source, chunk, most
+    def __init__(self, source, chunk: int = 1 << 20):
+        self.source, self.chunk = source, chunk
         self.size = source.size()
         self.gz = self._at(0, 2) == GZIP[:2] or (self._at(0, 5) != b"WARC/" and self._next_magic(0, GZIP) is not None
                                                  and self._next_plain(0) is None)
@@ -149,8 +160,6 @@ class Archive:
             n += len(out[-1])
             if most and n >= most:
                 break
-            if n > self.most:
-                raise Bad("record is too long")
         return b"".join(out), pos - len(z.unused_data)
 
     def _plain(self, at: int) -> tuple[bytes, int]:
@@ -165,11 +174,10 @@ class Archive:
             n *= 4
         end = head.index(b"\r\n\r\n") + 4
         length = next((x[15:].strip() for x in head[:end].lower().split(b"\r\n") if x.startswith(b"content-length:")), b"")
-        if not length.isdigit() or int(length) > self.most:
-            raise Bad("no usable Content-Length")
-        whole = self._at(at, end + int(length) + 4)
-        if len(whole) < end + int(length):
+        size = number(length.decode("latin-1"), 0)
+        if at + end + size > self.size:
             raise Bad("record is cut off")
+        whole = self._at(at, end + size + 4)
         return whole, at + len(whole)
 
     def parse(self, at: int) -> tuple[dict, int]:
@@ -186,11 +194,11 @@ class Archive:
             if not colon or not k.strip():
                 raise Bad("bad header line")
             head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-        n = head.get("content-length", "")
-        if not n.isdigit() or "warc-type" not in head:
-            raise Bad("no usable Content-Length" if not n.isdigit() else "no record type")
-        block = raw[cut + 4:cut + 4 + int(n)]
-        if len(block) != int(n) or raw[cut + 4 + int(n):] != b"\r\n\r\n":
+        n = number(head.get("content-length", ""), 0)
+        if "warc-type" not in head:
+            raise Bad("no record type")
+        block = raw[cut + 4:cut + 4 + n]
+        if len(block) != n or raw[cut + 4 + n:] != b"\r\n\r\n":
             raise Bad("Content-Length does not meet the record's end")
         if (d := head.get("warc-block-digest", "")).startswith("sha256:") and hashlib.sha256(block).hexdigest() != d[7:]:
             raise Bad("block digest differs")
@@ -198,12 +206,12 @@ class Archive:
         digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
         said = head.get("warc-payload-digest", "").removeprefix("sha256:")
         if head["warc-type"] == "revisit":
-            digest, size = said, int(head["x-payload-length"]) if head.get("x-payload-length", "").isdigit() else None
+            digest, size = said, number(head["x-payload-length"], 0) if "x-payload-length" in head else None
         elif said and head["warc-payload-digest"].startswith("sha256:") and said != digest:
             raise Bad("payload digest differs")
-        number = lambda k: int(head[k]) if head.get(k, "").lstrip("-").isdigit() else None
-        return {"at": at, "size": end - at, "type": head["warc-type"], "page_id": number("x-page-id"),
-                "refers_to": number("x-refers-to-page"), "uri": head.get("warc-target-uri"), "payload_bytes": size,
+        given = lambda k: number(head[k]) if k in head else None
+        return {"at": at, "size": end - at, "type": head["warc-type"], "page_id": given("x-page-id"),
+                "refers_to": given("x-refers-to-page"), "uri": head.get("warc-target-uri"), "payload_bytes": size,
                 "payload_digest": digest, "payload": payload, "gap": None}, end
 
     def _next_magic(self, at: int, magic: bytes) -> int | None:
@@ -274,7 +282,9 @@ def read_archives(files: DataFrame, folder: str, payload: bool = True) -> DataFr
 
 
 def archive_roundtrip(pages: DataFrame) -> DataFrame:
-    """Query view: write all pages, read the archives back."""
+    """Query view: write all pages, read the archives back. A gap in them is
+    an error, never a page less."""
     folder = shared_path(pages.sparkSession, "warc")
-    back = read_archives(write_archives(pages, folder), folder, payload=False).where("gap is null")
-    return back.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+    back = read_archives(write_archives(pages, folder), folder, payload=False)
+    fail = F.raise_error(F.concat(F.lit("gap in "), "file", F.lit(": "), "gap")).cast("long")
+    return back.select(F.when(F.col("gap").isNull(), F.col("page_id")).otherwise(fail).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
