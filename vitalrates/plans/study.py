@@ -663,16 +663,16 @@ class Study:
                  for suffix, cause in Study.REPORT_CAUSES for v in values for sex in ("Male", "Female")]
         return long.groupBy(*keys).agg(*cells)
 
-    def _contrasts(self, sources, keys) -> DataFrame:
+    @classmethod
+    def _contrasts(cls, sources, keys, limits: str = "reference") -> DataFrame:
         """Difference and ratio with limits per cause from long rows with
-        ``est``, ``lo``, ``hi``. ``cfg.ratio_limits`` picks the limits as in
-        :func:`contrast_ratio`: the reference's swapped ones (SURVEY Q8) or
-        those of the log ratio."""
-        w = self._side_by_side(sources, keys, ("est", "lo", "hi"))
+        ``est``, ``lo``, ``hi``. ``limits`` as in :func:`contrast_ratio`: the
+        reference's swapped ones (SURVEY Q8) or those of the log ratio."""
+        w = cls._side_by_side(sources, keys, ("est", "lo", "hi"))
         cols = []
-        for s, _ in self.REPORT_CAUSES:
-            v = {f"{k}_{sex}": F.col(f"{k}{s}_{sex}") for k in ("est", "lo", "hi") for sex in self.cfg.sexes}
-            low, high = ratio_limits(v, self.cfg.ratio_limits)
+        for s, _ in cls.REPORT_CAUSES:
+            v = {f"{k}_{sex}": F.col(f"{k}{s}_{sex}") for k in ("est", "lo", "hi") for sex in ("Male", "Female")}
+            low, high = ratio_limits(v, limits)
             cols += [(v["est_Male"] - v["est_Female"]).alias(f"dsmr{s}"),
                      safe_div(v["est_Male"], v["est_Female"]).alias(f"smr_ratio{s}" if not s else f"smr{s}"),
                      low.alias(f"LCI{s}"), high.alias(f"UCI{s}")]
@@ -690,13 +690,14 @@ class Study:
         t = self._contrasts([self._long(self.smr, [whole, "decade"], "SMR", "All"),
                              self._long(self.smr_regime, keys, "SMRreg", "All"),
                              self._long(self.smr_i, [whole, "decade"], "SMRi"),
-                             self._long(self.smr_regimei, keys, "SMRregi")], keys)
+                             self._long(self.smr_regimei, keys, "SMRregi")], keys, self.cfg.ratio_limits)
         return self._relabel_regime(t)
 
     @cached_property
     def tab2(self) -> DataFrame:
         keys = ["age_group", "decade"]
-        return self._contrasts([self._long(self.smr_j, keys, "SMRj", "All"), self._long(self.smr_ij, keys, "SMRij")], keys)
+        return self._contrasts([self._long(self.smr_j, keys, "SMRj", "All"), self._long(self.smr_ij, keys, "SMRij")], keys,
+                               self.cfg.ratio_limits)
 
     @cached_property
     def tabs2(self) -> DataFrame:
