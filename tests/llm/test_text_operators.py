@@ -39,6 +39,49 @@ def test_encoders_equal_the_library(path, make, rows):
         assert got == [ids(path, t).tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_character_classes_equal_the_librarys(path):
+    """Every character of two planes beside letters, digits, quotes and blanks."""
+    enc = tokens.PieceEncoder(path)
+    kind = tokens.classes(enc.words)[0]
+    sure = [chr(c) for c in np.flatnonzero(kind != tokens.STRANGE)]
+    strange = [chr(c) for c in np.flatnonzero(kind[:-1] == tokens.STRANGE) if not 0xD800 <= c < 0xE000][::23]
+    texts = ["".join(f"a{c} {c}1{c}{c}'s  {c}'" for c in sure[i:i + 64]) for i in range(0, len(sure), 64)]
+    texts += [" ".join(f"a{c} {c}1{c}{c}'s\n{c}" for c in strange[i:i + 64]) for i in range(0, len(strange), 64)]
+    assert [e for e, t in zip(enc(texts), texts) if e != ids(path, t).tobytes()] == []
+    assert {c for c in "日本ЖΩ—“”…😀한" if kind[ord(c)] == tokens.STRANGE} == set()
+
+
+@pytest.mark.parametrize("path,make", [(WORD, tokens.PieceEncoder), (BYTE, tokens.PieceEncoder), (BYTE, trie_bpe.TrieEncoder)])
+def test_mixed_scripts_equal_the_library(path, make):
+    import random
+    rng = random.Random(12)
+    pool = [*"aAzZ 019'.-s\ntrellvedmÀéßſİKΣσςñ—’“日本語Жж한𝒜中\u0301\u0308\u200d\ufe0f\u3000\xa0\x85\u2028\u180e\x1c\x00😀👩\u0378𐐀𠀀", " ", " ", "<|endoftext|>"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(90))) for _ in range(1500)]
+    enc = make(path, cache=300)
+    for i in range(0, len(texts), 250):
+        assert enc(texts[i:i + 250]) == [ids(path, t).tobytes() for t in texts[i:i + 250]]
+
+
+def test_one_trie_for_a_batch_of_any_script(monkeypatch):
+    enc, walks = trie_bpe.TrieEncoder(BYTE), []
+    walk = enc.walk
+    monkeypatch.setattr(enc, "walk", lambda words: walks.append(len(words)) or walk(words))
+    texts = [f"plain words — “quoted” {i} 日本語 😀 e\u0301x \u0378{i}" for i in range(50)]
+    assert enc(texts) == [ids(BYTE, t).tobytes() for t in texts]
+    assert len(walks) == 1
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHARS", 5_000)
+    monkeypatch.setattr(trie_bpe, "FITS", 50)
+    enc = trie_bpe.TrieEncoder(BYTE)
+    for i in range(6):
+        texts = [chr(97 + i) * 6_000, " ".join(f"{chr(97 + i)}{j}x" for j in range(40)), None]
+        assert enc(texts) == [ids(BYTE, t).tobytes() for t in texts]
+        assert enc.chars < 7_000 and len(enc.fits) < 1_000
+
+
 def test_trie_decodes_as_the_library(rows):
     enc, lib = trie_bpe.TrieEncoder(BYTE), library(BYTE)
     for t in AWKWARD:

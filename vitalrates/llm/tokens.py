@@ -4,9 +4,16 @@ text encoded once.
 The two supported files split a text into pieces that are encoded one by one,
 so a text's ids are its pieces' ids in a row. The pieces of a batch are found
 by character classes over its UTF-8 bytes and numbered by their distinct
-strings; only strings not met before go through the library. This holds for
-texts of plain Latin characters, whose classes are sure; any other text (and
-one with the string of a special token) is handed to the library whole.
+strings; only strings not met before go through the library. Classes come from
+the Unicode tables, for the characters whose class, lower case and composition
+no version disputes (every script's letters, dashes, quotes, emoji). No piece
+reaches over white space, so where a word holds another character, that word
+alone is one piece, which the library splits further. Only a text with the
+string of a special token is handed to the library whole.
+
+Defined cases: a null text is empty and has no ids; a very long text is worked
+off like any other, alone in its batch; a very long piece is encoded but makes
+the memory of pieces start anew once ``CACHE_CHARS`` are held.
 """
 
 from __future__ import annotations
@@ -15,64 +22,104 @@ import json
 import os
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACE, LETTER, NUMBER, OTHER, STRANGE = range(5)
-#: pieces kept in a worker's memory, about 250 bytes each; beyond it the half used most often stays
-CACHE = 450_000
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class and lower case of each character below U+0250; those whose class
-    or lower case could differ between libraries are STRANGE."""
-    kind, low = np.full(0x280, STRANGE, np.uint8), np.arange(0x280, dtype=np.uint16)
-    for cp in range(0x250):
-        c, lower = unicodedata.category(chr(cp)), chr(cp).lower()
-        if chr(cp) in "\t\n\x0b\x0c\r ":
-            kind[cp] = SPACE
-        elif c[0] in "LNPS" or c == "Cf":
-            if len(lower) == 1 and (ord(lower) < 0x80) == (cp < 0x80) and ord(lower) < 0x800:
-                kind[cp] = LETTER if c[0] == "L" else NUMBER if c[0] == "N" else OTHER
-                low[cp] = ord(lower)
-    return kind, low
+#: white space of the patterns (fixed values); no other character is
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: classes are kept for the first two planes; all later characters are STRANGE
+PLANES = 0x20000
+#: pieces kept in a worker's memory, about 250 bytes each, and their characters; beyond either the half used most often stays
+CACHE, CACHE_CHARS = 450_000, 64 << 20
+
 
+def _utf8(cp: int) -> int:
+    return 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
 
-KIND, LOW = _tables()
+
+@lru_cache
+def classes(words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of each character. A letter or number must have
+    been one in the oldest Unicode tables at hand; what is neither now nor then
+    is OTHER in any version. ``words``: texts are composed and lower-cased
+    first, so a character that takes part in composition, or whose lower case
+    is not one character of as many bytes, is STRANGE."""
+    kind, low = np.full(PLANES + 1, STRANGE, np.uint8), np.arange(PLANES + 1, dtype=np.int64)
+    kinds = {"L": LETTER, "N": NUMBER, "P": OTHER, "S": OTHER, "M": OTHER}
+    old = unicodedata.ucd_3_2_0
+    for cp in range(PLANES):
+        c = chr(cp)
+        now, then = unicodedata.category(c), old.category(c)
+        k = OTHER if now == "Cf" else kinds.get(now[0], STRANGE)
+        if k == OTHER and then[0] in "LNZ" or k in (LETTER, NUMBER) and kinds.get(then[0]) != k:
+            k = STRANGE
+        kind[cp] = k
+    for c in BLANKS:
+        kind[ord(c)] = SPACE
+    if words:
+        second = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(PLANES)))
+                  if d and d[0] != "<" and " " in d}
+        jamo = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+        for cp in np.flatnonzero((kind != STRANGE) & (kind != SPACE)).tolist():
+            c, lower = chr(cp), chr(cp).lower()
+            if (cp in second or cp in jamo or unicodedata.combining(c) or unicodedata.normalize("NFC", c) != c
+                    or len(lower) != 1 or _utf8(ord(lower)) != _utf8(cp)):
+                kind[cp] = STRANGE
+            else:
+                low[cp] = ord(lower)
+    return kind, low
 
 
-def split(data: np.ndarray, at: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def split(data: np.ndarray, at: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """Cut texts (``data[at[i]:at[i + 1]]``, UTF-8) into pieces.
 
     ``words``: lower case, white space dropped, digits one by one; else white
     space is kept and one blank goes with the run after it. Gives the bytes of
-    all pieces in a row, their bounds, pieces per text, and the texts that hold
-    strange characters (their pieces mean nothing)."""
+    all pieces in a row, their bounds, pieces per text, and which pieces hold
+    strange characters (None: none does): such a piece is a whole run between
+    white space, in its own case."""
     n = len(data)
-    kind = np.where(data < 128, KIND[data & 127], STRANGE).astype(np.uint8)
+    class_of, lower_of = classes(words)
+    kind = class_of[data & 127]
     tail = (data & 0xC0) == 0x80
-    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))
+    lead = np.flatnonzero(data >= 0xC2)
+    by_size = []
     if len(lead):
-        cp = ((data[lead] & 0x1F).astype(np.int64) << 6) | (data[lead + 1] & 0x3F)
-        kind[lead] = kind[lead + 1] = KIND[cp]
-    odd = np.zeros(len(at) - 1, bool)
-    odd[np.searchsorted(at, np.flatnonzero(kind == STRANGE), side="right") - 1] = True
-    if words:
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        if len(lead):
-            low = LOW[cp]
-            data[lead], data[lead + 1] = 0xC0 | (low >> 6), 0x80 | (low & 0x3F)
+        b = data[lead]
+        for size, own, bits in ((2, lead[b < 0xE0], 0x1F), (3, lead[(b >= 0xE0) & (b < 0xF0)], 0x0F), (4, lead[b >= 0xF0], 0x07)):
+            if len(own):
+                cp = (data[own] & bits).astype(np.int64)
+                for j in range(1, size):
+                    cp = cp << 6 | (data[own + j] & 0x3F)
+                cp = np.minimum(cp, PLANES)
+                for j in range(size):
+                    kind[own + j] = class_of[cp]
+                by_size.append((size, own, cp))
     first = np.zeros(n + 1, bool)
     first[at] = True
+    raw = data
+    if words:
+        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        for size, own, cp in by_size:
+            low = lower_of[cp]
+            new = np.flatnonzero(low != cp)
+            for j in range(size - 1, 0, -1):
+                data[own[new] + j] = 0x80 | (low[new] >> 6 * (size - 1 - j) & 0x3F)
+            data[own[new]] = (0xF00 >> size & 0xFF) | low[new] >> 6 * (size - 1)
     cut = first.copy()
     cut[1:n] |= kind[1:] != kind[:-1]
     if words:
         cut[:n] |= (kind == NUMBER) & ~tail
     else:
         end = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE) & ~first[1:n]) + 1
-        cut[end - 1] = True
+        last = end - 1
+        for _ in range(2):
+            last = last - tail[last]
+        cut[last] = True
         cut[end[data[end - 1] == 32]] = False
     quote = np.flatnonzero((data == 39) & cut[:n])
     quote = quote[(quote + 1 < n)]
@@ -86,14 +133,30 @@ def split(data: np.ndarray, at: np.ndarray, words: bool) -> tuple[np.ndarray, np
         two = far[np.isin(pair, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])]
         cut[one + 1] = cut[two + 1] = False
         cut[one + 2] = cut[two + 3] = True
+    odd = np.flatnonzero(kind == STRANGE)
+    inside = None
+    if len(odd):
+        solid = kind != SPACE
+        begin = solid & first[:n]
+        begin[1:] |= solid[1:] & ~solid[:-1]
+        run = np.cumsum(begin)
+        bad = np.zeros(int(run[-1]) + 1, bool)
+        bad[run[odd]] = True
+        inside = bad[run] & solid
+        cut[:n] &= ~inside | begin
+        data = np.where(inside, raw, data)
     cut[n] = True
     start = np.flatnonzero(cut)
+    strange = None
+    if inside is not None:
+        before = np.concatenate([[0], np.cumsum(inside)])
+        strange = np.diff(before[start]) > 0
     if words:
         keep = kind[start[:-1]] != SPACE
         size = np.diff(start)[keep]
         count = np.searchsorted(start[:-1][keep], at)
-        return data[kind != SPACE], np.concatenate([[0], np.cumsum(size)]), np.diff(count), odd
-    return data, start, np.diff(np.searchsorted(start[:-1], at)), odd
+        return data[kind != SPACE], np.concatenate([[0], np.cumsum(size)]), np.diff(count), None if strange is None else strange[keep]
+    return data, start, np.diff(np.searchsorted(start[:-1], at)), strange
 
 
 class PieceEncoder:
@@ -124,6 +187,7 @@ class PieceEncoder:
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
         self.hits = np.zeros(1024, np.int32)
+        self.chars = 0
 
     def thin(self) -> None:
         """Forget the less used half; later texts mostly hold the other one."""
@@ -135,12 +199,22 @@ class PieceEncoder:
         self.flat, self.used = self.flat[at], len(at)
         self.start, self.size, self.hits = end - size, size, hits
         self.number = {words[i]: j for j, i in enumerate(keep.tolist())}
+        self.chars = sum(map(len, self.number))
+        if self.chars > CACHE_CHARS // 2:
+            self.forget()
+
+    def batch(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> list[np.ndarray]:
+    def learn(self, pieces: list[str], strange: list[bool]) -> list[np.ndarray]:
         """Ids of pieces not met before. Where the last token of a word is
         marked as such, many words go through the library as one text."""
         if not self.words:
-            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+            return self.batch(pieces)
+        if any(strange):
+            ids = {True: iter(self.batch([p for p, o in zip(pieces, strange) if o])),
+                   False: iter(self.learn(own := [p for p, o in zip(pieces, strange) if not o], [False] * len(own)))}
+            return [next(ids[o]) for o in strange]
         out = []
         for i in range(0, len(pieces), 256):
             own = pieces[i:i + 256]
@@ -155,10 +229,10 @@ class PieceEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _add(self, pieces: list[str]) -> None:
+    def _add(self, pieces: list[str], strange: list[bool]) -> None:
         for i in range(0, len(pieces), 20_000):
             own = pieces[i:i + 20_000]
-            ids = self.learn(own)
+            ids = self.learn(own, strange[i:i + 20_000])
             k, size = len(self.number), np.fromiter(map(len, ids), np.int32, len(ids))
             total = int(size.sum())
             if k + len(own) > len(self.size):
@@ -171,37 +245,45 @@ class PieceEncoder:
             self.flat[self.used:self.used + total] = np.concatenate(ids)
             self.used += total
             self.number.update(zip(own, range(k, k + len(own)), strict=True))
+            self.chars += sum(map(len, own))
 
-    def pieces(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-        """Distinct pieces and their places, pieces per text, strange texts."""
+    def pieces(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pieces and their places, which of the distinct ones hold
+        strange characters, pieces per text, texts with a special token's string."""
         at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[at[0]:at[-1]] if raw is not None else np.zeros(0, np.uint8)
         at = at - at[0]
+        odd = np.zeros(len(texts), bool)
         if len(data) == 0:
-            return pa.array([], pa.string()).dictionary_encode(), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-        data, bound, count, odd = split(data, at, self.words)
+            return pa.array([], pa.string()).dictionary_encode(), np.zeros(0, bool), np.zeros(len(texts), np.int64), odd
+        data, bound, count, strange = split(data, at, self.words)
+        own = pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer(bound.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
         if self.mark:
-            odd |= np.asarray(pc.fill_null(pc.match_substring(texts, self.mark), False))
+            for i in np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring(texts, self.mark), False))).tolist():
+                odd[i] = bool(self.special.search(texts[i].as_py()))
         if odd.any():
             keep = ~np.repeat(odd, count)
-            own = pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer(bound.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-            own = own.filter(pa.array(keep)).cast(pa.string())
+            own = own.filter(pa.array(keep))
+            strange = None if strange is None else strange[keep]
             count = np.where(odd, 0, count)
-        else:
-            own = pa.Array.from_buffers(pa.string(), len(bound) - 1, [None, pa.py_buffer(bound.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-        return own.dictionary_encode(), count, odd
+        own = own.view(pa.string()).dictionary_encode()
+        rough = np.zeros(len(own.dictionary), bool)
+        if strange is not None:
+            rough[np.asarray(own.indices)[strange]] = True
+        return own, rough, count, odd
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the bounds of each text's ids."""
         texts = pc.fill_null(texts, "")
-        own, count, odd = self.pieces(texts)
-        if len(self.number) > self.limit:
+        own, rough, count, odd = self.pieces(texts)
+        if len(self.number) > self.limit or self.chars > CACHE_CHARS:
             self.thin()
         strings = own.dictionary.to_numpy(zero_copy_only=False).tolist()
         index = list(map(self.number.get, strings))
         if None in index:
-            self._add([s for s, i in zip(strings, index, strict=True) if i is None])
+            new = [j for j, i in enumerate(index) if i is None]
+            self._add([strings[j] for j in new], rough[new].tolist())
             index = list(map(self.number.get, strings))
         index = np.array(index, np.int64)
         self.hits[index] += 1

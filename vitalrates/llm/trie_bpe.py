@@ -11,7 +11,8 @@ the common prefix with the piece before is the part of the path that stays.
 
 Defined cases: null text is empty; an empty text has no ids; the strings of
 special tokens are their ids, as in the library; repeated rows are encoded one
-by one. Ids decode through their bytes, invalid UTF-8 as U+FFFD.
+by one; a very long text is walked like any other, alone in its batch; input
+columns named as the new ones give way. Ids decode through their bytes, invalid UTF-8 as U+FFFD.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalrates.llm.common import ROW, fields, map_texts, unpack, whole_row
 from vitalrates.llm.tokens import PieceEncoder, encoder
 
+#: remembered answers to "may these two tokens stand together", about 150 bytes each; forgotten beyond
+FITS = 500_000
+
 
 def byte_characters() -> dict[str, int]:
     """The printable character that stands for each byte in the vocabulary:
@@ -110,20 +115,25 @@ class TrieEncoder(PieceEncoder):
             before = w
         return out
 
-    def learn(self, pieces: list[str]) -> list[np.ndarray]:
-        done = self.walk(sorted(p.encode() for p in pieces))
-        return [np.frombuffer(done[p.encode()], "<u4") for p in pieces]
+    def cut(self, text: str) -> list[bytes]:
+        return [text[a:b].encode() for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+
+    def learn(self, pieces: list[str], strange: list[bool]) -> list[np.ndarray]:
+        """One walk for all: pieces with strange characters are split further
+        by the library's own splitter and join the same trie."""
+        if len(self.fits) > FITS:
+            self.fits.clear()
+        parts = [self.cut(p) if o else [p.encode()] for p, o in zip(pieces, strange, strict=True)]
+        done = self.walk(sorted({x for own in parts for x in own}))
+        return [np.frombuffer(b"".join([done[x] for x in own]), "<u4") for own in parts]
 
     def whole(self, text: str) -> np.ndarray:
-        """Texts outside the plain characters: the library's own splitter finds
-        the pieces, special strings are cut out first, and the trie encodes."""
+        """Texts with the string of a special token: those are cut out first."""
         out, at = [], 0
         for m in [*self.special.finditer(text), None] if self.special else [None]:
             part = text[at:m.start() if m else len(text)]
             if part:
-                cut = [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
-                enc = self.walk(sorted({p.encode() for p in cut}))
-                out += [enc[p.encode()] for p in cut]
+                out.append(self.encode(pa.array([part], pa.string()))[0].astype("<u4").tobytes())
             if m:
                 out.append(self.packed[self.added[m[0]]])
                 at = m.end()
