@@ -435,6 +435,55 @@ def test_randomness_separates_keys_from_text(spark):
     assert found == set(range(len(keys)))
 
 
+def test_ordered_strings_are_not_random():
+    import random
+    import string
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    ordered = [up, low + digits, low[:20], low[::-1], up[::2] + up[1::2], up + low + digits + "+/", "a1b2c3d4e5f6g7h8i9j0",
+               "qwertyuiopasdfghjklzxcvbnm", digits * 4, "Xk9Q" * 8]
+    assert min(map(secret_scan.randomness, ordered)) > 0.01
+    rng = random.Random(4)
+    for alphabet in (up + "234567", low + digits, low + up + digits + "+/"):
+        p = [secret_scan.randomness("".join(rng.choices(alphabet, k=n))) for n in (24, 48, 64) for _ in range(300)]
+        assert sum(x == 1 for x in p) <= 10         # about four in a thousand look too regular
+
+
+def test_accepted_spans_equal_brute_force(spark):
+    """Every candidate's p-value, rounded up to its bin's edge, under the
+    step-up rule per band, without bins or counts."""
+    import base64
+    import random
+    rng = random.Random(11)
+    texts = []
+    for i in range(400):
+        t = ["plain"] + ["_".join(f"word{rng.randrange(50)}" for _ in range(rng.randrange(3, 12))) for _ in range(2)]
+        if i % 9 == 0:
+            t.append(base64.b64encode(rng.randbytes(rng.choice([15, 24, 33, 54]))).decode())
+        if i % 50 == 0:
+            t.append("AKIA" + "QWERTY123456789Z" + " token=abcdef123")
+        texts.append(" ".join(t))
+    rule = {}
+    for t in texts:
+        for m in secret_scan.spans(t)[1]:
+            edge = 10 ** (-(secret_scan.p_bin(secret_scan.randomness(t[m[0]:m[2]])) / 10))
+            rule.setdefault(sum(m[2] - m[0] >= b for b in (20, 28, 40, 64, 128)), []).append(edge)
+    most = {b: max([p for k, p in enumerate(sorted(ps), 1) if p <= 0.01 * k / len(ps)], default=0.0) for b, ps in rule.items()}
+    # ties: the step-up rule counts all p-values up to the largest accepted one
+    names = ("assign", "access", "hex", "random")
+    want, accepted = {}, 0
+    for i, t in enumerate(texts):
+        own = base_spans(t)
+        for m in secret_scan.spans(t)[1]:
+            edge = 10 ** (-(secret_scan.p_bin(secret_scan.randomness(t[m[0]:m[2]])) / 10))
+            if edge <= most[sum(m[2] - m[0] >= b for b in (20, 28, 40, 64, 128))]:
+                own.append((m[0], 3, m[2]))
+                accepted += 1
+        want[i] = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.spans for r in secret_scan.secret_scan(df).collect()} == want
+    assert 20 < accepted < 60
+
+
 def test_rest_of_a_partly_covered_run_is_tested(spark):
     import base64
     import random

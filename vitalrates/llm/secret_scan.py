@@ -10,12 +10,19 @@ changes at most half as often as at random, and neighbouring characters are
 correlated: a lower tail of the (noncentral) chi-squared statistic, an upper
 tail of the number of runs, and a tail of the serial correlation. Fisher's
 method combines the three into a p-value that is small for random strings.
+Alphabets, counters, repeated units and other ordered strings are more even,
+more correlated or more alternating than random ones: the same statistics (the
+serial one also as equal characters at up to ``LAGS`` distances) are held
+against randomness from that side, and a string that fails one (at one in a
+thousand) is no candidate to accept, whatever the others say.
 Candidates are accepted by the Benjamini-Hochberg rule within bands of length,
 over all candidates of the corpus, so that short strings, whose p-values can
 never be as small, are judged among their like. P-values are counted in bins
 and rounded up to their bin's edge, which only makes the rule stricter.
 
-Defined cases: null text is empty; an empty text has no span; a sign that
+Defined cases: null text is empty; an empty text has no span; a very long text
+is scanned whole, alone in its batch; extra columns are carried in one struct
+and cannot clash; a sign that
 joins a part to a fixed pattern's span is in the part's span but not tested,
 if 20 characters are left without it; repeated rows are scanned one by one; a corpus without candidates accepts none.
 """
@@ -48,6 +55,10 @@ ALPHABETS = [("hex", "0123456789abcdef", 0.5), ("HEX", "0123456789ABCDEF", 0.5),
              ("any", string.ascii_letters + string.digits + "+/-_=", 1.5)]
 _SETS = [(set(a), {c: i for i, c in enumerate(a)}, w) for _, a, w in ALPHABETS]
 BANDS = [20, 28, 40, 64, 128]
+#: a random string fails each test for being too regular this seldom
+REGULAR = 1e-3
+#: longest distance at which characters are compared
+LAGS = 64
 #: p-values are counted in bins of a tenth of a power of ten, down to 10 to the -40
 BINS = 400
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("rank", T.IntegerType()),
@@ -82,21 +93,43 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
+def periodicity(x: np.ndarray, k: int) -> float:
+    """P-value of the distance with most equal characters, over all distances."""
+    lags = range(1, min(len(x) // 2, LAGS) + 1)
+    same = [(int((x[j:] == x[:-j]).sum()), len(x) - j) for j in lags]
+    c, m = max(same, key=lambda s: (s[0] - s[1] / k) / math.sqrt(s[1]))
+    return min(1.0, len(lags) * binomial_tail(c, m, 1 / k))
+
+
+def regularity(x: np.ndarray, k: int, chi: float, changes: int, change: float, r: float) -> float:
+    """Smallest p-value of the tests of randomness against order: characters
+    too even, neighbours too correlated, kinds alternating too often, a period."""
+    n = len(x)
+    z = (r + 1 / n) * math.sqrt(n)
+    return min(chi_lower(chi, k - 1, 0), math.erfc(abs(z) / math.sqrt(2)),
+               binomial_tail(changes, n - 1, change) if change else 1.0, periodicity(x, k))
+
+
 def randomness(token: str, correlation: float = 0.5) -> float:
-    """Combined p-value of a token under "ordinary text"."""
+    """Combined p-value of a token under "ordinary text"; 1 for one that is too
+    regular to be random."""
     body = token.rstrip("=") or token
     have = set(body)
     alphabet, index, far = next((a, i, w) for a, i, w in _SETS if have <= a)
     n, k = len(body), len(alphabet)
     x = np.fromiter((index[c] for c in body), np.int64, n)
     counts = np.bincount(x, minlength=k)
-    p_even = chi_lower(float(k * (counts.astype(float) ** 2).sum() / n - n), k - 1, n * far)
+    chi = float(k * (counts.astype(float) ** 2).sum() / n - n)
     shares = np.bincount([_kind(c) for c in alphabet]) / k
     change = 1 - float((shares ** 2).sum())
     kinds = [_kind(c) for c in body]
-    p_runs = binomial_tail(sum(a != b for a, b in zip(kinds, kinds[1:])), n - 1, change / 2)
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
     d = x - x.mean()
     r = float((d[1:] * d[:-1]).sum() / max(1e-9, (d * d).sum()))
+    if regularity(x, k, chi, changes, change, r) < REGULAR:
+        return 1.0
+    p_even = chi_lower(chi, k - 1, n * far)
+    p_runs = binomial_tail(changes, n - 1, change / 2)
     p_serial = _normal((abs(r) - correlation) * math.sqrt(n))
     t = -sum(math.log(max(p, 1e-300)) for p in (p_even, p_runs, p_serial))
     return min(1.0, math.exp(-t) * (1 + t + t * t / 2))     # chi-squared tail with six degrees of freedom at 2t
