@@ -255,6 +255,49 @@ def test_deep_buckets_find_the_near_ones(spark, candidates):
     assert sum(hits) >= 0.9 * 5 * len(want)
 
 
+def test_vectors_of_doubles_are_scored_as_they_are(spark):
+    """Doubles are not rounded to floats, nor lost beyond their range."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((120, 12))
+    x[60:90] = x[0] * (1 + 1e-9 * rng.standard_normal((30, 12)))       # equal as floats, nearly
+    big = x.copy()
+    big[::3] *= 2.0 ** 900
+    big[1::3] *= 2.0 ** -900
+    ids = rng.permutation(120)
+    df = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, big)], "vec_id long, embedding array<double>")
+    want = brute(ids, x, every=10)
+    got = {}
+    for r in neighbours.nearest(df, every=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got.keys() == want.keys()
+    for q, w in want.items():
+        assert np.allclose([s for _, s in got[q]], [s for _, s in w], atol=1e-14, rtol=0)
+    whole = spark.createDataFrame([(0, [2**53 - 1, 1]), (1, [2**53 - 1, 1]), (2, [1, 0])], "vec_id long, embedding array<long>")
+    assert [(r.query_id, r.vec_id) for r in neighbours.nearest(whole).orderBy("rank").collect()] == [(0, 1), (0, 2)]
+
+
+def test_a_dense_cluster_is_no_group_of_its_own(spark, monkeypatch):
+    """Rows and queries of a cluster that all trees keep in one bucket are
+    cut, in the count and in the scoring, and nothing is lost."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 16))
+    x[:700] = x[0] + 1e-3 * rng.standard_normal((700, 16))
+    df = frame(spark, rng.permutation(900), x.astype(np.float32))
+    whole = neighbours.nearest(df, every=5).collect()
+    monkeypatch.setattr(neighbours, "CHUNK", 50)
+    monkeypatch.setattr(neighbours, "PART", 10)
+    sizes, plain = [], neighbours.grouped_map
+
+    def watched(df, key, work, schema):
+        sizes.append(df.groupBy(key).agg(F.count("probe").alias("asks"), (F.count(F.lit(1)) - F.count("probe")).alias("rows"))
+                     .agg(F.max("asks"), F.max("rows")).first())
+        return plain(df, key, work, schema)
+
+    monkeypatch.setattr(neighbours, "grouped_map", watched)
+    assert sorted(neighbours.nearest(df, every=5).collect()) == sorted(whole) and len(whole) == 5 * 180
+    assert len(sizes) == 2 and all(asks <= 25 and rows <= 90 for asks, rows in sizes), sizes
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages_follow_each_other(spark, tmp_path, docs, rows):
     import corpus_pipeline

@@ -3,7 +3,8 @@
 Every tree gives a vector a long string of symbols: the nearest signed axis
 after a random rotation, one rotation per symbol. A tree is the sorted array
 of these strings, kept in buckets of a common prefix; a bucket with many rows
-is cut into chunks by a hash of the row, so no bucket is one task's. A query
+is cut into chunks by a hash of the row, and many queries of one bucket into
+parts, so no group holds more than a chunk and a part. A query
 descends to its longest matching prefix in each tree and then goes up in all
 trees at once, symbol by symbol, until the trees together hold enough
 candidates; every row under that prefix is a candidate and is scored by its
@@ -18,9 +19,10 @@ searched once.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor rows without id; of rows with one id the least
-vector counts; of several dimensions the most common one takes part (of
-equally common ones the largest); ties go to the smaller id; an empty table
-gives no rows.
+vector counts; vectors of floats are taken as they are, all others as doubles;
+components of any finite size are scored; of several dimensions the most common one takes part (of
+equally common ones the largest); ties go to the smaller id; other columns are
+not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ from pyspark.sql import types as T
 from vitalrates.llm.common import fields, map_batches, stored
 
 TREES, SYMBOLS, WIDTH = 36, 5, 64
-#: rows of a chunk of a bucket
-CHUNK = 8192
+#: rows of a chunk and queries of a part of a bucket
+CHUNK, PART = 8192, 4096
 
 
 def rotations(dims: int, trees: int, symbols: int, seed: int) -> np.ndarray:
@@ -51,10 +53,17 @@ def bits_per_symbol(dims: int) -> int:
     return (2 * min(dims, WIDTH) - 1).bit_length()
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, the largest component below one: no
+    square leaves the range of doubles, and cosines keep every bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def codes(x: np.ndarray, rotation: np.ndarray, trees: int, symbols: int) -> np.ndarray:
     """Strings as integers, first symbol highest: rows x trees."""
     bits = bits_per_symbol(x.shape[1])
     out = np.zeros((len(x), trees), np.int64)
+    x = scaled(x)
     unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     for t in range(trees):
         for s in range(symbols):
@@ -66,7 +75,10 @@ def codes(x: np.ndarray, rotation: np.ndarray, trees: int, symbols: int) -> np.n
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    v = F.col(f"`{embedding}`").cast("array<float>")
+    v = F.col(f"`{embedding}`")
+    kind = vectors.select(v).schema[0].dataType
+    floats = not isinstance(kind, T.ArrayType) or isinstance(kind.elementType, T.FloatType)
+    v = v.cast("array<float>" if floats else "array<double>")
     good = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0)
     return (vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), v.alias("v"))
             .where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).groupBy("vec_id").agg(F.min("v").alias("v")))
@@ -132,7 +144,7 @@ class Forest:
 
     def _coded(self, classes: DataFrame, trees: int, symbols: int, seed: int) -> DataFrame:
         dims = self.dims
-        schema = T.StructType([*fields("cid long, ids long[]").fields, T.StructField("v", T.ArrayType(T.FloatType())),
+        schema = T.StructType([*fields("cid long, ids long[]").fields, classes.schema["v"],
                                *fields("codes long[]").fields])
         src = classes.select(F.col("ids")[0].alias("cid"), "ids", "v")
 
@@ -154,7 +166,7 @@ class Forest:
         few = probes.join(per, "cid").orderBy(F.xxhash64("cid"), "cid").limit(self.sample).collect()
         if not few:
             return self.candidates
-        q = np.array([r["v"] for r in few], np.float64)
+        q = scaled(np.array([r["v"] for r in few], np.float64))
         q /= np.linalg.norm(q, axis=1, keepdims=True)
         own, code = np.array([r["cid"] for r in few]), np.array([r["codes"] for r in few], np.int64)
         bits, total, k, dims = self.bits, self.symbols, self.k, self.dims
@@ -164,7 +176,7 @@ class Forest:
             for b in batches:
                 for i in range(0, b.num_rows, 4096):
                     s = b.slice(i, 4096)
-                    x = s.column(0).flatten().to_numpy(zero_copy_only=False).reshape(s.num_rows, dims).astype(np.float64)
+                    x = scaled(s.column(0).flatten().to_numpy(zero_copy_only=False).reshape(s.num_rows, dims).astype(np.float64))
                     cid, have = s.column(1).to_numpy(), s.column(2).flatten().to_numpy().reshape(s.num_rows, -1)
                     near = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
                     near[own[:, None] == cid[None, :]] = -np.inf
@@ -209,18 +221,29 @@ class Forest:
         bucket = _prefix(F.col("code"), bits * (total - depth))
         sizes = stored(tree(self.index).groupBy("tree", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
                        .withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "forest-buckets")
-        group = F.xxhash64("tree", "bucket", "chunk")
+        group = F.xxhash64("tree", "bucket", "chunk", "part")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))      # noqa: E731
+
+        def parted(sent: DataFrame, name: str) -> DataFrame:
+            """The buckets that get probes, and into how many parts these are cut."""
+            asks = sent.groupBy("tree", "bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+            return stored(sizes.join(asks, ["tree", "bucket"]), name)
 
-        items = tree(self.index, "cid", "v").withColumn("bucket", bucket).join(sizes, ["tree", "bucket"])
-        items = items.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+        def rows_of(to: DataFrame, *columns: str) -> DataFrame:
+            """Each row in one chunk of its bucket in every tree, once a part."""
+            rows = tree(self.index, "cid", *columns).withColumn("bucket", bucket).join(to, ["tree", "bucket"])
+            return rows.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("part", each("parts"))
 
-        def spread(rows: DataFrame, to: DataFrame) -> DataFrame:
-            """Probe rows to every chunk of their buckets (all keep few rows)."""
-            return rows.join(to, ["tree", "bucket"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        def probes_of(sent: DataFrame, to: DataFrame) -> DataFrame:
+            """Each probe in one part, once a chunk."""
+            rows = sent.join(to, ["tree", "bucket"])
+            return rows.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).withColumn("chunk", each("chunks"))
 
         # how many rows each tree holds below each prefix of the query's string, summed over the trees
-        narrow = items.select(group.alias("g"), "code", F.lit(None).cast("long").alias("probe"))
-        near = spread(tree(probes, "cid").withColumn("bucket", bucket), sizes).select(group.alias("g"), "code", F.col("cid").alias("probe"))
+        sent = tree(probes, "cid").withColumn("bucket", bucket)
+        to = parted(sent, "forest-asks")
+        narrow = rows_of(to).select(group.alias("g"), "code", F.lit(None).cast("long").alias("probe"))
+        near = probes_of(sent, to).select(group.alias("g"), "code", F.col("cid").alias("probe"))
         levels = list(range(depth, total + 1))
 
         def count(t: pa.Table):
@@ -249,20 +272,18 @@ class Forest:
         levelled = stored(probes.join(per.select("cid", level.alias("level")), "cid"), "forest-levels")
 
         # every row below the chosen prefix is scored
-        deep = tree(levelled.where(F.col("level") >= max(depth, 1)), "cid", "v", "level").withColumn("bucket", bucket)
-        sent = [spread(deep, sizes)]
-        for x in range(1, depth):
-            above = tree(levelled.where(F.col("level") == x), "cid", "v", "level").withColumn("p", _prefix(F.col("code"), bits * (total - x)))
-            below = sizes.withColumn("p", _prefix(F.col("bucket"), bits * (depth - x)))
-            sent.append(above.join(below, ["tree", "p"]).drop("p").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
-        above = tree(levelled.where("level = 0"), "cid", "v", "level").where("tree = 0").withColumn("p", _prefix(F.col("code"), bits * total))
-        below = sizes.where("tree = 0").withColumn("p", _prefix(F.col("bucket"), bits * depth))     # the empty prefix: all rows
-        sent.append(above.join(below, ["tree", "p"]).drop("p").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
-        probe_rows = [s.select(group.alias("g"), "code", "v", F.lit(None).cast("long").alias("cid"), F.col("cid").alias("probe"), "level")
-                      for s in sent]
-        both = items.select(group.alias("g"), "code", "v", "cid", F.lit(None).cast("long").alias("probe"), F.lit(None).cast("int").alias("level"))
-        for p in probe_rows:
-            both = both.unionByName(p)
+        sent = tree(levelled.where(F.col("level") >= max(depth, 1)), "cid", "v", "level").withColumn("bucket", bucket)
+        for x in range(depth):          # a prefix shorter than the buckets' is several buckets, the empty one all of one tree
+            above, below = levelled.where(F.col("level") == x), sizes.select("tree", "bucket")
+            above = tree(above, "cid", "v", "level").withColumn("p", _prefix(F.col("code"), bits * (total - x)))
+            below = below.withColumn("p", _prefix(F.col("bucket"), bits * (depth - x)))
+            sent = sent.unionByName((above if x else above.where("tree = 0")).join(below, ["tree", "p"]).drop("p"))
+        if not depth:                   # one bucket a tree, all rows
+            sent = sent.unionByName(tree(levelled.where("level = 0"), "cid", "v", "level").where("tree = 0").withColumn("bucket", bucket))
+        to = parted(sent, "forest-sent")
+        asks = probes_of(sent, to).select(group.alias("g"), "code", "v", F.lit(None).cast("long").alias("cid"), F.col("cid").alias("probe"), "level")
+        both = asks.unionByName(rows_of(to, "v").select(group.alias("g"), "code", "v", "cid", F.lit(None).cast("long").alias("probe"),
+                                                        F.lit(None).cast("int").alias("level")))
         keep = self.k + 1
 
         def score(t: pa.Table):
@@ -273,10 +294,10 @@ class Forest:
             at = np.flatnonzero(~ask)
             at = at[np.argsort(code[at], kind="stable")]
             have, cid = code[at], t.column("cid").to_numpy()[at].astype(np.int64)
-            x = _matrix(t.column("v"), at).astype(np.float64)
+            x = scaled(_matrix(t.column("v"), at).astype(np.float64))
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             who = np.flatnonzero(ask)
-            q = _matrix(t.column("v"), who).astype(np.float64)
+            q = scaled(_matrix(t.column("v"), who).astype(np.float64))
             shift = bits * (total - t.column("level").to_numpy()[who].astype(np.int64))
             want = code[who]
             lo = np.searchsorted(have, (want >> shift) << shift)
