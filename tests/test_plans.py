@@ -57,3 +57,19 @@ def test_report_tables_use_one_grouping(spark):
     st = Study.from_tpch(spark, SF)
     own = st.tab1._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation")[0]
     assert "Join" not in own and own.count("Aggregate") >= 1
+
+
+def test_totals_over_ages_are_one_expand(spark):
+    """Table S2 gets its rows by age and their totals from one grouping."""
+    st = Study.from_tpch(spark, SF)
+    own = st.tabs2._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation")[0]
+    assert "Join" not in own and own.count("Expand") == 1 and own.count("Aggregate") == 2
+    got = {r["decade"]: r for r in st.tabs2.where("age_group = 'All ages'").collect()}
+    want = {}
+    for r in st.ylldec_sex.collect():
+        want.setdefault(r["decade"], {})[r["sex"]] = (r["SMR"], r["YLL"])
+    assert got.keys() == want.keys() and want
+    for decade, w in want.items():
+        for i, name in enumerate(("deaths_excess", "yll_excess")):
+            a, b = w["Male"][i], w["Female"][i]
+            assert got[decade][name] is None if a is None or b is None else abs(got[decade][name] - (a - b)) < 1e-9 * max(abs(a), 1)

@@ -701,17 +701,21 @@ class Study:
 
     @cached_property
     def tabs2(self) -> DataFrame:
+        """Excess deaths and years lost by age group and decade. The totals
+        over ages are strict sums of the age rows, so one grouping with two
+        grouping sets gives both; those of Table 1 are not sums of the
+        regimes' (each has its own population) and stay frames of their own."""
         keys = ["age_group", "decade"]
-        every = F.lit("All ages").alias("age_group")
+        cell = ["decade", "cause_ext", "sex"]
 
-        def long(df, age, cause, deaths, lost):
+        def long(df, cause, deaths):
             c = F.lit(cause).alias("cause_ext") if cause else F.col("cause_ext")
-            return df.select(age, "decade", c, "sex", F.col(deaths).alias("deaths"), F.col(lost).alias("yll"))
-        w = self._side_by_side([long(self.ylldec_sex, every, "All", "SMR", "YLL"),
-                                long(self.ylldec_agesex, F.col("age_group"), "All", "SMRj", "yearsll"),
-                                long(self.ylldec_sex_ext, every, None, "SMRi", "YLL"),
-                                long(self.ylldec_agesex_ext, F.col("age_group"), None, "SMRij", "yearsll")],
-                               keys, ("deaths", "yll"))
+            return df.select(*keys, c, "sex", F.col(deaths).alias("deaths"), F.col("yearsll").alias("yll"))
+        ages = long(self.ylldec_agesex, "All", "SMRj").unionByName(long(self.ylldec_agesex_ext, None, "SMRij"))
+        sums = ages.groupingSets([[*cell, "age_group"], cell], *cell, "age_group").agg(
+            F.grouping("age_group").alias("total"), strict_sum("deaths").alias("deaths"), strict_sum("yll").alias("yll"))
+        age = F.when(F.col("total") == 1, F.lit("All ages")).otherwise(F.col("age_group")).alias("age_group")
+        w = self._side_by_side([sums.select(*cell, age, "deaths", "yll")], keys, ("deaths", "yll"))
         return w.select(*keys, *[(F.col(f"{v}{s}_Male") - F.col(f"{v}{s}_Female")).alias(f"{v}_excess{s}")
                                  for s in ("", "_ext", "_next") for v in ("deaths", "yll")])
 
