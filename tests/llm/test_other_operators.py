@@ -299,6 +299,25 @@ def test_a_dense_cluster_is_no_group_of_its_own(spark, monkeypatch):
 
 
 # ---------------------------------------------------------------- pipeline
+def test_folders_made_on_the_way_go_once_the_result_is_stored(spark, tmp_path, docs):
+    import os
+
+    from vitalrates.llm import simhash
+    from vitalrates.llm.common import settled
+    from vitalrates.sources.sinks import checkpoint_root
+    root = checkpoint_root(spark).removeprefix("file:")
+    now = lambda: set(os.listdir(root)) if os.path.isdir(root) else set()      # noqa: E731
+    before = now()
+    want = simhash.keep_one(docs, shingle=3, bits=3)
+    between = now()
+    got = settled(spark, lambda: simhash.keep_one(docs, shingle=3, bits=3), "settled-test")
+    left = now() - between
+    assert len(between - before) > 3 and [x.rsplit("-", 1)[0] for x in left] == ["settled-test"]
+    assert got.count() == want.count() and got.columns == want.columns
+    with pytest.raises(ValueError):
+        settled(spark, lambda: frame(spark, [1], np.eye(1)) and int("x"), "settled-test")
+
+
 def test_pipeline_stages_follow_each_other(spark, tmp_path, docs, rows):
     import corpus_pipeline
     labels = spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")

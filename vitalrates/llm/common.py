@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: folders made on the way to what :func:`settled` stores
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder on the storage that driver and executors share."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +46,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, stored; the folders it made on the way are
+    deleted once that is written. If the write fails they stay."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        df = make()
+    finally:
+        _MADE.reset(token)
+    out = stored(df, name)
+    for path in made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
 #: Arrow batches that Spark sends to Python hold at most this many rows and bytes
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(6 << 20)}
 
