@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalrates.llm import packing, quality, secret_scan, simhash, substring
-from vitalrates.llm.common import stored, table
+from vitalrates.llm.common import settled, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -54,5 +54,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs = settled(spark, lambda: stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return docs
