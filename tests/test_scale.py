@@ -126,7 +126,8 @@ def test_populations_are_those_of_the_cells(spark, tables):
 def test_tables_are_marked_again_after_the_cache_was_cleared(spark, tables):
     st = Study.from_tpch(spark, tables)
     other = st.with_config(min_count=1)
-    st.popnac, st.counted("quality")
+    st.popnac, st.counted("quality"), st.d_j
+    assert other.d_j is not st.d_j and other.cube is st.cube      # derived tables follow their own parameters
     spark.catalog.clearCache()
     assert st.popnac.storageLevel != StorageLevel.NONE and other.cube.storageLevel != StorageLevel.NONE
     assert all(st.__dict__[x].storageLevel != StorageLevel.NONE for x in st._cached)
